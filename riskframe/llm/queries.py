@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import mixing, secrets, sharding, url_filter
+from riskframe.llm import decontaminate, mixing, near_dedup, secrets, sharding, url_filter
 from riskframe.llm._shared import read_table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -35,6 +35,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, url_filter.RULE_SCHEMA)
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
@@ -67,6 +78,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secrets": op2_secrets,
     "op4_mixing": op4_mixing,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_near_dedup": op7_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
