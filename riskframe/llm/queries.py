@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import decontaminate, mixing, near_dedup, secrets, sharding, url_filter
+from riskframe.llm import decontaminate, mixing, near_dedup, quality, secrets, sharding, top_k, url_filter, warc
 from riskframe.llm._shared import read_table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.judged(docs, labels, keep=["doc_id"])
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = secrets.scan_secrets(docs, owner="source", repo=F.concat_ws("/", "source", "lang"))
@@ -24,6 +29,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+OP3_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select(
@@ -42,6 +59,23 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
+
+
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+d as (select page_id, strlen(html) as payload_bytes, hex, max(page_id) over (partition by hex) as top from p)
+select page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+    (((16 * (strpos('0123456789abcdef', substr(hex, (5 * i) // 4 + 1, 1)) - 1) + strpos('0123456789abcdef', substr(hex, (5 * i) // 4 + 2, 1)) - 1)
+      // [8, 4, 2, 1][(5 * i) % 4 + 1]) % 32)::int, 1)), 'string_agg', '') as payload_digest,
+  case when page_id = top then 'response' else 'revisit' end as record_type,
+  case when page_id <> top then top end as refers_to
+from d
+"""
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -76,11 +110,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
+    "op3_top_k": op3_top_k,
     "op4_mixing": op4_mixing,
     "op5_decontaminate": op5_decontaminate,
+    "op6_warc": op6_warc,
     "op7_near_dedup": op7_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL = {"op9_url_filter": OP9_SQL}
+ORACLE_SQL = {"op3_top_k": OP3_SQL, "op6_warc": OP6_SQL, "op9_url_filter": OP9_SQL}
