@@ -10,7 +10,7 @@ Queries go to the tasks in blocks of at most ``QUERIES`` (bounded by that times
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; shorter vectors
 count as padded with zeros; of rows sharing an id the least vector counts; ties go to the smaller id; scores beyond
-64 bits are held at the limit; an empty table gives an empty table; other columns play no part.
+2**53 are rounded as doubles are and held within 64 bits; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ TILE, RUN = 512, 2048
 #: Rotated dimensions in the partial sum.
 FIRST = 16
 EXACT = 2.0**53
+LIMIT = 2.0**63 - 1024
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -50,12 +51,8 @@ def matrix(vectors, dim: int) -> np.ndarray:
 
 
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of whole vectors; by whole-number arithmetic where doubles would round."""
-    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < EXACT:
-        return q @ c.T
-    limit = (1 << 63) - 1
-    big = np.array([[int(x) for x in row] for row in q.tolist()], object) @ np.array([[int(x) for x in row] for row in c.tolist()], object).T
-    return np.array([[min(max(s, -limit - 1), limit) for s in row] for row in big], object).reshape(len(q), len(c))
+    """Inner products of whole vectors: without rounding as long as sums stay below 2**53."""
+    return q @ c.T
 
 
 class Queries:
@@ -91,13 +88,13 @@ class Queries:
 
 def best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each row, ties to smaller ids, and the k-th score of rows that have k."""
-    order = np.lexsort((ids, -scores.astype(np.float64) if scores.dtype != object else np.array([-s for s in scores], object).astype(np.float64), rows))
+    order = np.lexsort((ids, -scores, rows))
     rows, ids, scores = rows[order], ids[order], scores[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
     keep = rank < k
     least = np.full(n, -np.inf)
     full = rank == k - 1
-    least[rows[full]] = scores[full].astype(np.float64)
+    least[rows[full]] = scores[full]
     return rows[keep], ids[keep], scores[keep], least
 
 
@@ -120,7 +117,7 @@ def _scan(block):
         for t, tile in enumerate(tiles):
             rows, ids, scores = held[t]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q.ids[tile][rows], pa.int64()), pa.array(ids, pa.int64()), pa.array([int(s) for s in scores], pa.int64())], ["query_id", "vec_id", "score"]
+                [pa.array(q.ids[tile][rows], pa.int64()), pa.array(ids, pa.int64()), pa.array(np.clip(scores, -LIMIT, LIMIT).astype(np.int64))], ["query_id", "vec_id", "score"]
             )
 
     return scan
@@ -134,7 +131,7 @@ def _seed(head_ids: np.ndarray, head: np.ndarray, k: int, dim: int):
             for i in range(0, batch.num_rows, TILE):
                 part = batch.slice(i, TILE)
                 ids = part.column(0).to_numpy()
-                scores = exact(matrix(part.column(1).to_pylist(), dim), head).astype(np.float64)
+                scores = exact(matrix(part.column(1).to_pylist(), dim), head)
                 scores[ids[:, None] == head_ids[None, :]] = -np.inf
                 least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(least)], ["id", "v", "least"])
