@@ -9,7 +9,7 @@ their full sets:
   nodes that are not in its largest one are compared with all nodes of the bucket's family (the large open buckets that
   hang together), block against block, as products of 0/1 matrices over shared shingles. Nothing is capped.
 
-Links are confirmed on full sets, and components are found by repeated minimum labels with pointer jumping.
+Links are confirmed on full sets, and components are found by contracting edges.
 
 40 bands of 6 values miss a link of similarity 0.8 with probability (1 - 0.8**6)**40, about 5e-6.
 
@@ -144,17 +144,27 @@ def _family_links(pdf):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of (a, b) edges: the smallest node of each component, by minimum labels and pointer jumping."""
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    while True:
-        offered = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("offer"))
-        closer = labels.join(offered, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "offer").alias("near"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("beyond"))
-        new = staged(closer.join(jump, F.col("near") == F.col("at")).select("node", F.least("near", "beyond").alias("label"), (F.least("near", "beyond") < F.col("label")).alias("moved")), "labels")
-        if not new.filter("moved").limit(1).count():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+    """(node, label) for the nodes of (a, b) edges, by contraction: nodes go to their smallest neighbour, if that is smaller,
+    twice over; edges go along, and those within a node are dropped, until none is left.
+
+    Nodes are hashes, so runs of ever smaller neighbours are short.
+    """
+    edges = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+    found = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    while edges.limit(1).count():
+        near = edges.select(F.inline(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("to")), F.struct(F.col("b").alias("at"), F.col("a").alias("to")))))
+        step = staged(near.groupBy("at").agg(F.min("to").alias("to")).select("at", F.least("at", "to").alias("to")), "step")
+        on = step.select(F.col("at").alias("on"), F.col("to").alias("further"))
+        for _ in range(2):
+            step = step.join(on, F.col("to") == F.col("on")).select("at", F.col("further").alias("to"))
+        step = staged(step, "step")
+        ends = {c: step.select(F.col("at").alias(f"{c}_at"), F.col("to").alias(f"{c}_to")) for c in ("a", "b", "label")}
+        found = found.join(ends["label"], F.col("label") == F.col("label_at"), "left")
+        found = staged(found.select("node", F.coalesce("label_to", "label").alias("label")), "labels")
+        moved = edges.join(ends["a"], F.col("a") == F.col("a_at")).join(ends["b"], F.col("b") == F.col("b_at"))
+        moved = moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
+        edges = staged(moved.filter("a < b").distinct(), "edges")
+    return found
 
 
 def near_duplicates(df: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,7 +186,7 @@ def near_duplicates(df: DataFrame, width: int = 4, id_col: str = "doc_id", text_
 
     # Full sets of the nodes in question, from one text of each.
     wanted = staged(own.groupBy("node").agg(F.min("doc_id").alias("first")).join(member.select("node").distinct(), "node"), "wanted")
-    texts = docs.withColumn("first", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted, "first", "left_semi").select("text")
+    texts = docs.withColumn("first", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted.hint("merge"), "first", "left_semi").select("text")
     sets = texts.mapInArrow(_sets(width), "node long, set binary").join(wanted, "node", "left_semi")
     sets = staged(sets.dropDuplicates(["node"]), "sets")
 
