@@ -87,7 +87,3 @@ def sample_each(df: DataFrame, n: int, by: str, key: str, seed: int = SEED) -> D
 
 def head(df: DataFrame, n: int, key: str) -> DataFrame:
     return df.orderBy(key).limit(n)
-
-
-def in_split_of(df: DataFrame, split: str) -> DataFrame:
-    return df.filter(F.col("split") == split)

@@ -72,7 +72,7 @@ splits as (select item_idx, case when 100 * rank <= 70 * total then 'train' when
 split_qa as (select qa.*, split from qa join splits using (item_idx))
 """
 PRED = """
-pred as (select l_orderkey || '_' || l_linenumber as sample_id, l_orderkey as item_idx, (l_returnflag = 'R')::int as label, l_quantity / 50 as prob, l_discount * 10 as prob_b,
+pred as (select l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || l_extendedprice::decimal(18,2) as sample_id, l_orderkey as item_idx, (l_returnflag = 'R')::int as label, l_quantity / 50 as prob, l_discount * 10 as prob_b,
   (l_quantity / 50 >= 0.5)::int as pred, (l_discount * 10 >= 0.5)::int as pred_b from lineitem)
 """
 SCORES = f"""{PRED},
@@ -197,7 +197,7 @@ SQL: dict[str, str] = {
     "n1_validation": f"""select 'c_' || conv_id || '_' || turn as sample_id, case when text is null then 'answer missing' when not regexp_matches(text, '{NB}') then 'answer blank' when length(text) > 20000 then 'answer too long' end as reason from conversations where role = 'assistant'""",
     "n4_judge_jobs": f"with {REPLY} select doc_id, case when style = 3 then 'failed' else said end as judgment, case when style = 3 then null else conf end as confidence from verdicts",
     "z2_unified": f"with {RAW} select sample_id, 'qa' as task, label from qa union all select 'ragtruth_' || lpad(d.doc_id::varchar, 8, '0'), 'response', (coalesce(1 - quality, 0) > 0 or coalesce(toxic, 0) > 0)::int from documents d left join labels l using (doc_id) where d.doc_id % 3 <> 2",
-    "z3_subgroup_calibration": f"with {PRED}, g as (select p.*, l_linestatus as subgroup from pred p join lineitem on sample_id = l_orderkey || '_' || l_linenumber), b as (select subgroup, {BIN} as bin, count(*) as n, avg(prob) as c, avg(label) as a from g group by all), e as (select subgroup, sum(n * abs(a - c)) / sum(n) as ece from b group by all), r as (select subgroup, avg(pow(prob - label, 2)) as brier, count(*) as n from g group by all) select subgroup, n, round(ece, 9) as ece, round(brier, 9) as brier from e join r using (subgroup)",
+    "z3_subgroup_calibration": f"with {PRED}, g as (select (l_returnflag = 'R')::int as label, l_quantity / 50 as prob, l_linestatus as subgroup from lineitem), b as (select subgroup, {BIN} as bin, count(*) as n, avg(prob) as c, avg(label) as a from g group by all), e as (select subgroup, sum(n * abs(a - c)) / sum(n) as ece from b group by all), r as (select subgroup, avg(pow(prob - label, 2)) as brier, count(*) as n from g group by all) select subgroup, n, round(ece, 9) as ece, round(brier, 9) as brier from e join r using (subgroup)",
     "z4_length_metrics": f"with {NLI_QA}, c as (select least(4, n_words // 10) as bucket, count(*) as n, sum((pred = label)::int)::double as ok from risk group by 1) select bucket, n, ok / n as accuracy from c",
     "z7_dedup": f"with {RAW} select min(sample_id) as sample_id, count(*) as copies from qa group by lower(regexp_replace(answer, '[{SP}]+', ' ', 'g'))",
 }

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskframe.operators.metrics import point_metrics, ranking_metrics
 from riskframe.operators.report import over_seeds
-from riskframe.operators.splits import folds, in_split_of
+from riskframe.operators.splits import folds
 from riskframe.plans.features import GROUPS, columns_of
 
 #: Seeds of the protocol, and the grid of the random search.
@@ -85,14 +85,14 @@ def tune(df: DataFrame, columns: list[str], candidates: list[dict], n_folds: int
     evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
     found = CrossValidator(estimator=model, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=n_folds, parallelism=parallelism).fit(ready)
     best = max(range(len(candidates)), key=lambda i: found.avgMetrics[i])
-    return candidates[best], found.avgMetrics[best]
+    return candidates[best], float(found.avgMetrics[best])
 
 
 def over_protocol(df: DataFrame, columns: list[str], seeds: tuple[int, ...] = SEEDS, name: str = "boosted_trees", **params) -> DataFrame:
     """(model, seed, metric, value) on test rows of one fit for each seed."""
     out = None
     for seed in seeds:
-        scored = predict(fit_boosted(df, columns, seed, **params), in_split_of(df, "test"))
+        scored = predict(fit_boosted(df, columns, seed, **params), df.filter("split = 'test'"))
         row = point_metrics(scored).crossJoin(F.broadcast(ranking_metrics(scored)))  # one row each
         long = row.select(F.lit(name).alias("model"), F.lit(seed).alias("seed"), F.expr("stack(4, 'f1', f1, 'mcc', mcc, 'auroc', auroc, 'pr_auc', pr_auc) as (metric, value)"))
         out = long if out is None else out.unionByName(long)

@@ -51,7 +51,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample_id, item_idx, label, prob, prob_b) of lineitem, with many ties."""
     return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("_", "l_orderkey", "l_linenumber").alias("sample_id"), F.col("l_orderkey").alias("item_idx"),
+        F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)")).alias("sample_id"), F.col("l_orderkey").alias("item_idx"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_quantity") / 50).alias("prob"), (F.col("l_discount") * 10).alias("prob_b"),
     )
 
