@@ -23,21 +23,26 @@ from riskframe.llm._shared import known_columns, staged
 DEPTH, LEAST_TOKENS, SIMILAR = 3, 4, 0.7
 WILD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
+#: White space other than single spaces.
+UNEVEN = r"[\x09-\x0D]|\x20\x20"
 NO_ID = -(1 << 63)
 
 
-def masked_tokens(line: Column) -> Column:
-    """Tokens of a line, those with digits as wildcards."""
-    return F.transform(F.filter(F.split(line, SPACE), lambda t: t != ""), lambda t: F.when(t.rlike("[0-9]"), F.lit(WILD)).otherwise(t))
+def masked(line: Column) -> Column:
+    """Tokens of a line parted by single spaces, those with digits as wildcards; lines that need neither change pass as they are."""
+    plain = F.trim(F.when(line.rlike(UNEVEN), F.regexp_replace(line, SPACE, " ")).otherwise(line))
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", WILD)).otherwise(plain)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, line, leaf, variant, raw) of the lines that are long enough."""
+    """(doc_id, digest, line, leaf, variant, norm) of the lines that are long enough; norm holds the masked tokens."""
     text = F.coalesce("text", F.lit(""))
     lines = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("digest"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    lines = lines.withColumn("tokens", masked_tokens(F.col("raw"))).filter(F.size("tokens") >= LEAST_TOKENS)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
-    return lines.select("doc_id", "digest", "line", leaf.alias("leaf"), F.xxhash64(F.lit("line"), "tokens").alias("variant"), "raw")
+    lines = lines.select("doc_id", "digest", "line", masked(F.col("raw")).alias("norm"))
+    n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    lines = lines.withColumn("n_tokens", F.when(F.col("norm") == "", 0).otherwise(n)).filter(F.col("n_tokens") >= LEAST_TOKENS)
+    leaf = F.xxhash64("n_tokens", F.substring_index("norm", " ", DEPTH))
+    return lines.select("doc_id", "digest", "line", leaf.alias("leaf"), F.xxhash64(F.lit("line"), "norm").alias("variant"), "norm")
 
 
 def generalised(lines: DataFrame, slim: DataFrame) -> DataFrame:
@@ -46,7 +51,7 @@ def generalised(lines: DataFrame, slim: DataFrame) -> DataFrame:
     leaves = variants.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
     chosen = variants.join(leaves, "leaf").select("leaf", "n", F.col("variant").alias("chosen"), "first.*")
     own = lines.join(chosen, ["leaf", "doc_id", "digest", "line"]).dropDuplicates(["leaf", "chosen"])
-    own = staged(own.select("leaf", "n", F.col("chosen").alias("variant"), masked_tokens(F.col("raw")).alias("tokens")), "variants")
+    own = staged(own.select("leaf", "n", F.col("chosen").alias("variant"), F.split("norm", " ").alias("tokens")), "variants")
     each = own.select("leaf", "n", F.posexplode("tokens").alias("at", "token"))
     constants = each.groupBy("leaf", "n", "at", "token").agg(F.count("*").alias("having")).filter("2 * having > n")
     templates = constants.groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("constants"))
@@ -59,7 +64,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, digest, dropped): numbers of the lines that go, for documents (by id and hash of the text) that lose any."""
     docs = known_columns(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = lines_of(docs)
-    slim = staged(lines.drop("raw"), "lines")
+    slim = staged(lines.drop("norm"), "lines")
     template = staged(generalised(lines, slim), "templates")
     places = slim.select("doc_id", "digest", "line", "variant").distinct().join(template, "variant", "left")
     places = staged(places.select("doc_id", "digest", "line", F.coalesce("template", "variant").alias("template")), "places")
