@@ -1,8 +1,8 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Documents fall into a fixed number of blocks for each source by a hash, which is a random permutation of the source.
-A source's quota is the number of block draws that reach its target: whole passes over the source, then permuted blocks,
-the last of which is cut at the sub-block that comes nearest. The tree starts from all quotas and the whole range of output
+A source's quota is the number of block draws that reach its target: whole passes over the source, then permuted blocks
+as far as they fit, and a last one that is cut into sub-blocks to come nearest. The tree starts from all quotas and the whole range of output
 shards. Each node puts its draws in a random order and hands the first part to its left half, which is exactly a
 multivariate-hypergeometric draw of how many blocks of each source go left; the halves recurse down to single shards. Shards
 then take disjoint runs of each source's permuted draws, and rows are shuffled within their shard by hash.
@@ -57,18 +57,34 @@ def spread(seed: int, *of: str | Column) -> Column:
     return F.xxhash64(F.lit(seed), *of)
 
 
+def filled(parts: str, rest: str, no: str) -> Column:
+    """Struct (left, got) of going through parts (o, no, words) in order and taking each that fits in what is left."""
+    kind = "cast(array() as array<int>)"
+    return F.expr(
+        f"aggregate({parts}, struct({rest} as left, {kind} as got), (a, x) -> if(x.words > 0 and x.words <= a.left, "
+        f"struct(a.left - x.words as left, array_append(a.got, x.{no}) as got), a))"
+    )
+
+
+def in_order(no: str, seed: int) -> Column:
+    return F.array_sort(F.collect_list(F.struct(spread(seed, no).alias("o"), F.col(no), F.col("words"))))
+
+
 def drawn_blocks(blocks: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """(source, block, source_size, target, passes, rest, part): passes whole draws of the block; part is 1 where the last,
-    partial pass takes all of the block, 2 where it is cut after rest words, else 0."""
-    order = W.partitionBy("source").orderBy(spread(seed, "block"), "block")
-    before = F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    return (
-        blocks.join(targets, F.expr("source <=> t_source")).drop("t_source")
-        .withColumn("passes", passes.cast("int"))
-        .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size") - before)
-        .withColumn("part", F.expr("case when words = 0 or rest <= 0 then 0 when words <= rest then 1 else 2 end"))
-    )
+    partial pass takes all of the block, 2 where it is cut after rest words, else 0.
+
+    The partial pass goes through the source's permuted blocks and takes those that fit; the smallest other one is cut.
+    """
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    each = blocks.groupBy("source").agg(in_order("block", seed).alias("parts")).join(targets, F.expr("source <=> t_source")).drop("t_source")
+    each = each.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
+    each = each.withColumn("fill", filled("parts", "rest", "block"))
+    cut = F.expr("array_min(transform(filter(parts, x -> x.words > 0 and not array_contains(fill.got, x.block)), x -> struct(x.words, x.block))).block")
+    each = each.withColumn("cut", cut)
+    return each.select(
+        "source", "source_size", "target", "passes", F.col("fill.left").alias("rest"), "cut", "fill.got", F.explode("parts.block").alias("block")
+    ).withColumn("part", F.expr("case when array_contains(got, block) then 1 when block = cut and rest > 0 then 2 else 0 end")).drop("cut", "got")
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -99,14 +115,15 @@ def mixture_plan(sized: DataFrame, weights: list[float], share: float, most: flo
     targets = with_targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     at = staged(drawn_blocks(blocks, targets.withColumnRenamed("source", "t_source"), seed), "drawn")
     cut = at.filter("part = 2").select(F.col("source").alias("c_source"), F.col("block").alias("c_block"), "rest")
-    within = W.partitionBy("source", "block").orderBy(spread(seed, "sub"), "sub").rowsBetween(W.unboundedPreceding, -1)
     subs = (
         sized.join(F.broadcast(cut) if cut.count() <= BROADCAST_BLOCKS else cut, F.expr("source <=> c_source and block = c_block"))
         .groupBy("source", "block", "sub", "rest").agg(F.sum("words").alias("words"))
-        .withColumn("before", F.coalesce(F.sum("words").over(within), F.lit(0)))
-        .filter("before + words / 2 <= rest")
-        .groupBy(F.col("source").alias("s_source"), F.col("block").alias("s_block")).agg(F.array_sort(F.collect_list("sub")).alias("subs"))
+        .groupBy(F.col("source").alias("s_source"), F.col("block").alias("s_block"), "rest").agg(in_order("sub", seed).alias("parts"))
+        .withColumn("fill", filled("parts", "rest", "sub"))
     )
+    # One more sub-block where going over by it is nearer than staying below.
+    over = F.expr("array_min(transform(filter(parts, x -> x.words > 0 and x.words < 2 * fill.left and not array_contains(fill.got, x.sub)), x -> struct(x.words, x.sub))).sub")
+    subs = subs.withColumn("over", over).select("s_source", "s_block", F.array_compact(F.array_append("fill.got", F.col("over"))).alias("subs"))
     draws = at.filter("passes > 0 or part > 0").select(
         "source", "block", F.posexplode(F.expr("transform(array_repeat(false, passes + if(part > 0, 1, 0)), (x, i) -> i >= passes and part = 2)")).alias("pass", "partial")
     )
