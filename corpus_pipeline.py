@@ -6,7 +6,7 @@ the rows it draws more than once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.llm import decontaminate, mixing, near_dedup, quality, sharding
 from riskframe.llm._shared import read_table, staged
@@ -15,13 +15,14 @@ SHARDS = 40
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows of docs whose doc_id isn't in gone, columns in their order."""
+    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    judged = quality.judged(docs, read_table(spark, sf_dir, "labels"))
-    return judged.filter("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +42,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row with its shard and its place there."""
-    return sharding.shard_by_bytes(docs, shards=SHARDS).withColumnsRenamed({"_size": "size", "_shard": "shard", "_slot": "slot"})
+    """Each row with its size, its shard and its slot there, as _size, _shard and _slot."""
+    return sharding.shard_by_bytes(docs, shards=SHARDS)
 
 
 STAGES = [("quality", good_quality), ("near_dedup", one_of_each_group), ("decontaminate", uncontaminated), ("mix", mixed), ("shard", sharded)]

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from riskframe.llm._shared import known_columns
 from riskframe.llm.shingles import LOWER, PIECE, span_hashes, utf8
@@ -195,15 +196,24 @@ def _score(model):
     return score
 
 
+def _scored(df: DataFrame, model: dict[str, np.ndarray], text_col: str, keep: list[str]) -> DataFrame:
+    """The keep columns of df as c0, c1, ... and the score of the text."""
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(_score(sent), StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())]))
+
+
 def score_quality(df: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The keep columns of df (all by default), each under its name, and the score of the text."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     keep = df.columns if keep is None else keep
-    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("_text"))
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    scored = rows.mapInArrow(_score(sent), StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())]))
-    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return _scored(df, model, text_col, keep).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
+
+
+def accepted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.3) -> DataFrame:
+    """The rows of df that score least or more, columns unchanged whatever their names."""
+    model = fit_quality(known_columns(df, doc_id=id_col, text=text_col), known_columns(labels, doc_id=id_col, label=label_col))
+    scored = _scored(df, model, text_col, df.columns).filter(F.col("score") >= least)
+    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.3, keep: list[str] | None = None) -> DataFrame:
