@@ -27,6 +27,8 @@ BLOCKS, SUBBLOCKS = 64, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of (source, block) up to which they are sent to every task.
 BROADCAST_BLOCKS = 20_000
+#: Words that a task sorts, about.
+TASK_WORDS = 4_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -145,15 +147,8 @@ def mixture_plan(sized: DataFrame, weights: list[float], share: float, most: flo
     )
 
 
-def mixed(
-    df: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 42,
-    text_col: str = "text", source_col: str = "source", id_col: str = "doc_id",
-) -> DataFrame:
-    """df with _mix_size, _mix_source_size, _mix_target and _mix_draws (array of (pass, shard)): what the mix takes of each row.
-
-    Sources in code-point order get the weights in turn; together they get share of all words, none more than most times
-    its own size.
-    """
+def _drawn(df: DataFrame, weights: list[float], share: float, most: float, shards: int, seed: int, text_col: str, source_col: str, id_col: str) -> tuple[DataFrame, float]:
+    """Columns of df as c0, c1, ... with words, source_size, target and draws; and the words that the mix takes, about."""
     names = df.columns
     rows = df.toDF(*[f"c{i}" for i in range(len(names))])
     text, source, doc = (F.col(f"c{names.index(c)}") for c in (text_col, source_col, id_col))
@@ -164,18 +159,39 @@ def mixed(
     few = plan.count() <= BROADCAST_BLOCKS
     at = sized.join(F.broadcast(plan) if few else plan, F.expr("source <=> _mix_source and block = _mix_block"), "left")
     here = F.filter(F.coalesce("draws", F.array()), lambda d: ~d["partial"] | F.coalesce(F.array_contains("subs", sub), F.lit(False)))
-    return at.select(
-        *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)],
-        F.col("words").alias("_mix_size"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"),
-        F.transform(here, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"))).alias("_mix_draws"),
+    here = F.transform(here, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard")))
+    total = plan.select("_mix_source", "target").distinct().agg(F.sum("target")).first()[0] or 0.0
+    return at.select(*rows.columns, "words", "source_size", "target", here.alias("draws")), total
+
+
+def mixed(
+    df: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 42,
+    text_col: str = "text", source_col: str = "source", id_col: str = "doc_id",
+) -> DataFrame:
+    """df with _mix_size, _mix_source_size, _mix_target and _mix_draws (array of (pass, shard)): what the mix takes of each row.
+
+    Sources in code-point order get the weights in turn; together they get share of all words, none more than most times
+    its own size.
+    """
+    drawn, _ = _drawn(df, weights, share, most, shards, seed, text_col, source_col, id_col)
+    return drawn.select(
+        *[F.col(f"c{i}").alias(n) for i, n in enumerate(df.columns)],
+        F.col("words").alias("_mix_size"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), F.col("draws").alias("_mix_draws"),
     )
 
 
-def mixture(df: DataFrame, seed: int = 42, **options) -> DataFrame:
-    """The mix itself: the columns of df, a row for each time it is drawn, in shards that are shuffled within."""
-    names = df.columns
-    drawn = mixed(df, seed=seed, **options)
-    rows = drawn.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)], F.explode("_mix_draws").alias("draw"))
+def mixture(
+    df: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 42,
+    text_col: str = "text", source_col: str = "source", id_col: str = "doc_id",
+) -> DataFrame:
+    """The mix itself: the columns of df, a row for each time it is drawn, in shards that are shuffled within.
+
+    A shard's random order is cut into runs of about ``TASK_WORDS`` words, so that no task sorts a whole shard.
+    """
+    drawn, total = _drawn(df, weights, share, most, shards, seed, text_col, source_col, id_col)
+    rows = drawn.select(*[f"c{i}" for i in range(len(df.columns))], F.explode("draws").alias("draw"))
     whole = [F.col(c) for c, kind in rows.dtypes if "map<" not in kind and c != "draw"]
-    rows = rows.withColumn("order", spread(seed, "draw", *whole))
-    return rows.repartition("draw.shard").sortWithinPartitions("draw.shard", "order").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    runs = max(1, math.ceil(total / shards / TASK_WORDS))
+    rows = rows.withColumn("order", spread(seed, "draw", *whole)).withColumn("run", F.floor((F.col("order") / 2.0**64 + 0.5) * runs).cast("int"))
+    rows = rows.repartition(shards * runs, "draw.shard", "run").sortWithinPartitions("draw.shard", "run", "order")
+    return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(df.columns)])
