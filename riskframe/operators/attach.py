@@ -58,3 +58,11 @@ def vector_cosines(pairs: DataFrame, vectors: DataFrame, left: str, right: str)
     a, b = (vectors.select(F.col("vec_id").alias(f"_{s}"), F.col("embedding").alias(f"_v{s}")) for s in "ab")
     joined = pairs.join(a, F.col(left) == F.col("_a"), "left").join(b, F.col(right) == F.col("_b"), "left")
     return joined.select(*pairs.columns, F.when(F.col("_va").isNull() | F.col("_vb").isNull(), F.lit(0.0)).otherwise(cosine(F.col("_va"), F.col("_vb"))).alias("cosine"))
+
+
+def provenance(samples: DataFrame, scores: DataFrame, source: str, key: str = "item_idx") -> DataFrame:
+    """One row: where inference scores come from, the order of their classes, and how many samples have them."""
+    matched = samples.join(scores.select(key, F.lit(1).alias("_scored")), key, "left")
+    return matched.agg(F.count("*").alias("samples"), F.count("_scored").alias("scored")).select(
+        F.lit(source).alias("source"), F.lit(",".join(CLASSES)).alias("class_order"), F.lit(2).alias("directions"), "samples", "scored"
+    )

@@ -75,11 +75,25 @@ def a5_sinks(spark, d):
     return by_split.groupBy("split", "label").agg(F.count("*").alias("n"), F.sum("item_idx").alias("ids"))
 
 
+@query
+def a7_provenance(spark, d):
+    """What the inference scores are: their table, class order, directions, samples with and without them."""
+    return attach.provenance(clean(spark, d), views.nli_scores(spark, d), "embeddings")
+
+
 @query
 def b1_fields(spark, d):
     return records.qa_fields(views.qa_raw(spark, d))
 
 
+@query
+def b2_dropped(spark, d):
+    """Raw records, and those left without the ones that lack a question or a right answer."""
+    raw = views.qa_raw(spark, d)
+    kept = records.qa_fields(raw).agg(F.count("*").alias("kept"))
+    return raw.agg(F.count("*").alias("records")).crossJoin(F.broadcast(kept))  # one row each
+
+
 @query
 def b3_expand(spark, d):
     return clean(spark, d)
@@ -202,6 +216,13 @@ def e2_attach_nli(spark, d):
     return attach.attach_nli(clean(spark, d), views.nli_scores(spark, d)).select("sample_id", *ft.GROUPS["nli"])
 
 
+@query
+def e3_alignment(spark, d):
+    """Samples by whether their context is blank and whether scores reached them, by key and not by position."""
+    df = attach.attach_nli(clean(spark, d), views.nli_scores(spark, d))
+    return df.groupBy(t.is_blank(F.col("context")).alias("blank"), F.col("nli_ctx_entails_ans").isNotNull().alias("scored")).agg(F.count("*").alias("n"))
+
+
 @query
 def e4_group_split(spark, d):
     return splits.with_split(clean(spark, d)).select("sample_id", "split")
@@ -243,6 +264,11 @@ def f5_balanced_sample(spark, d):
     return splits.sample_each(clean(spark, d), 100, "label", "sample_id").select("sample_id", "label")
 
 
+@query
+def f6_error_sample(spark, d):
+    return splits.sample_each(mistakes(spark, d), 10, "error_type", "sample_id").select("sample_id", "error_type")
+
+
 @query
 def f7_head(spark, d):
     return splits.head(clean(spark, d).select("sample_id", "label"), 20, "sample_id")

@@ -158,6 +158,18 @@ def i10_external(spark, d):
     return metrics.full_report(calibrate.calibrated(own.raw, own.platt, outside))
 
 
+@query
+def j1_platt(spark, d):
+    scored, _ = boosted_scores(spark, d)
+    return calibrate.apply_platt(calibrate.fit_platt(scored.filter("split = 'val'")), scored).select("sample_id", "split", "prob")
+
+
+@query
+def j2_isotonic(spark, d):
+    scored, _ = boosted_scores(spark, d)
+    return calibrate.apply_isotonic(calibrate.fit_isotonic(scored.filter("split = 'val'")), scored).select("sample_id", "split", "prob")
+
+
 @query
 def j3_calibration(spark, d):
     scored, _ = boosted_scores(spark, d)
