@@ -1,7 +1,9 @@
 """From documents to shards of a training mix: each stage works on all that the one before kept.
 
-Rows that share a doc_id stand or fall together. Every stage but the last returns the columns of documents; the mix repeats
-the rows it draws more than once.
+Every stage but the last returns the columns of documents, whatever else they are; the mix repeats the rows it draws more
+than once. Defined results: null text counts as empty; texts without words are scored like any, are no one's duplicate, are
+never contaminated and take no words of the mix; from deduplication on, rows that share a doc_id stand or fall together; a
+null doc_id is never removed as a duplicate or as contaminated; empty tables give an empty result.
 """
 
 from __future__ import annotations

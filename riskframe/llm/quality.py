@@ -9,7 +9,8 @@ The fit sees at most ``max_rows`` labelled rows, the first in a hash order of th
 bounds. Ids pick the rows; nothing but text goes into a score. Scoring is one pass without a shuffle.
 
 Defined results: null text is empty, and an empty text gets the score of a row without features; labels that are null or
-not 0 or 1 are left out, of repeated labels the larger counts; without labels of both classes all scores are the share of
+not 0 or 1 are left out, of repeated labels the larger counts, of
+repeated ids the least text; without labels of both classes all scores are the share of
 label 1 (0.5 without labels); repeated rows score alike; other columns play no part.
 """
 
@@ -80,7 +81,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     """(doc_id, text, y) of at most max_rows labelled rows that are not held out."""
     known = labels.filter("label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("y")).filter(~is_held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id").limit(max_rows)
-    return docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
