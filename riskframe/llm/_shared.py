@@ -14,10 +14,11 @@ UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 def scratch_root(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; only where that is unset (tests) a local one is made and set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="riskframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="riskframe-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/riskframe-{uuid.uuid4().hex}"
 
 
