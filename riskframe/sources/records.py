@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -13,13 +14,12 @@ CORRUPT = "_corrupt"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local one only where spark.checkpoint.dir is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that the cluster shares; a local one only where none is set."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="riskframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="riskframe-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/riskframe-{uuid.uuid4().hex}/{name}"
 
 
