@@ -56,7 +56,8 @@ def entry(spark, d):
 def a1_jsonl_scan(spark, d):
     path = records.scratch_path(spark, "qa_jsonl")
     views.qa_raw(spark, d).drop("id").write.option("ignoreNullFields", "false").json(path)
-    return records.read_jsonl(spark, path).filter("_corrupt is null").agg(
+    parsed = records.stored(records.read_jsonl(spark, path), "parsed")  # Spark can't query the column of bad lines alone before that
+    return parsed.filter("_corrupt is null").agg(
         F.count("*").alias("records"), F.sum(F.length("question")).alias("question_chars"), F.sum(F.length("right_answer")).alias("answer_chars"), F.sum(F.col("hallucinated_answer").isNull().cast("long")).alias("without")
     )
 
