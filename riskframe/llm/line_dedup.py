@@ -16,6 +16,9 @@ lines go is empty; an empty table gives an empty table; other columns play no pa
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.llm._shared import known_columns, staged
@@ -23,22 +26,25 @@ from riskframe.llm._shared import known_columns, staged
 DEPTH, LEAST_TOKENS, SIMILAR = 3, 4, 0.7
 WILD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
-#: White space other than single spaces.
-UNEVEN = r"[\x09-\x0D]|\x20\x20"
+#: What a line with white space other than single spaces has.
+UNEVEN = ("  ", "\t", "\x0b", "\x0c", "\r")
 NO_ID = -(1 << 63)
 
 
-def masked(line: Column) -> Column:
-    """Tokens of a line parted by single spaces, those with digits as wildcards; lines that need neither change pass as they are."""
-    plain = F.trim(F.when(line.rlike(UNEVEN), F.regexp_replace(line, SPACE, " ")).otherwise(line))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", WILD)).otherwise(plain)
+def masked_lines(text: Column) -> Column:
+    """Lines of a text with their tokens parted by single spaces, those with digits as wildcards; most lines pass as they are.
+
+    Each step is a pass over the array, so that a line's text is worked out once however often it is used.
+    """
+    uneven = lambda line: reduce(or_, [F.contains(line, F.lit(s)) for s in UNEVEN])
+    plain = F.transform(F.split(text, "\n"), lambda line: F.trim(F.when(uneven(line), F.regexp_replace(line, SPACE, " ")).otherwise(line)))
+    return F.transform(plain, lambda line: F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, line, leaf, variant, norm) of the lines that are long enough; norm holds the masked tokens."""
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("digest"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    lines = lines.select("doc_id", "digest", "line", masked(F.col("raw")).alias("norm"))
+    lines = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("digest"), F.posexplode(masked_lines(text)).alias("line", "norm"))
     n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
     lines = lines.withColumn("n_tokens", F.when(F.col("norm") == "", 0).otherwise(n)).filter(F.col("n_tokens") >= LEAST_TOKENS)
     leaf = F.xxhash64("n_tokens", F.substring_index("norm", " ", DEPTH))
