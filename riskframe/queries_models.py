@@ -2,39 +2,49 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import IDFModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.functions import measures as m
-from riskframe.operators import metrics, report, splits, stats
-from riskframe.plans import calibrate, explain, features as ft, models, score
+from riskframe.operators import errors, metrics, report, splits, stats
+from riskframe.plans import calibrate, explain, features as ft, models, score, semantic
 from riskframe.queries import clean, query, rounded
 from riskframe.sources import records, views
 from riskframe.streaming import score_stream as streaming
 
 #: Fewer and shallower rounds than the defaults of plans.models, for queries that fit many models.
 QUICK = {"maxIter": 12, "maxDepth": 3, "stepSize": 0.2}
-ONE = {"maxIter": 30, "maxDepth": 4, "stepSize": 0.1}
+
+
+def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, IDFModel]:
+    """The split table of all feature groups, stored: every fit and prediction reads it; and the weights of its cosines.
+
+    Samples without inference scores have them at their defaults.
+    """
+    rows = records.stored(splits.with_split(clean(spark, d)), "samples")
+    idf = semantic.fit_tfidf(rows.filter("split = 'train'"))
+    full = ft.full_features(rows, views.nli_scores(spark, d), semantic.tfidf_cosines(idf, rows))
+    return records.stored(errors.with_defaults(full), "features"), idf
 
 
 def data(spark: SparkSession, d: str) -> DataFrame:
-    """The split feature table, stored: every fit and prediction reads it."""
-    return records.stored(splits.with_split(ft.text_features(clean(spark, d))), "features")
+    return prepared(spark, d)[0]
 
 
 def columns(df: DataFrame) -> list[str]:
     return ft.columns_of(df)
 
 
-def boosted_scores(spark: SparkSession, d: str, **params) -> tuple[DataFrame, models.PipelineModel]:
+def boosted_scores(spark: SparkSession, d: str) -> tuple[DataFrame, models.PipelineModel]:
     df = data(spark, d)
-    model = models.fit_boosted(df, columns(df), 42, **(params or ONE))
+    model = models.fit_boosted(df, columns(df), 42)
     return models.predict(model, df), model
 
 
-def scorer(df: DataFrame) -> score.Scorer:
-    model = models.fit_boosted(df, columns(df), 42, **ONE)
+def scorer(df: DataFrame, idf: IDFModel) -> score.Scorer:
+    model = models.fit_boosted(df, columns(df), 42)
     platt = calibrate.fit_platt(models.predict(model, df.filter("split = 'val'")))
-    return score.Scorer(model, platt, columns(df))
+    return score.Scorer(model, platt, columns(df), idf=idf)
 
 
 @query
@@ -115,7 +125,7 @@ def h3_logistic(spark, d):
 @query
 def h4_forest(spark, d):
     df = data(spark, d)
-    scored = models.predict(models.forest(columns(df), 42, trees=100, depth=8).fit(df.filter("split = 'train'")), df.filter("split = 'test'"))
+    scored = models.predict(models.forest(columns(df), 42).fit(df.filter("split = 'train'")), df.filter("split = 'test'"))
     return metrics.full_report(scored)
 
 
@@ -153,8 +163,8 @@ def h10_predictions(spark, d):
 @query
 def i10_external(spark, d):
     """A frozen model on responses that it was not fitted on."""
-    own = scorer(data(spark, d))
-    outside = ft.text_features(records.normalise_responses(views.responses(spark, d)))
+    own = scorer(*prepared(spark, d))
+    outside = score.features_of(records.normalise_responses(views.responses(spark, d)), own)
     return metrics.full_report(calibrate.calibrated(own.raw, own.platt, outside))
 
 
@@ -178,8 +188,8 @@ def j3_calibration(spark, d):
 
 @query
 def j4_calibrated_scores(spark, d):
-    df = data(spark, d)
-    own = scorer(df)
+    df, idf = prepared(spark, d)
+    own = scorer(df, idf)
     return calibrate.calibrated(own.raw, own.platt, df).select("sample_id", "split", "raw_prob", "prob", "pred")
 
 
@@ -220,18 +230,18 @@ def l5_summary(spark, d):
 
 @query
 def n2_scores(spark, d):
-    own = scorer(data(spark, d))
+    own = scorer(*prepared(spark, d))
     return score.scored(views.qa_turns(spark, d), own).select("sample_id", "risk_score", "label", "version", "warning")
 
 
 @query
 def n3_explanations(spark, d):
-    return score.explained(views.qa_turns(spark, d), scorer(data(spark, d)))
+    return score.explained(views.qa_turns(spark, d), scorer(*prepared(spark, d)))
 
 
 @query
 def n5_scores_with_explanations(spark, d):
-    return score.scored_and_explained(views.qa_turns(spark, d), scorer(data(spark, d))).select("sample_id", "risk_score", "label", "explanation")
+    return score.scored_and_explained(views.qa_turns(spark, d), scorer(*prepared(spark, d))).select("sample_id", "risk_score", "label", "explanation")
 
 
 @query
