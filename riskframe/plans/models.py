@@ -88,11 +88,16 @@ def tune(df: DataFrame, columns: list[str], candidates: list[dict], n_folds: int
     return candidates[best], float(found.avgMetrics[best])
 
 
-def over_protocol(df: DataFrame, columns: list[str], seeds: tuple[int, ...] = SEEDS, name: str = "boosted_trees", **params) -> DataFrame:
+def fit_forest(df: DataFrame, columns: list[str], seed: int, **params) -> PipelineModel:
+    """On train rows of df (with split)."""
+    return forest(columns, seed, **params).fit(df.filter("split = 'train'"))
+
+
+def over_protocol(df: DataFrame, columns: list[str], seeds: tuple[int, ...] = SEEDS, name: str = "boosted_trees", fit=fit_boosted, **params) -> DataFrame:
     """(model, seed, metric, value) on test rows of one fit for each seed."""
     out = None
     for seed in seeds:
-        scored = predict(fit_boosted(df, columns, seed, **params), df.filter("split = 'test'"))
+        scored = predict(fit(df, columns, seed, **params), df.filter("split = 'test'"))
         row = point_metrics(scored).crossJoin(F.broadcast(ranking_metrics(scored)))  # one row each
         long = row.select(F.lit(name).alias("model"), F.lit(seed).alias("seed"), F.expr("stack(4, 'f1', f1, 'mcc', mcc, 'auroc', auroc, 'pr_auc', pr_auc) as (metric, value)"))
         out = long if out is None else out.unionByName(long)
@@ -104,7 +109,7 @@ def ablation(df: DataFrame, seeds: tuple[int, ...] = SEEDS, **params) -> DataFra
     out = None
     groups = [g for g in GROUPS if all(c in df.columns for c in GROUPS[g])]
     for gone in groups:
-        part = over_protocol(df, columns_of(df, [g for g in groups if g != gone]), seeds, gone, **params).filter("metric in ('f1', 'auroc')")
+        part = over_protocol(df, columns_of(df, [g for g in groups if g != gone]), seeds, gone, fit_boosted, **params).filter("metric in ('f1', 'auroc')")
         out = part if out is None else out.unionByName(part)
     return over_seeds(out).select(F.col("model").alias("removed_group"), "metric", "mean", "std")
 

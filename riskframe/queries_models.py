@@ -12,9 +12,6 @@ from riskframe.queries import clean, query, rounded
 from riskframe.sources import records, views
 from riskframe.streaming import score_stream as streaming
 
-#: Fewer and shallower rounds than the defaults of plans.models, for queries that fit many models.
-QUICK = {"maxIter": 12, "maxDepth": 3, "stepSize": 0.2}
-
 
 def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, IDFModel]:
     """The split table of all feature groups, stored: every fit and prediction reads it; and the weights of its cosines.
@@ -137,21 +134,24 @@ def h5_boosted(spark, d):
 
 @query
 def h7_tuning(spark, d):
-    """The better of two points by group folds."""
+    """The best of the 30 sampled points by five group folds."""
     df = data(spark, d)
-    best, auc = models.tune(df.filter("split = 'train'"), columns(df), [{"maxDepth": n, "maxIter": 5} for n in (2, 4)], n_folds=3)
-    return spark.createDataFrame([(best["maxDepth"], auc)], "max_depth int, cv_auroc double").join(df.agg(F.count("*").alias("rows")))
+    best, auc = models.tune(df.filter("split = 'train'"), columns(df), models.random_params())
+    row = (best["maxDepth"], best["stepSize"], best["maxIter"], best["subsamplingRate"], best["featureSubsetStrategy"], auc)
+    kinds = "max_depth int, step_size double, max_iter int, subsampling double, features string, cv_auroc double"
+    return spark.createDataFrame([row], kinds).join(df.agg(F.count("*").alias("rows")))
 
 
 @query
 def h8_seed_protocol(spark, d):
     df = data(spark, d)
-    return report.over_seeds(models.over_protocol(df, columns(df), **QUICK))
+    trees = models.over_protocol(df, columns(df), name="random_forest", fit=models.fit_forest)
+    return report.over_seeds(models.over_protocol(df, columns(df)).unionByName(trees))
 
 
 @query
 def h9_ablation(spark, d):
-    return models.ablation(data(spark, d), seeds=(42,), **QUICK)
+    return models.ablation(data(spark, d))
 
 
 @query
