@@ -74,7 +74,7 @@ def a6_model_bundle(spark, d):
 @query
 def b4_line_numbers(spark, d):
     path = records.scratch_path(spark, "lines")
-    views.table(spark, d, "benchmark").orderBy("item_id").select(F.to_json(F.struct("item_id", "text")).alias("value")).coalesce(1).write.text(path)
+    views.table(spark, d, "benchmark").orderBy("item_id").select(F.to_json(F.struct("item_id", "text")).alias("value")).write.text(path)
     return records.number_lines(spark.read.text(path)).select("item_idx", F.length("value").alias("n_chars"))
 
 

@@ -40,8 +40,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = QA_JSON, strict: bo
 
 
 def number_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
-    """(item_idx, value): position of each non-blank line of a text file, in file order and without gaps."""
-    rows = lines.filter(~is_blank(F.col(text_col))).select(text_col)
+    """(item_idx, value): position of each non-blank line of text files, in order of file names and lines and without gaps.
+
+    Spark deals the largest files out first, so that the order of partitions isn't that of files.
+    """
+    rows = lines.filter(~is_blank(F.col(text_col))).select(
+        text_col, F.input_file_name().alias("_file"), F.expr("input_file_block_start()").alias("_start"), F.monotonically_increasing_id().alias("_at")
+    )
+    rows = rows.orderBy("_file", "_start", "_at")
     numbered = rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
     return lines.sparkSession.createDataFrame(numbered, f"item_idx long, {text_col} string")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from riskframe.functions.text import NON_SPACE
 from riskframe.sources.records import expand, qa_fields
 
+#: Turns of a conversation that one task orders.
+RANGE = 1024
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,11 +33,28 @@ def qa_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample_id, item_idx, question, context, answer): each assistant turn with the last user and assistant turns before it."""
     turns = table(spark, sf_dir, "conversations")
-    gathered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    before = lambda role: f"coalesce(element_at(filter(turns, x -> x.turn < t.turn and x.role = '{role}'), -1).text, '')"
-    return (
-        gathered.select("conv_id", "turns", F.explode("turns").alias("t")).filter("t.role = 'assistant'")
-        .select(F.concat_ws("_", F.lit("c"), "conv_id", "t.turn").alias("sample_id"), F.col("conv_id").alias("item_idx"), F.expr(before("user").replace("element_at(", "try_element_at(")).alias("question"), F.expr(before("assistant").replace("element_at(", "try_element_at(")).alias("context"), F.col("t.text").alias("answer"))
+    text_of = lambda role: F.max(F.when(F.col("role") == role, F.col("text")))
+    at = lambda role: F.max(F.when(F.col("role") == role, F.col("turn")))
+    # One row for each turn, whatever rows share it: of those of one role the last text counts.
+    each = turns.filter("turn is not null").groupBy("conv_id", "turn").agg(
+        at("user").alias("u"), at("assistant").alias("a"), text_of("user").alias("u_text"), text_of("assistant").alias("a_text")
+    ).withColumn("range", F.expr("turn div " + str(RANGE)))
+    # Numbers of turns, not texts, are carried: within a range of turns, and from the ranges before it.
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    ranges = each.groupBy("conv_id", "range").agg(F.max("u").alias("u"), F.max("a").alias("a"))
+    over = W.partitionBy("conv_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    carried = ranges.select(F.col("conv_id").alias("r_id"), F.col("range").alias("r_range"), last("u", over).alias("r_u"), last("a", over).alias("r_a"))
+    within = W.partitionBy("conv_id", "range").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    known = each.select("conv_id", "turn", "range", "a", last("u", within).alias("own_u"), last("a", within).alias("own_a")).filter("a is not null")
+    known = known.join(carried, F.expr("conv_id <=> r_id and range = r_range")).select(
+        F.col("conv_id").alias("k_id"), F.col("turn").alias("k_turn"), F.coalesce("own_u", "r_u").alias("q_turn"), F.coalesce("own_a", "r_a").alias("c_turn")
+    )
+    texts = lambda c: each.filter(f"{c} is not null").select(F.col("conv_id").alias(f"{c}_id"), F.col(c).alias(f"{c}_turn"), F.col(f"{c}_text"))
+    known = known.join(texts("u"), F.expr("k_id <=> u_id and q_turn = u_turn"), "left").join(texts("a"), F.expr("k_id <=> a_id and c_turn = a_turn"), "left")
+    asked = turns.filter("role = 'assistant'").join(known, F.expr("conv_id <=> k_id and turn = k_turn"), "left")
+    return asked.select(
+        F.concat_ws("_", F.lit("c"), "conv_id", "turn").alias("sample_id"), F.col("conv_id").alias("item_idx"),
+        F.coalesce("u_text", F.lit("")).alias("question"), F.coalesce("a_text", F.lit("")).alias("context"), F.col("text").alias("answer"),
     )
 
 
