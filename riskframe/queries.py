@@ -390,7 +390,7 @@ def k2_mcnemar_correctness(spark, d):
 
 @query
 def k3_bootstrap(spark, d):
-    return stats.bootstrap(predicted(spark, d), replicates=100)
+    return stats.bootstrap(predicted(spark, d))
 
 
 @query
