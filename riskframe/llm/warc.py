@@ -7,6 +7,7 @@ the archive. Readers then seek to single records.
 
 Files get a new name in each attempt and are renamed when complete; only files named in the stored inventory count, so
 tasks can be repeated. A task holds one record at a time. Folders of file: URIs must be shared; others go through pyarrow.
+Archives of several members are read through to their end; a cut member or trailer, or anything after the last member, raises.
 
 Defined results: null html is an empty payload; of equal payloads the records of the largest id are responses, however
 many, and where all ids are null all are; a null url is written as a urn of the id; an empty table makes no archive;
@@ -98,25 +99,46 @@ def parse_head(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:]) if k}
 
 
-def records(stream, inflate) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of an inflated stream, one at a time."""
-    buffer, at, ended = bytearray(), 0, False
+def inflated(stream) -> Iterator[bytes]:
+    """The content of a gzip file piece by piece, member after member. A member without its end or trailer, and anything after
+    the last one that isn't a member, raises."""
+    inflate, data, begun = zlib.decompressobj(31), b"", False
+    while True:
+        data = data or stream.read(CHUNK)
+        if not data and not begun:
+            return
+        begun = True
+        try:
+            piece = inflate.decompress(data, 16 * CHUNK)
+        except zlib.error as e:
+            raise ValueError(f"the archive isn't whole gzip members: {e}") from e
+        if inflate.eof:
+            data, inflate, begun = inflate.unused_data, zlib.decompressobj(31), False
+        elif not data and not piece:
+            raise ValueError("the archive ends within a gzip member")
+        else:
+            data = inflate.unconsumed_tail
+        yield piece
+
+
+def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of each record of a gzip file, one at a time; whether it is one member or many makes no difference."""
+    pieces, buffer, at = inflated(stream), bytearray(), 0
 
     def more() -> bool:
-        nonlocal buffer, at, ended
-        if ended:
+        nonlocal at
+        piece = next(pieces, None)
+        if piece is None:
             return False
-        data = stream.read(CHUNK)
         del buffer[:at]
         at = 0
-        buffer += inflate.decompress(data) if data else inflate.flush()
-        ended = not data
+        buffer.extend(piece)
         return True
 
     while True:
         while (end := buffer.find(b"\r\n\r\n", at)) < 0:
             if not more():
-                if bytes(buffer[at:]).strip():
+                if len(buffer) > at:
                     raise ValueError("the archive ends within a record")
                 return
         fields = parse_head(bytes(buffer[at:end]))
@@ -125,6 +147,8 @@ def records(stream, inflate) -> Iterator[tuple[dict[str, str], bytes]]:
         while len(buffer) < at + size + 4:
             if not more():
                 raise ValueError("the archive ends within a record")
+        if buffer[at + size : at + size + 4] != b"\r\n\r\n":
+            raise ValueError("a record is longer than it says")
         yield fields, bytes(buffer[at : at + size])
         at += size + 4
 
@@ -179,7 +203,7 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             archive, index = Store(path), Store(path + ".index")
             offset = n = 0
             with Store(row["path"]).reader() as source, archive.writer() as out, index.writer() as lines:
-                for n, (fields, block) in enumerate(records(source, zlib.decompressobj(31)), 1):
+                for n, (fields, block) in enumerate(records(source), 1):
                     squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     member = squeeze.compress(rewritten(fields, block, revisits.get(n - 1))) + squeeze.flush()
                     out.write(member)

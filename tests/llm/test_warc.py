@@ -52,11 +52,39 @@ def test_empty_table(pages):
     assert warc.archive_round_trip(pages.filter(F.lit(False))).count() == 0
 
 
-def test_cut_archives_are_noticed(tmp_path):
+def packed(*blocks):
+    import zlib
+
+    return zlib.compress(b"".join(warc.response(i, "u", b, "D") for i, b in enumerate(blocks)), wbits=31)
+
+
+def blocks_of(data):
     import io
+
+    return [block.partition(b"\r\n\r\n")[2] for _, block in warc.records(io.BytesIO(data))]
+
+
+def test_cut_archives_are_noticed():
+    data = packed(b"body")
+    assert blocks_of(data) == [b"body"]
+    for cut in (len(data) // 2, len(data) - 8, len(data) - 1):
+        with pytest.raises(ValueError):
+            blocks_of(data[:cut])
+    for after in (b"rubbish", b"\0" * 5, data[:9], data[: len(data) - 3]):
+        with pytest.raises(ValueError):
+            blocks_of(data + after)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_several_members(monkeypatch, chunk):
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    assert blocks_of(packed(b"a", b"b" * 99) + packed() + packed(b"c")) == [b"a", b"b" * 99, b"c"]
+    whole = packed(b"a", b"b")
+    middle = warc.response(0, "u", b"cut", "D")
     import zlib
 
-    data = zlib.compress(warc.response(1, "u", b"body", "D"), wbits=31)
-    assert len(list(warc.records(io.BytesIO(data), zlib.decompressobj(31)))) == 1
+    parts = zlib.compress(middle[:40], wbits=31) + zlib.compress(middle[40:], wbits=31)
+    assert blocks_of(whole + parts) == [b"a", b"b", b"cut"]
     with pytest.raises(ValueError):
-        list(warc.records(io.BytesIO(data[: len(data) // 2]), zlib.decompressobj(31)))
+        blocks_of(whole + zlib.compress(middle[:-2], wbits=31))
+    assert blocks_of(b"") == []
