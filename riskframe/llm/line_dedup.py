@@ -1,82 +1,133 @@
 """Line dedup with a log-template tree of fixed depth.
 
 A line's path in the tree is its number of tokens, then its first ``DEPTH`` tokens, tokens with digits standing as a
-wildcard. Lines at the same leaf share templates: a position is constant where more than half of the leaf's distinct lines
-have the same token, and variable elsewhere. A line that has the constants, and has them at ``SIMILAR`` of its positions or
-more, belongs to the leaf's template; any other line is a template of its own. A template that occurs in two documents or more
-is kept at its first place (smallest id, then line number) and dropped everywhere else.
-
-Only ids and hashes of lines are shuffled, except for lines of leaves that hold several distinct lines, and for
-documents that lose lines, which are rebuilt at the end.
-
-Defined results: null text stays null and has no lines; lines of fewer than ``LEAST_TOKENS`` tokens always stay, empty ones
-too; rows alike in id and text count as one document and lose the same lines; a null id comes first; a text all of whose
-lines go is empty; an empty table gives an empty table; other columns play no part.
+wildcard; a line whose tokens all have digits is taken as it is. Lines at the same leaf that have the same token, not a
+wildcard, at ``SIMILAR`` of their positions or more are alike, and lines that are alike, directly or through others, share a
+template: more lines can only join templates. A template that occurs in two documents or more is kept at its first place
+(smallest id, then line number) and dropped everywhere else.
+
+Alike lines are found without comparing all lines of a leaf. Positions after the leading tokens are cut into one group more
+than there may be differences, so that two alike lines have a whole group in common: only lines that share a group's tokens
+are compared. In a bucket of at most ``SMALL`` distinct lines every pair is; in a larger one every line with the bucket's first,
+and then those outside the bucket's largest template with all of the bucket's that aren't in theirs. Nothing is capped; that last
+step costs the product of the two counts.
+
+Lines are cut and masked once. Only ids and hashes of lines are shuffled, except for one line of each kind in leaves that hold
+several, and for documents that lose lines, which are rebuilt at the end.
+
+Defined results: null text stays null and has no lines; lines without tokens always stay; rows alike in id and text count as
+one document and lose the same lines; a null id comes first; a text all of whose lines go is empty; an empty table gives an empty
+table; other columns play no part.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.llm._shared import known_columns, staged
+from riskframe.llm.components import apart, components
 
-DEPTH, LEAST_TOKENS, SIMILAR = 3, 4, 0.7
+DEPTH = 3
+#: Tenths of a line's positions that alike lines have in common.
+SIMILAR = 7
+#: Distinct lines up to which all pairs of a bucket are compared.
+SMALL = 24
 WILD = "<*>"
-SPACE = r"[\x20\x09-\x0D]+"
-#: What a line with white space other than single spaces has.
-UNEVEN = ("  ", "\t", "\x0b", "\x0c", "\r")
+#: White space other than spaces and line ends.
+BLANKS = "\t\x0b\x0c\r"
+#: A token with a digit: no token begins inside another.
+FIGURE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+ALL_WILD = r"^<\*>(?: <\*>)*$"
 NO_ID = -(1 << 63)
 
 
-def masked_lines(text: Column) -> Column:
-    """Lines of a text with their tokens parted by single spaces, those with digits as wildcards; most lines pass as they are.
+def even_lines(text: Column) -> Column:
+    """Lines of a text with their tokens parted by single spaces, worked out on the whole text."""
+    blanks = F.when(text.rlike(f"[{BLANKS}]"), F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
+    return F.split(F.when(F.contains(blanks, F.lit("  ")), F.regexp_replace(blanks, " {2,}", " ")).otherwise(blanks), "\n")
+
+
+def masked(line: Column) -> Column:
+    """A line with wildcards for its tokens with digits, unless they all have some."""
+    wild = F.regexp_replace(line, FIGURE, WILD)
+    return F.when(line.rlike("[0-9]"), F.when(wild.rlike(ALL_WILD), line).otherwise(wild)).otherwise(line)
 
-    Each step is a pass over the array, so that a line's text is worked out once however often it is used.
-    """
-    uneven = lambda line: reduce(or_, [F.contains(line, F.lit(s)) for s in UNEVEN])
-    plain = F.transform(F.split(text, "\n"), lambda line: F.trim(F.when(uneven(line), F.regexp_replace(line, SPACE, " ")).otherwise(line)))
-    return F.transform(plain, lambda line: F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line))
+
+def leaf_of(norm: Column, n_tokens: Column) -> Column:
+    return F.xxhash64(n_tokens, F.substring_index(norm, " ", DEPTH))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, line, leaf, variant, norm) of the lines that are long enough; norm holds the masked tokens."""
+    """(doc_id, digest, line, leaf, variant) of the lines that have tokens."""
+    text = F.coalesce("text", F.lit(""))
+    lines = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("digest"), F.posexplode(even_lines(text)).alias("line", "plain"))
+    lines = lines.withColumn("plain", F.trim("plain")).filter("plain != ''").select("doc_id", "digest", "line", masked(F.col("plain")).alias("norm"))
+    n_tokens = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    return lines.select("doc_id", "digest", "line", leaf_of(F.col("norm"), n_tokens).alias("leaf"), F.xxhash64(F.lit("line"), "norm").alias("variant"))
+
+
+def distinct_lines(docs: DataFrame, slim: DataFrame) -> DataFrame:
+    """(node, leaf, tokens) of one line of each variant, in leaves that hold several."""
+    leaves = staged(slim.groupBy("leaf").agg(F.min("variant").alias("low"), F.max("variant").alias("high")).filter("low != high").select("leaf"), "leaves")
+    chosen = slim.join(leaves, "leaf").groupBy("variant").agg(F.min(F.struct("doc_id", "digest", "line", "leaf")).alias("at"))
+    wanted = chosen.groupBy(F.col("at.doc_id").alias("c_id"), F.col("at.digest").alias("c_digest")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "variant", F.col("at.leaf").alias("leaf"))).alias("chosen"))
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("digest"), F.posexplode(masked_lines(text)).alias("line", "norm"))
-    n = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("n_tokens", F.when(F.col("norm") == "", 0).otherwise(n)).filter(F.col("n_tokens") >= LEAST_TOKENS)
-    leaf = F.xxhash64("n_tokens", F.substring_index("norm", " ", DEPTH))
-    return lines.select("doc_id", "digest", "line", leaf.alias("leaf"), F.xxhash64(F.lit("line"), "norm").alias("variant"), "norm")
-
-
-def generalised(lines: DataFrame, slim: DataFrame) -> DataFrame:
-    """(variant, template) of the variants that belong to their leaf's template."""
-    variants = slim.groupBy("leaf", "variant").agg(F.min(F.struct("doc_id", "digest", "line")).alias("first"))
-    leaves = variants.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
-    chosen = variants.join(leaves, "leaf").select("leaf", "n", F.col("variant").alias("chosen"), "first.*")
-    own = lines.join(chosen, ["leaf", "doc_id", "digest", "line"]).dropDuplicates(["leaf", "chosen"])
-    own = staged(own.select("leaf", "n", F.col("chosen").alias("variant"), F.split("norm", " ").alias("tokens")), "variants")
-    each = own.select("leaf", "n", F.posexplode("tokens").alias("at", "token"))
-    constants = each.groupBy("leaf", "n", "at", "token").agg(F.count("*").alias("having")).filter("2 * having > n")
-    templates = constants.groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("constants"))
-    has_all = F.forall("constants", lambda c: F.get("tokens", c["at"]) == c["token"])
-    alike = F.size(F.filter("constants", lambda c: c["token"] != WILD)) >= SIMILAR * F.size("tokens")
-    return own.join(templates, "leaf").filter(alike & has_all).select("variant", F.xxhash64(F.lit("template"), "leaf").alias("template"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    found = rows.join(staged(wanted, "chosen"), F.expr("doc_id = c_id and digest = c_digest"))
+    found = found.select(even_lines(F.col("text")).alias("lines"), "chosen").select("lines", F.explode("chosen").alias("c"))
+    found = found.select(F.col("c.variant").alias("node"), F.col("c.leaf").alias("leaf"), F.trim(F.get("lines", F.col("c.line"))).alias("plain"))
+    return staged(found.dropDuplicates(["node"]).select("node", "leaf", F.split(masked(F.col("plain")), " ").alias("tokens")), "variants")
+
+
+def buckets_of(own: DataFrame) -> DataFrame:
+    """(bucket, node): for each group of positions without a wildcard, the leaf with the group's number and tokens."""
+    own = own.withColumn("rest", F.expr(f"size(tokens) - {DEPTH}")).withColumn("groups", F.expr(f"size(tokens) * {10 - SIMILAR} div 10 + 1")).filter("rest > 0")
+    cut = F.expr(f"transform(sequence(0, cast(groups as int) - 1), g -> struct(g, slice(tokens, cast({DEPTH + 1} + g * rest div groups as int), cast((g + 1) * rest div groups - g * rest div groups as int)) as part))")
+    each = own.select("leaf", "node", F.explode(cut).alias("x")).filter(~F.array_contains("x.part", WILD))
+    return each.select(F.xxhash64("leaf", "x.g", "x.part").alias("bucket"), "node")
+
+
+def alike(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The (a, b) pairs that have the same token at enough positions."""
+    left, right = (own.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
+    common = F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: (x == y) & (x != WILD)), lambda same: same))
+    return pairs.distinct().join(left, "a").join(right, "b").filter(10 * common >= SIMILAR * F.size("tokens_a")).select("a", "b")
+
+
+def templates(own: DataFrame) -> DataFrame:
+    """(variant, template) of the variants that share their template with others."""
+    in_bucket = buckets_of(own)
+    counts = staged(in_bucket.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1"), "counts")
+    member = staged(in_bucket.join(counts, "bucket"), "buckets")
+    small = member.filter(f"n <= {SMALL}").select("bucket", F.col("node").alias("a"))
+    close = small.join(small.withColumnRenamed("a", "b"), "bucket").filter("a < b").select("a", "b")
+    star = member.filter(f"n > {SMALL} and node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = staged(alike(close.union(star), own), "alike")
+    found = components(links)
+    large = member.filter(f"n > {SMALL}").select("bucket", "node")
+    if large.limit(1).count():
+        rows = staged(apart(large, found), "apart")
+        opened = rows.filter("opened").select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
+        every = rows.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
+        more = staged(alike(opened.join(every, "bucket").filter("label_a != label_b").select("a", "b"), own), "more")
+        if more.limit(1).count():
+            found = components(links.union(more))
+    return found.select(F.col("node").alias("variant"), F.xxhash64(F.lit("template"), "label").alias("template"))
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, dropped): numbers of the lines that go, for documents (by id and hash of the text) that lose any."""
     docs = known_columns(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = lines_of(docs)
-    slim = staged(lines.drop("norm"), "lines")
-    template = staged(generalised(lines, slim), "templates")
-    places = slim.select("doc_id", "digest", "line", "variant").distinct().join(template, "variant", "left")
-    places = staged(places.select("doc_id", "digest", "line", F.coalesce("template", "variant").alias("template")), "places")
-    several = places.groupBy("template").agg(F.min(F.struct("doc_id", "line", "digest")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id != last")
-    gone = places.join(several, "template").filter("struct(doc_id, line, digest) != first")
-    return gone.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list("line")).alias("dropped"))
+    slim = staged(lines_of(docs), "lines")
+    template = staged(templates(distinct_lines(docs, slim)), "templates")
+    places = slim.join(template, "variant", "left").select("doc_id", "digest", "line", F.coalesce("template", "variant").alias("template"))
+    # Templates of several documents are stored before lines join them: one that very many lines have is then dealt to several tasks.
+    places = staged(places, "places")
+    several = places.groupBy("template").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id != last_id")
+    again = staged(places.join(staged(several.select("template", "first_id"), "several"), "template"), "again")
+    first = again.filter("doc_id = first_id").groupBy("template").agg(F.min(F.struct("line", "digest")).alias("first"))
+    gone = again.join(staged(first, "firsts"), "template").filter("doc_id != first_id or struct(line, digest) != first").select("doc_id", "digest", "line")
+    return gone.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -85,22 +85,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-with docs as (select doc_id, text, md5(text) as digest, string_split(text, chr(10)) as lines from documents),
+with recursive docs as (select doc_id, text, md5(text) as digest, string_split(text, chr(10)) as lines from documents),
 raw as (select doc_id, digest, unnest(lines) as raw, unnest(range(len(lines))) as line from docs),
-tok as (select doc_id, digest, line, list_transform(list_filter(string_split_regex(raw, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
-  lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as tokens from raw),
-lines as (select doc_id, digest, line, tokens, len(tokens)::varchar || ':' || list_slice(tokens, 1, 3)::varchar as leaf from tok where len(tokens) >= 4),
-variants as (select distinct leaf, tokens from lines),
-leaves as (select leaf, count(*) as n from variants group by leaf having count(*) > 1),
-each_token as (select leaf, n, unnest(tokens) as token, unnest(range(1, len(tokens) + 1)) as pos from variants join leaves using (leaf)),
-constants as (select leaf, pos, token from each_token group by leaf, n, pos, token having 2 * count(*) > n),
-shared as (select leaf, count(*) as needed, count(*) filter (token <> '<*>') as fixed from constants group by leaf),
-own as (select leaf, tokens, row_number() over () as v from variants join leaves using (leaf)),
-own_token as (select leaf, v, len(tokens) as size, unnest(tokens) as token, unnest(range(1, len(tokens) + 1)) as pos from own),
-fits as (select v from own_token join constants using (leaf, pos, token) join shared using (leaf) group by v, size, needed, fixed having count(*) = needed and fixed >= 0.7 * size),
-template as (select leaf, tokens from own join fits using (v)),
-places as (select l.doc_id, l.digest, l.line, case when t.leaf is null then 'line ' || l.tokens::varchar else 'leaf ' || l.leaf end as template
-  from lines l left join template t on l.leaf = t.leaf and l.tokens = t.tokens),
+tok as (select doc_id, digest, line, list_filter(string_split_regex(raw, '[\x20\x09-\x0D]+'), lambda t: t <> '') as plain from raw),
+wild as (select *, list_transform(plain, lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as mask from tok where len(plain) > 0),
+lines as (select doc_id, digest, line, case when len(list_filter(mask, lambda t: t <> '<*>')) = 0 then plain else mask end as tokens from wild),
+variants as (select tokens, md5(array_to_string(tokens, ' ')) as v, len(tokens)::varchar || ':' || list_slice(tokens, 1, 3)::varchar as leaf from (select distinct tokens from lines)),
+alike as (select a.v as a, b.v as b from variants a join variants b using (leaf) where a.v <> b.v
+  and 10 * len(list_filter(list_transform(range(1, len(a.tokens) + 1), lambda i: a.tokens[i] = b.tokens[i] and a.tokens[i] <> '<*>'), lambda x: x)) >= 7 * len(a.tokens)),
+reach as (select a as v, a as r from alike union select reach.v, alike.b from reach join alike on reach.r = alike.a),
+template as (select v, min(r) as t from reach group by v),
+places as (select l.doc_id, l.digest, l.line, coalesce(t.t, md5(array_to_string(l.tokens, ' '))) as template from lines l left join template t on t.v = md5(array_to_string(l.tokens, ' '))),
 firsts as (select template, min(struct_pack(d := doc_id, l := line)) as first from places group by template having min(doc_id) <> max(doc_id)),
 gone as (select doc_id, list(line) as dropped from places join firsts using (template) where struct_pack(d := doc_id, l := line) <> first group by doc_id)
 select d.doc_id, coalesce(list_aggregate(list_filter(list_transform(d.lines, lambda x, i: case when list_contains(g.dropped, i - 1) then null else x end), lambda x: x is not null), 'string_agg', chr(10)), '') as text,

@@ -17,10 +17,65 @@ def test_exact_and_variable_lines(spark):
         "Mail to our friend ann today please dear reader\nx", "Mail to our friend bob today please dear reader", None, "",
     )
     assert out[0] == ("All rights reserved by us in 1999\nfirst own line of text\nshort", 3, 0)
-    assert out[1] == ("second own line here now", 2, 1) and out[2] == ("short\n", 3, 1)
+    assert out[1] == ("second own line here now", 2, 1) and out[2] == ("", 3, 2)
     assert out[3][2] == 0 and out[4] == ("", 1, 1) and out[5] == (None, 0, 0) and out[6] == ("", 1, 0)
 
 
+def test_lines_of_any_length(spark):
+    out = kept(spark, "Page 3\n12 2019\n\t \n很长的一行", "Page 4\n13 2020\n\t \n很长的一行", "Page  77 ", "12 2019")
+    assert [out[i] for i in range(4)] == [("Page 3\n12 2019\n\t \n很长的一行", 4, 0), ("13 2020\n\t ", 4, 2), ("", 1, 1), ("", 1, 1)]
+
+
+MAIL = "Mail to our friend {} today please dear {} reader of this paper"
+
+
+def test_more_lines_never_part_alike_ones(spark):
+    """Two lines that are alike stay so whatever else their leaf holds, and a leaf can have several templates."""
+    texts = [MAIL.format("ann", "old"), MAIL.format("bob", "old")]
+    assert kept(spark, *texts)[1][2] == 1
+    others = ["Mail to our " + " ".join(f"w{c}{i}" for i in "abcdefghi") for c in "stuvxyz"]
+    out = kept(spark, *texts, MAIL.format("ann", "new"), *others, others[0] + "", others[1].replace("wti", "else"))
+    assert [out[i][2] for i in range(12)] == [0, 1, 1, 0, 0, 0, 0, 0, 0, 0, 1, 1]
+
+
+def brute_templates(lines):
+    """Template of each line (tokens), by comparing all lines of a leaf."""
+    up = {x: x for x in lines}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in up:
+        for b in up:
+            if len(a) == len(b) and a[:3] == b[:3] and 10 * sum(x == y != "<*>" for x, y in zip(a, b)) >= 7 * len(a):
+                up[top(a)] = top(b)
+    return {x: top(x) for x in up}
+
+
+@pytest.mark.parametrize("small", [24, 1])
+def test_against_all_lines_of_a_leaf(spark, monkeypatch, small):
+    """With small = 1 every bucket takes the way of large ones."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    rng = random.Random(3)
+    lines = []
+    for _ in range(150):
+        n = rng.choice([2, 4, 5, 7, 10, 11])
+        lines.append(tuple(["a", "b", "c"][:n] + [rng.choice("xy") for _ in range(n - 3)]) if rng.random() < 0.9 else tuple(f"{rng.choice('pq')}{rng.randint(0, 9)}" for _ in range(n)))
+    mask = lambda t: t if all(any(c.isdigit() for c in x) for x in t) else tuple("<*>" if any(c.isdigit() for c in x) else x for x in t)
+    of = brute_templates([mask(x) for x in lines])
+    places, want = {}, []
+    for i, x in enumerate(lines):
+        places.setdefault(of[mask(x)], []).append(i)
+    for i, x in enumerate(lines):
+        want.append(int(places[of[mask(x)]][0] != i))
+    out = kept(spark, *[" ".join(x) for x in lines])
+    assert [out[i][2] for i in range(len(lines))] == want
+
+
 def test_lines_that_differ_stay(spark):
     out = kept(spark, "one two three four five six", "one two three nine ten twelve")
     assert out[0][2] == out[1][2] == 0
