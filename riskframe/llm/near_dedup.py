@@ -5,11 +5,15 @@ hash evaluations fill the bands. Texts with equal shingle sets are one node. Nod
 their full sets:
 
 * in a bucket of at most ``SMALL`` nodes, every pair;
-* in a larger one, every node with the bucket's first node. If that leaves the bucket's nodes in several components, all
-  nodes that are not in its largest one are compared with all nodes of the bucket's family (the large open buckets that
-  hang together), block against block, as products of 0/1 matrices over shared shingles. Nothing is capped.
+* in a larger one, every node with the bucket's first node. Where that leaves a large bucket's nodes in several components,
+  the nodes outside its most frequent one are open. A link of an open node to another node shows in its rarest shingles: of two
+  sets that are linked, each has a common shingle among its ``n - ceil(0.8 n) + 1`` rarest. So only nodes that share such a
+  shingle with an open one go on, in families that hang together by them, and open nodes are compared with their family block
+  against block, as products of 0/1 matrices over shared shingles. Nothing is capped; pages that share a template but
+  little else have no rare shingle in common and drop out, and real families cost the product of the two counts.
 
-Links are confirmed on full sets, and components are found by contracting edges.
+Links are confirmed on full sets, and components are found by contracting edges. Aggregates of buckets are stored before rows
+join them, so that a bucket that holds many rows can be dealt to several tasks.
 
 40 bands of 6 values miss a link of similarity 0.8 with probability (1 - 0.8**6)**40, about 5e-6.
 
@@ -24,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from riskframe.llm._shared import known_columns, staged
-from riskframe.llm.components import components
+from riskframe.llm.components import apart, components
 from riskframe.llm.shingles import mix, shingle_set, utf8
 
 BANDS, ROWS = 40, 6
@@ -144,7 +148,7 @@ def _family_links(pdf):
     return pd.DataFrame(pairs, columns=["a", "b"])
 
 
-def near_duplicates(df: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of df."""
     docs = known_columns(df, doc_id=id_col, text=text_col)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -154,7 +158,7 @@ def near_duplicates(df: DataFrame, width: int = 4, id_col: str = "doc_id", text_
     own = sketches.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).filter("node is not null")
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands"))
     in_band = nodes.select("node", F.explode("bands").alias("bucket"))
-    counts = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    counts = staged(in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1"), "counts")
     member = staged(in_band.join(counts, "bucket"), "buckets")
     small = member.filter(f"n <= {SMALL}").select("bucket", F.col("node").alias("a"))
     close = small.join(small.withColumnRenamed("a", "b"), "bucket").filter("a < b").select("a", "b")
@@ -169,12 +173,12 @@ def near_duplicates(df: DataFrame, width: int = 4, id_col: str = "doc_id", text_
 
     links = staged(confirmed(pairs, sets), "links")
     found = components(links)
-    more = family_links(member, found, sets)
+    more = family_links(member.filter(f"n > {SMALL}").select("bucket", "node"), found, sets)
     if more is not None:
         found = components(links.union(more))
     alone = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("own_id"))
     labelled = staged(alone.join(found, "node", "left"), "labelled")
-    ids = labelled.filter("label is not null").groupBy("label").agg(F.min("own_id").alias("component_id"))
+    ids = staged(labelled.filter("label is not null").groupBy("label").agg(F.min("own_id").alias("component_id")), "ids")
     per_node = labelled.join(ids, "label", "left").select("node", F.coalesce("component_id", "own_id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "node").join(per_node, "node", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -187,19 +191,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long")
 
 
-def family_links(member: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links that comparing with bucket hubs alone cannot show, in large buckets whose nodes are in several components."""
-    large = member.filter(f"n > {SMALL}").join(found, "node", "left").select("bucket", "hub", "node", F.coalesce("label", "node").alias("label"))
-    opened = large.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    opened = staged(large.join(opened.select("bucket"), "bucket"), "open")
-    if not opened.limit(1).count():
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, shingle) rows of (node, set) rows."""
+    for batch in batches:
+        for node, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found = np.frombuffer(x.as_buffer(), np.int64)
+            for i in range(0, len(found), 1 << 16):
+                part = pa.array(found[i : i + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(node, pa.int64()), len(part)), pa.repeat(pa.scalar(len(found), pa.int64()), len(part)), part], ["node", "n", "shingle"])
+
+
+def families(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, opened, family) of the (node, opened) rows that share one of their rarest shingles with an open node."""
+    each = staged(nodes.join(sets, "node").select("node", "set").mapInArrow(_shingles, "node long, n long, shingle long"), "shingles")
+    often = staged(each.groupBy("shingle").agg(F.count("*").alias("having")).filter("having > 1"), "often")
+    ranked = each.join(often, "shingle", "left").withColumn("at", F.row_number().over(W.partitionBy("node").orderBy(F.coalesce("having", F.lit(1)), "shingle")))
+    # Shingles that only one node has make no link, but count among the rarest.
+    rare = ranked.filter(f"having is not null and at <= n - ceil(n * {PERCENT} / 100.0) + 1").select("node", "shingle")
+    rare = staged(rare.join(nodes, "node"), "rare")
+    live = rare.groupBy("shingle").agg(F.count("*").alias("having"), F.max("opened").alias("opened"), F.min("node").alias("hub")).filter("having > 1 and opened")
+    joined = rare.join(staged(live.select("shingle", "hub"), "live"), "shingle").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    return nodes.join(components(joined).withColumnRenamed("label", "family"), "node")
+
+
+def family_links(large: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links that comparing with bucket hubs alone cannot show, in large buckets (bucket, node) whose nodes are in several components."""
+    nodes = staged(apart(large, found).groupBy("node").agg(F.max("opened").alias("opened")), "apart")
+    if not nodes.limit(1).count():
         return None
-    family = components(opened.select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "family")
-    nodes = opened.select("node", "label").distinct().join(family, "node")
-    size = nodes.groupBy("family", "label").agg(F.count("*").alias("n"))
-    largest = size.groupBy("family").agg(F.max(F.struct("n", "label")).alias("top")).select("family", F.col("top.label").alias("top"))
-    nodes = staged(nodes.join(largest, "family").select("family", "node", (F.col("label") != F.col("top")).alias("opened")), "family")
-    total = nodes.groupBy("family").agg(F.count("*").alias("every"), F.sum(F.col("opened").cast("int")).alias("open"))
+    nodes = staged(families(nodes, sets), "families")
+    total = staged(nodes.groupBy("family").agg(F.count("*").alias("every"), F.sum(F.col("opened").cast("int")).alias("open")), "total")
     nodes = nodes.join(total, "family").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("every") / BLOCK)).cast("int"))
     nodes = nodes.withColumn("open_salt", F.pmod(F.xxhash64(F.lit("open"), "node"), F.ceil(F.col("open") / BLOCK)).cast("int"))
     rows = nodes.join(sets, "node")

@@ -77,7 +77,18 @@ from d
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), width=4)
+
+
+OP7_SQL = """
+with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws from documents),
+sets as (select doc_id, list_distinct(case when len(ws) = 0 then [] else list_transform(range(1, greatest(2, len(ws) - 2)), lambda i: array_to_string(list_slice(ws, i, i + 3), ' ')) end) as s from words),
+each as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+links as (select a.doc_id as a, b.doc_id as b from each a join each b using (shingle) where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (select a as doc_id, b as r from links union select reach.doc_id, links.b from reach join links on reach.r = links.a),
+least as (select doc_id, min(r) as r from reach group by doc_id)
+select s.doc_id, len(s.s) as n_shingles, least(s.doc_id, coalesce(r, s.doc_id)) as component_id, s.doc_id <= coalesce(r, s.doc_id) as kept from sets s left join least using (doc_id)
+"""
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,4 +156,4 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL = {"op3_top_k": OP3_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL = {"op3_top_k": OP3_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
