@@ -13,10 +13,12 @@ UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests) a local one is made and set."""
+    """A new folder under spark.checkpoint.dir; only where that is unset and the master is local (tests) a local one is made and set."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="riskframe-"))
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/riskframe-{uuid.uuid4().hex}"
@@ -39,6 +41,17 @@ def known_columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{have}`").alias(name) for name, have in wanted.items()])
 
 
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores after it as it takes to differ from the taken ones (case aside)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

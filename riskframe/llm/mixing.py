@@ -12,7 +12,7 @@ All randomness is hashing under the seed, so reruns agree, lost executors includ
 
 Defined results: null text has no words; a null source is a source, last in order; documents of no words are drawn with
 their block and take 0 words; repeated rows are drawn alike; an empty table gives an empty table. Columns of the input
-pass through whatever their names; those added begin with ``_mix``.
+pass through whatever their names; those added begin with ``_mix``, with underscores after where the input has such a name.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from riskframe.llm._shared import staged
+from riskframe.llm._shared import fresh, staged
 
 BLOCKS, SUBBLOCKS = 64, 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -174,10 +174,8 @@ def mixed(
     its own size.
     """
     drawn, _ = _drawn(df, weights, share, most, shards, seed, text_col, source_col, id_col)
-    return drawn.select(
-        *[F.col(f"c{i}").alias(n) for i, n in enumerate(df.columns)],
-        F.col("words").alias("_mix_size"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), F.col("draws").alias("_mix_draws"),
-    )
+    added = zip(("words", "source_size", "target", "draws"), fresh(df.columns, "_mix_size", "_mix_source_size", "_mix_target", "_mix_draws"))
+    return drawn.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(df.columns)], *[F.col(have).alias(name) for have, name in added])
 
 
 def mixture(

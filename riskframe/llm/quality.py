@@ -11,7 +11,8 @@ bounds. Ids pick the rows; nothing but text goes into a score. Scoring is one pa
 Defined results: null text is empty, and an empty text gets the score of a row without features; labels that are null or
 not 0 or 1 are left out, of repeated labels the larger counts, of
 repeated ids the least text; without labels of both classes all scores are the share of
-label 1 (0.5 without labels); repeated rows score alike; other columns play no part.
+label 1 (0.5 without labels); repeated rows score alike; other columns play no part, and where one kept is named like one
+added, the added one gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from riskframe.llm._shared import known_columns
-from riskframe.llm.shingles import LOWER, PIECE, span_hashes, utf8
+from riskframe.llm._shared import fresh, known_columns
+from riskframe.llm.shingles import LOWER, span_hashes, utf8
 
 BITS = 18
-SHAPES = 5
+SHAPES, REPEATS = 5, 3
+#: Bytes, and words, of a text worked on at a time.
+TEXT_PIECE, WORD_PIECE = 1 << 20, 1 << 16
 MAX_ROWS = 16_000
 FOLDS = 5
 
@@ -50,20 +53,26 @@ CLASS = np.array(
 
 
 def features(text: bytes, seen: np.ndarray) -> np.ndarray:
-    """Ascending numbers of the features that the text has. seen: 2**BITS false flags, given back as they were."""
-    for at in range(0, len(text), 1 << 20):
-        kinds = CLASS[np.frombuffer(text, np.uint8)[at : at + (1 << 20)]]
+    """Ascending numbers of the features that the text has. seen: 2**BITS false flags, given back as they were.
+
+    Long texts are worked on in pieces that overlap, so that no n-gram is lost between them.
+    """
+    tail = np.empty(0, np.uint32)
+    for at in range(0, len(text), TEXT_PIECE):
+        kinds = np.concatenate((tail, CLASS[np.frombuffer(text, np.uint8)[at : at + TEXT_PIECE]]))
         kinds = kinds[np.append(True, kinds[1:] != kinds[:-1])]
         gram = kinds
         for n in range(1, min(SHAPES, len(kinds)) + 1):
             seen[((gram + np.uint32(n * 0x85EBCA6B % (1 << 32))) * np.uint32(2654435761)) >> np.uint32(32 - BITS)] = True
             gram = gram[:-1] * np.uint32(41) + kinds[n:]
+        tail = kinds[-SHAPES:]
     words = text.translate(LOWER).split()
-    for at in range(0, len(words), PIECE):
-        hashes = span_hashes(words[at : at + PIECE], 1)
+    for at in range(0, len(words), WORD_PIECE):
+        piece = words[at : at + WORD_PIECE + REPEATS]
+        hashes = span_hashes(piece, 1)
         seen[hashes >> np.uint64(64 - BITS)] = True
         again = hashes[1:] == hashes[:-1]
-        for n in range(1, 4):
+        for n in range(1, REPEATS + 1):
             if not again.any():
                 break
             seen[n] = True
@@ -208,7 +217,7 @@ def _scored(df: DataFrame, model: dict[str, np.ndarray], text_col: str, keep: li
 def score_quality(df: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The keep columns of df (all by default), each under its name, and the score of the text."""
     keep = df.columns if keep is None else keep
-    return _scored(df, model, text_col, keep).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return _scored(df, model, text_col, keep).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(*fresh(keep, "score")))
 
 
 def accepted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.3) -> DataFrame:
@@ -219,11 +228,12 @@ def accepted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """The keep columns of df with held_out, score and predicted, by a model fitted on the labelled rows that aren't held out."""
+    """The keep columns of df with held_out, score and predicted (see above for clashing names), by a model fitted on the labelled rows that aren't held out."""
     docs = known_columns(df, doc_id=id_col, text=text_col)
     model = fit_quality(docs, known_columns(labels, doc_id=id_col, label=label_col))
     keep = df.columns if keep is None else keep
-    out = score_quality(df.withColumn("_held_out", is_held_out(F.col(id_col))), model, text_col, [*keep, "_held_out"])
-    return out.withColumnRenamed("_held_out", "held_out").withColumn("predicted", (F.col("score") >= least).cast("int"))
-
-
+    rows = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], is_held_out(F.col(f"`{id_col}`")).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
+    out = _scored(rows, model, "text", rows.columns[:-1])
+    names = fresh(keep, "held_out", "score", "predicted")
+    made = F.col(f"c{len(keep)}"), F.col("score"), (F.col("score") >= least).cast("int")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[c.alias(n) for c, n in zip(made, names)])

@@ -10,8 +10,8 @@ is the number of rows in the shard's earlier cells plus its rank in its own cell
 Memory: the driver holds the cells, at most 4096 + 256 for each refined one; at most about ``shards`` + 512 are refined
 in a round. No task sees more than one cell.
 
-Defined results: null texts count no bytes and are keyed like a null; rows alike in every column are interchangeable and
-share a shard; an empty table gives an empty table.
+Defined results: null and empty texts count no bytes; very long texts count whole and only their hash is a key; rows alike in
+every column are interchangeable and share a shard; an empty table gives an empty table; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from riskframe.llm._shared import staged
+from riskframe.llm._shared import fresh, staged
 
 FIRST_BITS, NEXT_BITS, KEY_BITS = 12, 8, 64
 
@@ -99,6 +99,8 @@ def shard_by_bytes(
 ) -> DataFrame:
     """df with ``_size`` (UTF-8 bytes of the text plus overhead), ``_shard`` and ``_slot``, contiguous in key order.
 
+    Where df has columns of these names, those added get underscores after theirs.
+
     tolerance: share of a shard by which a splitter may miss its place. Cells of more than sort_rows rows, and of more than
     1/cells_at_most of all rows, are refined for sorting as well.
     """
@@ -122,9 +124,10 @@ def shard_by_bytes(
     at = F.coalesce(*[F.col(f"at{level}") for level in sorted({t[0] for t in table}) or [0]])
     keyed = keyed.select(*rows.columns, "size", "key", "tie", at.alias("at"))
     order = W.partitionBy(F.col("at")[2]).orderBy("key", "tie")
+    size, shard, slot = fresh(names, "_size", "_shard", "_slot")
     return keyed.select(
         *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)],
-        F.col("size").alias("_size"),
-        F.col("at")[0].cast("int").alias("_shard"),
-        (F.col("at")[1] + F.row_number().over(order) - 1).alias("_slot"),
+        F.col("size").alias(size),
+        F.col("at")[0].cast("int").alias(shard),
+        (F.col("at")[1] + F.row_number().over(order) - 1).alias(slot),
     )

@@ -135,6 +135,39 @@ def test_shards(spark, sort_rows):
     assert all(len(s) == 1 for t, s in of_text.items() if t not in ("same text", "")) and len(of_text["same text"]) < 4
 
 
+def test_shards_against_sorting_all_rows(spark):
+    """The law by brute force: rows in order of their keys, cut where the bytes before reach each shard's share."""
+    import xxhash
+
+    rows = [(i, None if i % 50 == 0 else "same text" if i % 3 == 0 else "x" * (i % 90)) for i in range(2000)]
+    shards, tolerance = 7, 0.002
+    out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shards, tolerance=tolerance).collect()
+
+    def key(i, text):
+        high, low = xxhash.xxh64(b"text", 42).intdigest(), xxhash.xxh64(b"row", 42).intdigest()
+        high = high if text is None else xxhash.xxh64(text.encode(), high).intdigest()
+        low = xxhash.xxh64(i.to_bytes(8, "little"), low).intdigest()
+        low = low if text is None else xxhash.xxh64(text.encode(), low).intdigest()
+        return high >> 32 << 32 | low & 0xFFFFFFFF
+
+    ordered = sorted(out, key=lambda r: key(r.doc_id, r.text))
+    total, below, slots = sum(r._size for r in out), 0, [0] * shards
+    assert [r._shard for r in ordered] == sorted(r._shard for r in out)
+    for r in ordered:
+        assert r._size == len((r.text or "").encode()) + 16 and r._slot == slots[r._shard]
+        slots[r._shard] += 1
+        share = total / shards
+        slack = tolerance * share + 200  # the largest row
+        assert r._shard * share - slack <= below <= (r._shard + 1) * share + slack
+        below += r._size
+
+
+def test_clashing_shard_names(spark):
+    df = spark.createDataFrame([(1, "a", 5, 6, 7)], "_slot long, text string, _SIZE long, _shard long, _shard_ long")
+    out = sharding.shard_by_bytes(df, 3)
+    assert out.columns == [*df.columns, "_size_", "_shard__", "_slot_"] and out.first()["_size_"] == 17 and out.first()["_slot"] == 1
+
+
 def test_shard_edge_cases(docs, no_docs, texts):
     out = sharding.shard_by_bytes(docs, 40)
     assert out.columns == [*docs.columns, "_size", "_shard", "_slot"] and out.count() == docs.count()
