@@ -1,111 +1,153 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is built once and stored: documents are cut into blocks of bounded size, and each block becomes one row
-with a posting list for each term, the ascending positions of the term in the block's documents laid end to end. Only
-terms that test items have are posted, since no other term can be looked up. A phrase is searched in a block by taking
-the posting list of its rarest term, shifted by the term's offset, and intersecting it with the shifted lists of the other
-terms from rare to common until none is left. Rarity is the number of postings over all blocks. Proximity matches
-take two rare terms of an item and ask for postings within a given distance.
+with a posting list for each of its terms, the ascending positions of the term in the block's documents laid end to end.
+Beside it lies the term dictionary: the number of postings of each term over all blocks. Terms are 64-bit hashes of words.
+
+A phrase is searched in a block by taking the posting list of its rarest term, shifted by the term's offset, and
+intersecting it with the shifted lists of the other terms from rare to common until none is left; all phrases go through these
+steps together. A proximity match is a place of an item's rarest term that has the rarest of the terms beside it in the item
+within a distance, in any order.
 
 Blocks are searched where they lie, without a shuffle, so neither common terms nor repeated passages gather anywhere. Test
-items go to the tasks in chunks of at most ``CHUNK_WORDS`` words, which bounds what is sent; more items take more passes.
+items go to the tasks in chunks of at most ``CHUNK_WORDS`` words (one item, if that is longer) as arrays of numbers, which bounds
+what the driver holds and sends; each chunk is one pass over the index, and only what it found is stored.
 
 Defined results: null texts have no words; items without words never occur; repeated rows each get their row; of equal
-item ids all count as one in the list of items; an empty table, or no items, gives rows without hits; other columns play no part.
+item ids all count as one in the list of items; an empty table, or no items, gives rows without hits; very long texts are whole
+blocks of their own; other columns play no part.
 """
 
 from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm._shared import known_columns, staged
-from riskframe.llm.shingles import utf8
+from riskframe.llm._shared import known_columns, scratch_root, staged
+from riskframe.llm.shingles import PIECE, span_hashes, utf8
 
 #: Bytes to words: A-Z fold, 0-9, a-z and all beyond ASCII stay, everything else parts words.
 TABLE = bytes(
     b + 32 if chr(b) in string.ascii_uppercase else b if b >= 0x80 or chr(b) in string.ascii_lowercase + string.digits else 0x20 for b in range(256)
 )
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 100_000
 #: Words of a block; a longer document is a block of its own.
 BLOCK_WORDS = 1 << 18
-INDEX = "doc_ids array<long>, digests array<long>, n_words array<int>, terms array<int>, ends array<int>, positions binary"
+#: Places that phrases are followed from at a time.
+PLACES = 1 << 20
+#: Terms of a proximity match.
+NEAR_TERMS = 4
+DISTANCE = 8
+BLOCK = "doc_ids array<long>, digests array<long>, n_words array<int>, terms binary, ends binary, positions binary"
+FOUND = "doc_id long, digest long, items array<string>, spans array<struct<start: long, stop: long>>, near array<struct<item: string, matches: long>>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+NEAR = pa.list_(pa.struct([("item", pa.string()), ("matches", pa.int64())]))
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-FOUND = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", SPANS)])
+def terms_of(text: bytes) -> np.ndarray:
+    """The hash of each word of a text."""
+    words = words_of(text)
+    pieces = [span_hashes(words[i : i + PIECE], 1) for i in range(0, len(words), PIECE)]
+    return np.concatenate(pieces).view(np.int64) if pieces else np.empty(0, np.int64)
+
+
+def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted value in ascending values, -1 where it isn't there."""
+    if not len(values):
+        return np.full(wanted.shape, -1)
+    at = np.searchsorted(values, wanted)
+    at[at == len(values)] = 0
+    return np.where(values[at] == wanted, at, -1)
 
 
 class Items:
-    """Test items as term numbers, with their distinct windows."""
+    """Test items as terms, with their distinct windows: arrays only, of a size that the words of the items bound."""
 
     def __init__(self, rows: list[tuple[str, str | None]], width: int):
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], list[int]] = {}
+        self.width = width
         self.ids = sorted({str(i) for i, _ in rows if i is not None})
         number = {i: k for k, i in enumerate(self.ids)}
-        self.terms = []
+        self.items, windows, owner = [], [np.empty((0, width + 1), np.int64)], [np.empty(0, np.int64)]
         for item, text in rows:
-            found = words_of((text or "").encode("utf-8", "surrogatepass"))
-            terms = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found]
-            if item is None or not terms:
+            terms = terms_of((text or "").encode("utf-8", "surrogatepass"))
+            if item is None or not len(terms):
                 continue
-            self.terms.append((number[str(item)], terms))
-            for i in range(max(1, len(terms) - width + 1)):
-                windows.setdefault(tuple(terms[i : i + width]), []).append(number[str(item)])
-        self.windows = [(w, sorted(set(items))) for w, items in windows.items()]
-
-    def ordered(self, postings: dict[int, int]) -> list[tuple[list[tuple[int, int]], int, list[int]]]:
-        """((term, offset) from rarest to most common, length, items) for each window whose terms are all posted somewhere."""
-        out = []
-        for window, items in self.windows:
-            if all(t in postings for t in window):
-                terms = sorted(zip(window, range(len(window))), key=lambda x: (postings[x[0]], x[1]))
-                out.append((terms, len(window), items))
-        return out
-
-
-def _build(vocabulary: dict[bytes, int]):
-    def block(ids, digests, counts, numbers) -> pa.RecordBatch:
-        flat = np.concatenate(numbers) if numbers else np.empty(0, np.int32)
-        gaps = np.repeat(np.arange(len(counts)), counts)
-        at = np.flatnonzero(flat >= 0)
-        # One place is left free after each document, so that no phrase runs on into the next.
-        order = np.argsort(flat[at], kind="stable")
-        at = at[order]
-        terms, starts = np.unique(flat[at], return_index=True)
-        positions = (at + gaps[at]).astype(np.int32)
-        ends = np.append(starts[1:], len(positions)) if len(terms) else starts
-        row = [[ids], [digests], [counts], [terms.astype(np.int32)], [ends.astype(np.int32)]]
-        kinds = [*[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 3]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)] + [pa.array([positions.tobytes()], pa.binary())], ["doc_ids", "digests", "n_words", "terms", "ends", "positions"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, digests, counts, numbers, size = [], [], [], [], 0
-        get = vocabulary.get
-        for batch in batches:
-            for i, text, digest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                found = words_of(utf8(text))
-                if ids and size + len(found) > BLOCK_WORDS:
-                    yield block(ids, digests, counts, numbers)
-                    ids, digests, counts, numbers, size = [], [], [], [], 0
-                ids.append(i)
-                digests.append(digest)
-                counts.append(len(found))
-                numbers.append(np.fromiter((get(w, -1) for w in found), np.int32, len(found)))
-                size += len(found)
-        if ids:
-            yield block(ids, digests, counts, numbers)
-
-    return build
+            self.items.append((number[str(item)], terms))
+            n = max(1, len(terms) - width + 1)
+            made = np.zeros((n, width + 1), np.int64)
+            made[:, 0] = min(width, len(terms))
+            made[:, 1 : 1 + min(width, len(terms))] = np.lib.stride_tricks.sliding_window_view(terms, min(width, len(terms)))
+            windows.append(made)
+            owner.append(np.full(n, number[str(item)]))
+        distinct, inverse = np.unique(np.concatenate(windows), axis=0, return_inverse=True)
+        self.lengths, self.windows = distinct[:, 0], distinct[:, 1:]
+        #: Of window w the items are owners[first[w]:first[w + 1]].
+        pairs = np.unique(np.stack((inverse.ravel(), np.concatenate(owner)), axis=1), axis=0)
+        self.first, self.owners = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1]
+
+    def terms(self) -> np.ndarray:
+        return np.unique(np.concatenate([np.empty(0, np.int64), *[t for _, t in self.items]]))
+
+
+@dataclass
+class Search:
+    """What a task needs: windows and proximity terms, each from the rarest term to the most common."""
+
+    ids: list[str]
+    terms: np.ndarray
+    offsets: np.ndarray
+    lengths: np.ndarray
+    first: np.ndarray
+    owners: np.ndarray
+    near_items: np.ndarray
+    near_terms: np.ndarray
+    near_n: np.ndarray
+    distance: int
+
+
+def by_rarity(items: Items, known: np.ndarray, postings: np.ndarray, distance: int) -> Search:
+    """known: ascending posted terms, with their numbers of postings over all blocks."""
+
+    def rarity(terms: np.ndarray) -> np.ndarray:
+        at = among(known, terms)
+        return np.where(at >= 0, postings[at] if len(postings) else 0, 0)
+
+    inside = np.arange(items.width)[None, :] < items.lengths[:, None]
+    n = np.where(inside, rarity(items.windows), np.iinfo(np.int64).max)
+    live = np.flatnonzero((n > 0).all(axis=1))
+    order = np.argsort(n[live], axis=1, kind="stable")
+    counts = items.first[live + 1] - items.first[live]
+    first = np.concatenate(([0], np.cumsum(counts)))
+    owners = items.owners[np.repeat(items.first[live] - first[:-1], counts) + np.arange(first[-1])]
+    near = []
+    for item, terms in items.items:
+        own = rarity(terms)
+        posted = np.flatnonzero(own)
+        if not len(posted):
+            continue
+        anchor = posted[np.argmin(own[posted])]
+        beside = posted[(abs(posted - anchor) <= distance // 2) & (terms[posted] != terms[anchor])]
+        _, once = np.unique(terms[beside], return_index=True)
+        beside = beside[np.sort(once)]
+        beside = beside[np.argsort(own[beside], kind="stable")][: NEAR_TERMS - 1]
+        if len(beside):
+            near.append((item, [terms[anchor], *terms[beside]]))
+    near_terms = np.zeros((len(near), NEAR_TERMS), np.int64)
+    for row, (_, terms) in zip(near_terms, near):
+        row[: len(terms)] = terms
+    return Search(
+        items.ids, np.take_along_axis(items.windows[live], order, axis=1), order, items.lengths[live], first, owners,
+        np.array([i for i, _ in near], np.int64), near_terms, np.array([len(t) for _, t in near], np.int64), distance,
+    )
 
 
 class Block:
@@ -113,119 +155,178 @@ class Block:
 
     def __init__(self, row: dict):
         self.doc_ids, self.digests, self.n_words = row["doc_ids"], row["digests"], np.array(row["n_words"], np.int64)
+        # One place is left free after each document, so that no phrase runs on into the next.
         self.firsts = np.concatenate(([0], np.cumsum(self.n_words + 1)))
-        positions, start = np.frombuffer(row["positions"], np.int32), 0
-        self.postings = {}
-        for term, end in zip(row["terms"], row["ends"]):
-            self.postings[term] = positions[start:end]
-            start = end
-
-    def phrase(self, terms: list[tuple[int, int]]) -> np.ndarray:
-        """First positions of a phrase, from its (term, offset) pairs in the order of intersection."""
-        term, offset = terms[0]
-        at = self.postings.get(term)
-        if at is None:
-            return np.empty(0, np.int32)
-        at = at - offset
-        for term, offset in terms[1:]:
-            of = self.postings.get(term)
-            if of is None or not len(at):
-                return np.empty(0, np.int32)
-            near = np.searchsorted(of, at + offset)
-            near[near == len(of)] = 0
-            at = at[of[near] == at + offset]
-        return at
-
-    def near(self, a: int, b: int, distance: int) -> np.ndarray:
-        """Positions of term a that have term b within distance words in the same document."""
-        x, y = self.postings.get(a), self.postings.get(b)
-        if x is None or y is None:
-            return np.empty(0, np.int32)
-        doc = np.searchsorted(self.firsts, x, side="right")
-        low = np.maximum(x - distance, self.firsts[doc - 1])
-        high = np.minimum(x + distance, self.firsts[doc] - 1)
-        return x[np.searchsorted(y, low) < np.searchsorted(y, high, side="right")]
+        self.terms, self.ends = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["ends"], np.int32).astype(np.int64)
+        self.positions = np.frombuffer(row["positions"], np.int32).astype(np.int64)
+        self.starts = np.concatenate(([0], self.ends[:-1])) if len(self.ends) else self.ends
+        #: Postings as ascending numbers: the term's place times stride, plus the position.
+        self.stride = int(self.firsts[-1]) + 1
+        self.postings = np.repeat(np.arange(len(self.terms)), self.ends - self.starts) * self.stride + self.positions
+
+    def places(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number in terms, position) of every posting of the terms (places in self.terms), about PLACES at a time."""
+        sizes = self.ends[terms] - self.starts[terms]
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(terms):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PLACES, side="right")))
+            n = sizes[at:to]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(np.arange(at, to), n), self.positions[np.repeat(self.starts[terms[at:to]], n) + within]
+            at = to
+
+    def phrases(self, search: Search) -> tuple[np.ndarray, np.ndarray]:
+        """(window, first position) of every occurrence of a window."""
+        at = among(self.terms, search.terms)
+        inside = np.arange(search.terms.shape[1])[None, :] < search.lengths[:, None]
+        live = np.flatnonzero(((at >= 0) | ~inside).all(axis=1))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for of, position in self.places(at[live, 0]):
+            window = live[of]
+            start = position - search.offsets[window, 0]
+            fits = (start >= 0) & (start + search.lengths[window] < self.stride)
+            window, start = window[fits], start[fits]
+            for step in range(1, search.terms.shape[1]):
+                more = search.lengths[window] > step
+                if not more.any():
+                    break
+                wanted = at[window, step] * self.stride + start + search.offsets[window, step]
+                keep = ~more | (among(self.postings, wanted) >= 0)
+                window, start = window[keep], start[keep]
+            found.append((window, start))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def near(self, search: Search) -> tuple[np.ndarray, np.ndarray]:
+        """(row of search.near_items, position of its rarest term) of every proximity match."""
+        at = among(self.terms, search.near_terms)
+        inside = np.arange(NEAR_TERMS)[None, :] < search.near_n[:, None]
+        live = np.flatnonzero(((at >= 0) | ~inside).all(axis=1))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for of, position in self.places(at[live, 0]):
+            item, doc = live[of], self.documents(position)
+            low, high = np.maximum(position - search.distance, self.firsts[doc]), np.minimum(position + search.distance, self.firsts[doc + 1] - 1)
+            for step in range(1, NEAR_TERMS):
+                base = at[item, step] * self.stride
+                keep = (search.near_n[item] <= step) | (np.searchsorted(self.postings, base + low) < np.searchsorted(self.postings, base + high, side="right"))
+                item, position, low, high = item[keep], position[keep], low[keep], high[keep]
+            found.append((item, position))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def documents(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.firsts, positions, side="right") - 1
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (doc_id, text, digest) rows."""
+    lists = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+    def block() -> pa.RecordBatch:
+        counts = [len(t) for t in terms]
+        flat = np.concatenate(terms)
+        order = np.argsort(flat, kind="stable")
+        distinct, starts = np.unique(flat[order], return_index=True)
+        positions = (order + np.repeat(np.arange(len(counts)), counts)[order]).astype(np.int32)
+        ends = np.append(starts[1:], len(flat)).astype(np.int32) if len(flat) else np.empty(0, np.int32)
+        row = [pa.array([x], kind) for x, kind in zip((ids, digests, counts), lists)]
+        return pa.RecordBatch.from_arrays([*row, *[pa.array([x.tobytes()], pa.binary()) for x in (distinct, ends, positions)]], ["doc_ids", "digests", "n_words", "terms", "ends", "positions"])
+
+    ids, digests, terms, size = [], [], [], 0
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield Block({name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)})
+        for i, text, digest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            found = terms_of(utf8(text))
+            if ids and size + len(found) > BLOCK_WORDS:
+                yield block()
+                ids, digests, terms, size = [], [], [], 0
+            ids.append(i)
+            digests.append(digest)
+            terms.append(found)
+            size += len(found)
+    if ids:
+        yield block()
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n) of each block's terms."""
+    for batch in batches:
+        for terms, ends in zip(batch.column(0), batch.column(1)):
+            ends = np.frombuffer(ends.as_buffer(), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms.as_buffer(), np.int64)), pa.array(np.diff(ends, prepend=0).astype(np.int64))], ["term", "n"])
+
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat = [c.flatten() for c in batch.columns]
+        yield pa.RecordBatch.from_arrays([flat[0], flat[1], flat[2].cast(pa.int64())], ["doc_id", "digest", "n_words"])
 
-def _search(windows: list, ids: list[str]):
-    by_rarest: dict[int, list] = {}
-    for terms, length, items in windows:
-        by_rarest.setdefault(terms[0][0], []).append((terms, length, items))
 
+def _search(sent):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _rows(batches):
-            edge = np.zeros(block.firsts[-1] + 1, np.int32)
-            found: dict[int, set[int]] = {}
-            for term in block.postings.keys() & by_rarest.keys():
-                for terms, length, items in by_rarest[term]:
-                    at = block.phrase(terms)
-                    if len(at):
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + length, -1)
-                        for doc in np.unique(block.documents(at)).tolist():
-                            found.setdefault(doc, set()).update(items)
-            inside = np.diff(np.cumsum(edge) > 0, prepend=False).astype(bool)
-            turns = np.flatnonzero(inside)
-            starts, stops = turns[::2], turns[1::2]
-            doc = block.documents(starts)
-            n_hit = np.bincount(doc, stops - starts, len(block.doc_ids)).astype(np.int64)
-            spans: list[list] = [[] for _ in block.doc_ids]
-            for d, x, y in zip(doc.tolist(), (starts - block.firsts[doc]).tolist(), (stops - block.firsts[doc]).tolist()):
-                spans[d].append({"start": x, "stop": y})
-            names = [[ids[k] for k in sorted(found.get(d, ()))] for d in range(len(block.doc_ids))]
-            columns = [pa.array(block.doc_ids, pa.int64()), pa.array(block.digests, pa.int64()), pa.array(block.n_words), pa.array(n_hit), pa.array(names, pa.list_(pa.string())), pa.array(spans, SPANS)]
-            for part in pa.table(columns, [f.name for f in FOUND]).to_batches(4096):
-                yield part
+        what: Search = sent.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block({name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)})
+                window, start = block.phrases(what)
+                near, place = block.near(what)
+                spans, items, close = {}, {}, {}
+                edge = np.zeros(block.stride + 1, np.int64)
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + what.lengths[window], -1)
+                turns = np.flatnonzero(np.diff(np.cumsum(edge) > 0, prepend=False))
+                starts, stops = turns[::2], turns[1::2]
+                doc = block.documents(starts)
+                for d, x, y in zip(doc.tolist(), (starts - block.firsts[doc]).tolist(), (stops - block.firsts[doc]).tolist()):
+                    spans.setdefault(d, []).append({"start": x, "stop": y})
+                for d, w in np.unique(np.stack((block.documents(start), window), axis=1), axis=0).tolist():
+                    items.setdefault(d, set()).update(what.owners[what.first[w] : what.first[w + 1]].tolist())
+                pairs, matches = np.unique(np.stack((block.documents(place), what.near_items[near]), axis=1), axis=0, return_counts=True)
+                for (d, item), n in zip(pairs.tolist(), matches.tolist()):
+                    close.setdefault(d, []).append({"item": what.ids[item], "matches": n})
+                docs = sorted(spans.keys() | close.keys())
+                columns = [
+                    pa.array([block.doc_ids[d] for d in docs], pa.int64()), pa.array([block.digests[d] for d in docs], pa.int64()),
+                    pa.array([[what.ids[k] for k in sorted(items.get(d, ()))] for d in docs], pa.list_(pa.string())),
+                    pa.array([spans.get(d, []) for d in docs], SPANS), pa.array([close.get(d, []) for d in docs], NEAR),
+                ]
+                yield from pa.table(columns, ["doc_id", "digest", "items", "spans", "near"]).to_batches(4096)
 
     return search
 
 
-def build_index(docs: DataFrame, items: Items) -> DataFrame:
-    """The stored index of docs (doc_id, text) for the terms of items."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    return staged(docs.mapInArrow(_build(items.vocabulary), INDEX), "index")
+@dataclass
+class Index:
+    blocks: DataFrame
+    #: (term, postings) of all terms of all blocks.
+    dictionary: DataFrame
 
+    def documents(self) -> DataFrame:
+        """(doc_id, digest, n_words) of each document."""
+        return self.blocks.select("doc_ids", "digests", "n_words").mapInArrow(_documents, "doc_id long, digest long, n_words long")
 
-def postings_by_term(index: DataFrame) -> dict[int, int]:
-    """Number of postings of each posted term over all blocks; there are no more terms than the items have."""
-    lists = F.expr("transform(terms, (t, i) -> struct(t as term, ends[i] - if(i = 0, 0, ends[i - 1]) as n))")
-    return {r.term: r.n for r in index.select(F.inline(lists)).groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
-
-def search_phrases(index: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, digest, n_words, n_hit, items, spans) for each document: words inside any window's occurrences, items with
-    one, and the runs of such words."""
-    kinds = "doc_id long, digest long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, stop: long>>"
-    return index.mapInArrow(_search(items.ordered(postings_by_term(index)), items.ids), kinds)
+def build_index(docs: DataFrame) -> Index:
+    """The stored index of docs (doc_id, text)."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    blocks = staged(docs.mapInArrow(_build, BLOCK), "index")
+    counts = blocks.select("terms", "ends").mapInArrow(_counts, "term long, n long")
+    return Index(blocks, staged(counts.groupBy("term").agg(F.sum("n").alias("postings")), "dictionary"))
 
 
-def search_proximity(index: DataFrame, items: Items, distance: int = 8) -> DataFrame:
-    """(doc_id, item_id, matches): places where the two rarest terms of an item lie within distance words of each other."""
-    postings, ids, pairs = postings_by_term(index), items.ids, []
-    for item, terms in items.terms:
-        rare = sorted({t for t in terms if t in postings}, key=lambda t: (postings[t], t))[:2]
-        if len(rare) == 2:
-            pairs.append((item, *rare))
+def search(index: Index, items: Items, distance: int = DISTANCE):
+    """(found, broadcast): rows of FOUND for the documents with a phrase or a proximity match of items, and what was sent to find them."""
+    spark = index.blocks.sparkSession
+    wanted = spark.createDataFrame(pa.table({"wanted": items.terms()}), "wanted long")  # bounded by a chunk's words
+    rows = index.dictionary.join(F.broadcast(wanted), F.col("term") == F.col("wanted")).select("term", "postings").toArrow()
+    terms, postings = (rows.column(c).to_numpy().astype(np.int64) for c in ("term", "postings"))
+    order = np.argsort(terms)
+    sent = spark.sparkContext.broadcast(by_rarity(items, terms[order], postings[order], distance))
+    return index.blocks.mapInArrow(_search(sent), FOUND), sent
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _rows(batches):
-            rows = []
-            for item, a, b in pairs:
-                docs, n = np.unique(block.documents(block.near(a, b, distance)), return_counts=True)
-                rows += [(block.doc_ids[d], ids[item], int(k)) for d, k in zip(docs, n)]
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["doc_id", "item_id", "matches"])
 
-    return index.mapInArrow(search, "doc_id long, item_id string, matches long")
+def search_proximity(index: Index, items: Items, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, item_id, matches): places of an item's rarest term with the rarest of the terms beside it within distance words."""
+    found, _ = search(index, items, distance)
+    return found.select("doc_id", F.inline("near")).withColumnRenamed("item", "item_id")
 
 
 def chunks(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> Iterator[Items]:
@@ -240,25 +341,29 @@ def chunks(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> Iter
     yield Items(rows, width)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, items, contaminated) for each row of docs; contaminated if n_hit is 5% of n_words or more."""
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", distance: int = DISTANCE
+) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, near, contaminated) for each row of docs; contaminated if n_hit is 5% of n_words or more.
+
+    items: those with a window of width words in the document; near: those with a proximity match.
+    """
     docs = known_columns(docs, doc_id=id_col, text=text_col)
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    parts = [search_phrases(build_index(docs, items), items) for items in chunks(benchmark, item_col, item_text_col, width)]
-    out = parts[0] if len(parts) == 1 else together(parts, docs)
-    return out.select("doc_id", "n_words", "n_hit", "items", F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"))
-
-
-def together(parts: list[DataFrame], docs: DataFrame) -> DataFrame:
-    """The results of several chunks of items as one: runs are united, so that no word counts twice."""
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    key = [F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")]
-    every = every.groupBy(*key, "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    index = build_index(docs)
+    path = f"{scratch_root(docs.sparkSession)}/found"
+    for items in chunks(known_columns(benchmark, item_id=item_col, text=item_text_col), "item_id", "text", width):
+        found, sent = search(index, items, distance)
+        found.write.mode("append").parquet(path)
+        sent.destroy()
+    names = lambda lists: F.array_sort(F.array_distinct(F.flatten(F.collect_list(lists))))
+    # Runs of several chunks are united, so that no word counts twice.
+    found = docs.sparkSession.read.schema(FOUND).parquet(path).groupBy(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")).agg(
+        names("items").alias("items"), names("spans").alias("spans"), names(F.col("near.item")).alias("near")
     )
     total = F.expr("aggregate(spans, struct(0L as at, 0L as n), (a, s) -> struct(greatest(a.at, s.stop) as at, a.n + greatest(0L, s.stop - greatest(a.at, s.start)) as n), a -> a.n)")
-    own = docs.select("doc_id", F.xxhash64("text").alias("digest"))
-    return own.join(every.withColumn("n_hit", total), F.expr("doc_id <=> k_id and digest = k_digest"))
+    found = staged(found.select("k_id", "k_digest", total.alias("n_hit"), "items", "near"), "united")
+    out = index.documents().join(found, F.expr("doc_id <=> k_id and digest = k_digest"), "left")
+    none = F.array().cast("array<string>")
+    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), *[F.coalesce(c, none).alias(c) for c in ("items", "near")])
+    return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))

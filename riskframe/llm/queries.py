@@ -55,10 +55,37 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        F.size("near").cast("long").alias("n_near"),
     )
 
 
+OP5_SQL = """
+with words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+tests as (select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from benchmark),
+starts as (select item, ws, unnest(range(1, greatest(2, len(ws) - 11))) as i from tests where len(ws) > 0),
+windows as (select distinct item, least(13, len(ws)) as size, array_to_string(list_slice(ws, i, i + 12), ' ') as phrase from starts),
+sizes as (select distinct size from windows),
+places as (select doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) as pos from words, sizes),
+hits as (select doc_id, item, pos, size from (select doc_id, size, pos, array_to_string(list_slice(ws, pos, pos + size - 1), ' ') as phrase from places) join windows using (size, phrase)),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(pos, pos + size)) as p from hits) group by doc_id),
+named as (select doc_id, list_sort(list(distinct item)) as items from hits group by doc_id),
+tokens as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as p from words),
+postings as (select w, count(*) as n from tokens group by w),
+terms as (select item, w, n, k from (select item, unnest(ws) as w, unnest(range(len(ws))) as k from tests) join postings using (w)),
+anchors as (select item, arg_min(w, struct_pack(n := n, k := k)) as anchor, min(struct_pack(n := n, k := k)).k as pos from terms group by item),
+beside as (select item, anchor, w, n, min(k) as k from terms join anchors using (item) where abs(k - pos) <= 4 and w <> anchor group by all),
+rarest as (select * from (select *, row_number() over (partition by item order by n, k) as rank from beside) where rank <= 3),
+need as (select item, count(*) as n from rarest group by item),
+met as (select a.doc_id, r.item, a.p from tokens a join rarest r on a.w = r.anchor join tokens t on t.doc_id = a.doc_id and t.w = r.w and abs(t.p - a.p) <= 8 join need on need.item = r.item
+  group by a.doc_id, r.item, a.p, need.n having count(distinct r.w) = need.n),
+near as (select doc_id, count(distinct item) as n_near from met group by doc_id)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(items), 0) as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated, coalesce(n_near, 0) as n_near
+from words left join covered using (doc_id) left join named using (doc_id) left join near using (doc_id)
+"""
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -156,4 +183,4 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL = {"op3_top_k": OP3_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL = {"op3_top_k": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
