@@ -24,20 +24,43 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(no).alias(f"n_{kind}") for no, kind in enumerate(secrets.BASE)],
         F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
         secrets.joined(F.col("spans")).alias("spans"),
+        secrets.classes(F.col("spans")).alias("classes"),
         "examples",
         "live",
     )
 
 
+def _matches_sql(no: int, kind: str, fits: str, group: int = 0) -> str:
+    pattern = secrets.KINDS[kind].replace("'", "''")
+    return f"""select doc_id, owner, repo, {no} as k, '{kind}' as kind, unnest(range(1, len(ms) + 1)) as i, ms, vs, gaps, '{fits}' as fits
+      from (select *, regexp_extract_all(text, '{pattern}') as ms, regexp_extract_all(text, '{pattern}', {group}) as vs, string_split_regex(text, '{pattern}') as gaps from docs)"""
+
+
+OP2_SQL = f"""
+with docs as (select doc_id, coalesce(text, '') as text, coalesce('=' || source, '') as owner, coalesce('=' || concat_ws('/', source, lang), '') as repo from documents),
+found as ({" union all ".join(_matches_sql(i, k, f, g) for i, (k, f, g) in enumerate((("assign", "12", 2), ("access", "1", 0), ("hex", "1", 0), ("token", "mixed", 0))))}),
+spans as (select doc_id, owner, repo, k, kind, vs[i] as v, fits, list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g))) + coalesce(list_sum(list_transform(list_slice(ms, 1, i - 1), lambda m: length(m))), 0) as start, length(ms[i]) as n from found),
+fitting as (select *, start + n as stop from spans where case fits when 'mixed' then regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') else length(v) >= fits::int end),
+owned as (select v, count(distinct owner) as owners, count(distinct owner || chr(0) || repo) as repos from fitting group by v),
+classed as (select f.*, owners >= 3 or owners >= 2 and repos >= 4 as example from fitting f join owned using (v)),
+kept as (select * from classed c where k < 3 or not example and not exists (select 1 from classed b where b.doc_id = c.doc_id and b.k < 3 and b.start < c.stop and c.start < b.stop)),
+listed as (select doc_id, count(*) filter (k = 0) as a, count(*) filter (k = 1) as b, count(*) filter (k = 2) as c, count(*) filter (example) as examples, count(*) filter (not example) as live,
+  string_agg(kind || ':' || start || ':' || stop, ',' order by start, k) filter (k < 3) as base, string_agg(kind || ':' || start || ':' || stop, ',' order by start, k) as spans,
+  string_agg(case when example then 'example' else 'live' end, ',' order by start, k) as classes from kept group by doc_id)
+select d.doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(classes, '') as classes, coalesce(examples, 0) as examples, coalesce(live, 0) as live from docs d left join listed using (doc_id)
+"""
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
 OP3_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+with v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
-select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20
+s as (select q.r, q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q, v c where q.vec_id % 20 = 0 and c.r <> q.r)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s) where rank <= 20
 """
 
 
@@ -183,4 +206,4 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL = {"op3_top_k": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL = {"op2_secrets": OP2_SQL, "op3_top_k": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}

@@ -2,13 +2,14 @@
 
 Patterns find candidates: assignments, access keys and long hexadecimal runs, which are always reported, and long mixed
 tokens without a label. Each candidate's value is hashed; hashes are aggregated over the corpus by distinct owners and
-repositories. A value that many owners have is a widely copied example; one that few have looks live. Unlabelled
-tokens are reported only if they look live and overlap no other span; reported spans carry their class.
+repositories. A value that many owners have, or several in many repositories, is a widely copied example; any other is specific
+to its owner and looks live. Unlabelled tokens are reported only if they look live and overlap no other span; reported spans
+carry their class, so that another owner's copy can turn a live span into an example.
 
 Positions come from the pieces between matches: the lengths of pieces and matches, summed in order, are the offsets.
 
-Defined results: null text is empty; rows alike in id, text, owner and repository get the same spans; null owners and
-repositories count together as one; an empty table gives an empty table; other columns play no part.
+Defined results: null text is empty; rows alike in id, text, owner and repository get the same spans; a null owner is an owner,
+other than an empty one, and so is a null repository; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
@@ -63,9 +64,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(secret_hash, owners, repos): distinct owners and repositories of each value over the whole corpus."""
-    distinct = found.select("secret_hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
-    pairs = distinct.groupBy("secret_hash", "owner").agg(F.count("*").alias("repos"))
+    """(secret_hash, owners, repos): distinct owners of each value, and distinct repositories of owners, over the whole corpus."""
+    pairs = found.select("secret_hash", "owner", "repo").distinct().groupBy("secret_hash", "owner").agg(F.count("*").alias("repos"))
     return pairs.groupBy("secret_hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
@@ -75,29 +75,40 @@ def joined(spans: Column) -> Column:
 
 
 def scan_secrets(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | str = "source", repo: Column | str = "source", example_owners: int = 3
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | str = "source", repo: Column | str = "source",
+    example_owners: int = 3, example_repos: int = 4,
 ) -> DataFrame:
     """For each row: doc_id, base (array of base spans), spans (all), examples and live (numbers of spans by class).
 
-    A span is (start, kind, end, owners, repos); kind is its number in KINDS. A value of example_owners owners or more is an example.
+    A span is (start, kind, end, owners, repos, example); kind is its number in KINDS. A value is an example where it is widely
+    copied: example_owners owners or more have it, or two or more have it in example_repos repositories or more. One owner's
+    value stays live in however many repositories it is.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), col(owner).cast("string").alias("owner"), col(repo).cast("string").alias("repo"))
     found = staged(candidates(docs), "candidates")
+    # Stored before candidates join it, so that a value that very many rows have can be dealt to several tasks.
+    owned = staged(ownership(found), "ownership")
+    example = (F.col("owners") >= example_owners) | ((F.col("owners") >= 2) & (F.col("repos") >= example_repos))
     per_doc = (
-        found.join(ownership(found), "secret_hash")
+        found.join(owned, "secret_hash")
         .groupBy(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
-        .agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "owners", "repos"))).alias("all"))
+        .agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "owners", "repos", example.alias("example")))).alias("all"))
         .withColumn("base", F.filter("all", lambda s: s["kind"] < len(BASE)))
         .withColumn(
             "extra",
-            F.filter("all", lambda s: (s["kind"] >= len(BASE)) & (s["owners"] < example_owners) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
+            F.filter("all", lambda s: (s["kind"] >= len(BASE)) & ~s["example"] & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
         )
         .select("k_id", "k_hash", "base", F.array_sort(F.concat("base", "extra")).alias("spans"))
     )
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    out = keyed.join(per_doc, F.expr("doc_id <=> k_id and text_hash = k_hash"), "left")
+    out = keyed.join(staged(per_doc, "spans"), F.expr("doc_id <=> k_id and text_hash = k_hash"), "left")
     empty = F.array().cast(per_doc.schema["base"].dataType)
     out = out.select("doc_id", F.coalesce("base", empty).alias("base"), F.coalesce("spans", empty).alias("spans"))
-    examples = F.size(F.filter("spans", lambda s: s["owners"] >= example_owners)).cast("long")
+    examples = F.size(F.filter("spans", lambda s: s["example"])).cast("long")
     return out.withColumn("examples", examples).withColumn("live", F.size("spans").cast("long") - F.col("examples"))
+
+
+def classes(spans: Column) -> Column:
+    """The class of each span, in their order."""
+    return F.array_join(F.transform(spans, lambda s: F.when(s["example"], "example").otherwise("live")), ",")

@@ -42,5 +42,21 @@ def test_ownership_parts_examples_from_live(spark):
     assert out[10].spans == [] and out[20].spans == []
 
 
+def test_copies_and_repositories_change_the_class(spark):
+    """The same text is live with one owner or two, an example with three owners or with two that have it in four repositories."""
+    text = "x token = Zx9QpLm27Tn4Wv8RbYc1K and Qq9QpLm27Tn4Wv8RbYc1Kzz"
+    alone = [(i, text, "a", f"r{i}") for i in range(6)]
+    cases = {
+        "live": [alone, [(0, text, "a", "r"), (1, text, "b", "r"), (2, text, "b", "s")], [(0, text, None, None), (1, text, "", "")]],
+        "example": [[(0, text, "a", "r"), (1, text, "b", "r"), (2, text, "c", "r")], [(0, text, "a", "r"), (1, text, "a", "s"), (2, text, "b", "r"), (3, text, "b", "s")], [(0, text, None, None), (1, text, "", ""), (2, text, "a", "")]],
+    }
+    for kind, several in cases.items():
+        for rows in several:
+            df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+            for r in secrets.scan_secrets(df, repo="repo").select("*", secrets.classes(F.col("spans")).alias("classes")).collect():
+                assert len(r.base) == 1 and r.classes == ("live,live" if kind == "live" else "example")
+                assert (r.live, r.examples) == ((2, 0) if kind == "live" else (0, 1))
+
+
 def test_empty_table(spark, no_docs):
     assert secrets.scan_secrets(no_docs, repo=F.concat_ws("/", "source", "lang")).count() == 0
