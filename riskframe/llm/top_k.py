@@ -6,10 +6,12 @@ from long to short: a run is skipped for queries whose length times the run's gr
 best score, other pairs are dropped where the partial sum over the first rotated dimensions plus the product of the
 remaining lengths (Cauchy-Schwarz) cannot, and only the rest get their exact score. Bounds allow for rounding.
 
-Queries go to the tasks in blocks of at most ``QUERIES`` (bounded by that times the dimension), and each block is one pass.
+Queries go to the tasks in blocks of about ``QUERIES`` (bounded by that times the dimension); each block is one pass, whose
+k best of each task are stored before the next block begins.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids; shorter vectors
-count as padded with zeros; of rows sharing an id the least vector counts; ties go to the smaller id; scores beyond
+count as padded with zeros; rows that share an id are rows of their own, each a candidate of the others and, if a query, with ranks
+of its own; ties go to the smaller id; scores beyond
 2**53 are rounded as doubles are and held within 64 bits; an empty table gives an empty table; other columns play no part.
 """
 
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from riskframe.llm._shared import known_columns, staged
+from riskframe.llm._shared import known_columns, scratch_root, staged
 
 HEAD, QUERIES = 2048, 32_768
 #: Queries and vectors scored at a time.
@@ -33,14 +35,13 @@ LIMIT = 2.0**63 - 1024
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id, v, norm): floor(scale * component) as doubles, with the squared length."""
+    """(row, id, v, norm): floor(scale * component) as doubles, with the squared length; row is fixed once the rows are stored."""
     rows = known_columns(df, id=id_col, x=vector_col).select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.filter(F.col("id").isNotNull() & F.col("x").isNotNull()).filter(fine)
-    rows = rows.groupBy("id").agg(F.min("x").alias("x"))
     # floor() gives a long; components beyond its range are whole numbers already.
     v = F.transform("x", lambda c: F.when(F.abs(c) * scale < EXACT, F.floor(F.when(F.abs(c) * scale < EXACT, c * scale).otherwise(0.0)).cast("double")).otherwise(c * scale))
-    return rows.select("id", v.alias("v")).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", v.alias("v")).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
 
 
 def matrix(vectors, dim: int) -> np.ndarray:
@@ -58,15 +59,15 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Queries:
     """A block of queries with the rotation and each query's k-th best score so far."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, least: np.ndarray, rotation: np.ndarray, k: int):
-        self.ids, self.vectors, self.least, self.rotation, self.k = ids, vectors, least, rotation, k
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, least: np.ndarray, rotation: np.ndarray, k: int):
+        self.rows, self.ids, self.vectors, self.least, self.rotation, self.k = rows, ids, vectors, least, rotation, k
         turned = vectors @ rotation
         self.length = np.sqrt((vectors**2).sum(axis=1))
         self.first = turned[:, :FIRST]
         self.rest = np.sqrt((turned[:, FIRST:] ** 2).sum(axis=1))
 
-    def offers(self, ids: np.ndarray, vectors: np.ndarray, least: np.ndarray, tile: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query in the tile, id, score) of a run's pairs that may be among the k best."""
+    def offers(self, rows: np.ndarray, vectors: np.ndarray, least: np.ndarray, tile: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query in the tile, place in the run, score) of a run's pairs that may be among the k best."""
         length = np.sqrt((vectors**2).sum(axis=1))
         slack = 1e-9 * (1 + self.length[tile] * length.max(initial=0))
         live = np.flatnonzero(self.length[tile] * length.max(initial=0) + slack >= least)
@@ -75,27 +76,27 @@ class Queries:
         turned = vectors @ self.rotation
         bound = self.first[tile][live] @ turned[:, :FIRST].T
         bound += np.outer(self.rest[tile][live], np.sqrt((turned[:, FIRST:] ** 2).sum(axis=1))) + slack[live, None]
-        rows, columns = np.nonzero(bound >= least[live, None])
-        if len(rows) * 8 > bound.size:
-            scores = exact(self.vectors[tile][live], vectors)[rows, columns]
+        query, place = np.nonzero(bound >= least[live, None])
+        if len(query) * 8 > bound.size:
+            scores = exact(self.vectors[tile][live], vectors)[query, place]
         else:
-            need, at = np.unique(columns, return_inverse=True)
-            scores = exact(self.vectors[tile][live], vectors[need])[rows, at]
-        rows, ids = live[rows], ids[columns]
-        keep = (scores >= least[rows]) & (ids != self.ids[tile][rows])
-        return rows[keep], ids[keep], scores[keep]
-
-
-def best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each row, ties to smaller ids, and the k-th score of rows that have k."""
-    order = np.lexsort((ids, -scores, rows))
-    rows, ids, scores = rows[order], ids[order], scores[order]
-    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            need, at = np.unique(place, return_inverse=True)
+            scores = exact(self.vectors[tile][live], vectors[need])[query, at]
+        query = live[query]
+        keep = (scores >= least[query]) & (rows[place] != self.rows[tile][query])
+        return query[keep], place[keep], scores[keep]
+
+
+def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, ties to smaller ids, and the k-th score of queries that have k."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
     keep = rank < k
     least = np.full(n, -np.inf)
     full = rank == k - 1
-    least[rows[full]] = scores[full]
-    return rows[keep], ids[keep], scores[keep], least
+    least[query[full]] = scores[full]
+    return query[keep], ids[keep], scores[keep], least
 
 
 def _scan(block):
@@ -107,34 +108,35 @@ def _scan(block):
         for batch in batches:
             for i in range(0, batch.num_rows, RUN):
                 part = batch.slice(i, RUN)
-                ids, vectors = part.column(0).to_numpy(), matrix(part.column(1).to_pylist(), q.vectors.shape[1])
+                rows, ids, vectors = part.column(0).to_numpy(), part.column(1).to_numpy(), matrix(part.column(2).to_pylist(), q.vectors.shape[1])
                 for t, tile in enumerate(tiles):
-                    found = q.offers(ids, vectors, least[t], tile)
-                    if len(found[0]):
-                        joined = [np.concatenate(x) for x in zip(held[t], found)]
+                    query, place, scores = q.offers(rows, vectors, least[t], tile)
+                    if len(query):
+                        joined = [np.concatenate(x) for x in zip(held[t], (query, ids[place], scores))]
                         *held[t], kth = best(*joined, q.k, len(least[t]))
                         least[t] = np.maximum(least[t], kth)
         for t, tile in enumerate(tiles):
-            rows, ids, scores = held[t]
+            query, ids, scores = held[t]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q.ids[tile][rows], pa.int64()), pa.array(ids, pa.int64()), pa.array(np.clip(scores, -LIMIT, LIMIT).astype(np.int64))], ["query_id", "vec_id", "score"]
+                [pa.array(q.rows[tile][query], pa.int64()), pa.array(q.ids[tile][query], pa.int64()), pa.array(ids, pa.int64()), pa.array(np.clip(scores, -LIMIT, LIMIT).astype(np.int64))],
+                ["query_row", "query_id", "vec_id", "score"],
             )
 
     return scan
 
 
-def _seed(head_ids: np.ndarray, head: np.ndarray, k: int, dim: int):
+def _seed(head_rows: np.ndarray, head: np.ndarray, k: int, dim: int):
     """The k-th best score of each query within the head, a lower bound of its true one."""
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, TILE):
                 part = batch.slice(i, TILE)
-                ids = part.column(0).to_numpy()
-                scores = exact(matrix(part.column(1).to_pylist(), dim), head)
-                scores[ids[:, None] == head_ids[None, :]] = -np.inf
-                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(least)], ["id", "v", "least"])
+                rows = part.column(0).to_numpy()
+                scores = exact(matrix(part.column(2).to_pylist(), dim), head)
+                scores[rows[:, None] == head_rows[None, :]] = -np.inf
+                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(rows), -np.inf)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least)], ["row", "id", "v", "least"])
 
     return seed
 
@@ -144,20 +146,20 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     spark = df.sparkSession
     vectors = staged(whole_vectors(df, id_col, vector_col, scale), "vectors")
     dim = vectors.agg(F.max(F.size("v"))).first()[0] or 1
-    ordered = staged(vectors.repartitionByRange(F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id"), "ordered")
-    head = ordered.orderBy(F.desc("norm"), "id").limit(HEAD).collect()
-    head_ids, longest = np.array([r.id for r in head], np.int64), matrix([r.v for r in head], dim)
+    ordered = staged(vectors.repartitionByRange(F.desc("norm"), "id", "row").sortWithinPartitions(F.desc("norm"), "id", "row"), "ordered")
+    head = ordered.orderBy(F.desc("norm"), "id", "row").limit(HEAD).collect()
+    head_rows, longest = np.array([r.row for r in head], np.int64), matrix([r.v for r in head], dim)
     rotation = np.linalg.svd(longest, full_matrices=True)[2].T if dim <= HEAD and len(head) and np.isfinite((longest**2).sum()) else np.eye(dim)
-    queries = staged(vectors.filter(is_query).select("id", "v").mapInArrow(_seed(head_ids, longest, k, dim), "id long, v array<double>, least double"), "queries")
+    queries = staged(vectors.filter(is_query).select("row", "id", "v").mapInArrow(_seed(head_rows, longest, k, dim), "row long, id long, v array<double>, least double"), "queries")
     blocks = -(-queries.count() // QUERIES)
-    parts = []
+    kinds, path = "query_row long, query_id long, vec_id long, score long", f"{scratch_root(spark)}/found"
+    spark.createDataFrame([], kinds).write.parquet(path)
     for n in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).orderBy("id").collect()
-        block = (np.array([r.id for r in rows], np.int64), matrix([r.v for r in rows], dim), np.array([r.least for r in rows]), rotation, k)
-        found = ordered.select("id", "v").mapInArrow(_scan(spark.sparkContext.broadcast(block)), "query_id long, vec_id long, score long")
-        parts.append(staged(found, "found") if blocks > 1 else found)
-    out = parts[0] if parts else spark.createDataFrame([], "query_id long, vec_id long, score long")
-    for part in parts[1:]:
-        out = out.union(part)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        own = queries.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == n).orderBy("row").collect()
+        block = (np.array([r.row for r in own], np.int64), np.array([r.id for r in own], np.int64), matrix([r.v for r in own], dim), np.array([r.least for r in own]), rotation, k)
+        sent = spark.sparkContext.broadcast(block)
+        ordered.select("row", "id", "v").mapInArrow(_scan(sent), kinds).write.mode("append").parquet(path)
+        sent.destroy()
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    out = spark.read.schema(kinds).parquet(path).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

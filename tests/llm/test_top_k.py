@@ -9,17 +9,13 @@ KIND = "vec_id long, embedding array<float>, label int, score string, id long, x
 
 
 def brute(rows, k):
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v):
-            vectors[i] = min(vectors.get(i, v), v)
-    whole = {i: [math.floor(64 * c) for c in v] for i, v in vectors.items()}
-    out = set()
-    for q in whole:
+    whole = [(i, [math.floor(64 * c) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for at, (q, x) in enumerate(whole):
         if q % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
-            out |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)}
-    return out
+            scores = sorted((-sum(a * b for a, b in zip(x, v)), i) for other, (i, v) in enumerate(whole) if other != at)
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
 
 
 def test_against_brute_force(spark, monkeypatch):
@@ -29,11 +25,10 @@ def test_against_brute_force(spark, monkeypatch):
     f32 = lambda x: float(__import__("numpy").float32(x))
     rows = [(i, [f32(rng.gauss(0, 0.05 + i % 5)) for _ in range(24)]) for i in range(300)]
     rows += [(300 + i, rows[i][1]) for i in range(40)]
-    rows += [(400, None), (420, [None] * 24), (440, [float("nan")] * 24), (460, [float("inf")] + [0.0] * 23), (480, []), (500, [1.0]), (20, rows[20][1]), (None, [1.0] * 24)]
+    rows += [(400, None), (420, [None] * 24), (440, [float("nan")] * 24), (460, [float("inf")] + [0.0] * 23), (480, []), (500, [1.0]), (20, rows[20][1]), (20, rows[20][1]), (20, rows[21][1]), (13, rows[13][1]), (None, [1.0] * 24)]
     df = spark.createDataFrame([(i, v, 0, "s", 5, "x") for i, v in rows], KIND)
     out = top_k.top_k(df, F.col("id") % 20 == 0, k=7)
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()}
-    assert got == brute([(i, v) for i, v in rows], 7)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()) == brute(rows, 7)
 
 
 def test_few_and_none(spark):
