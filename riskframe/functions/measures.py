@@ -35,22 +35,24 @@ def ratio(part: Column, whole: Column, empty: float) -> Column:
     return F.when(whole == 0, F.lit(empty)).otherwise(F.try_divide(part.cast("double"), whole))
 
 
-def overlap(mine: Column, other: Column) -> Column:
-    """Share of my items that the other has; 0 without items."""
-    return ratio(F.size(F.array_intersect(mine, other)), F.size(mine), 0.0)
+def common(mine: Column, other: Column) -> Column:
+    """Number of items that two sets share."""
+    return F.size(F.array_intersect(mine, other)).cast("long")
 
 
-def jaccard(mine: Column, other: Column) -> Column:
-    return ratio(F.size(F.array_intersect(mine, other)), F.when(F.size(mine) == 0, 0).otherwise(F.size(F.array_union(mine, other))), 0.0)
+def overlap(shared: Column, mine: Column) -> Column:
+    """Share of my items that are shared; 0 without items."""
+    return ratio(shared, mine, 0.0)
 
 
-def supported(mine: Column, other: Column) -> Column:
-    """Share of my items that the other has; 1 without items, since nothing then lacks support."""
-    return ratio(F.size(F.array_intersect(mine, other)), F.size(mine), 1.0)
+def jaccard(shared: Column, mine: Column, other: Column) -> Column:
+    """Of the numbers of shared, my and other items."""
+    return F.when(mine == 0, F.lit(0.0)).otherwise(ratio(shared, mine + other - shared, 0.0))
 
 
-def novel(mine: Column, other: Column) -> Column:
-    return F.size(F.array_except(mine, other)).cast("long")
+def supported(shared: Column, mine: Column) -> Column:
+    """Share of my items that are shared; 1 without items, since nothing then lacks support."""
+    return ratio(shared, mine, 1.0)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 #: White space as str.split() and str.strip() see it.
 SPACE_CLASS = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
 NON_SPACE = f"[^{SPACE_CLASS}]"
+#: The same characters, listed.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85" or unicodedata.category(c)[0] == "Z")
 TOKEN = r"[\p{L}\p{N}_]+"
 NUMBER = r"(?U)\b\d+(?:\.\d+)?%?\b"
 #: Capitalised words that follow each other, or figures such as 3.5, 12/04 and 40%.
@@ -24,7 +28,7 @@ def found(text: Column, pattern: str) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends; null becomes empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
+    return F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:

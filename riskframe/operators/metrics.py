@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.operators.prefix import running
+from riskframe.sources.records import stored
 
 #: 0, 0.1, ... as linspace makes them.
 EDGES = [i * 0.1 for i in range(10)] + [1.0]
@@ -92,9 +93,10 @@ def threshold_sweep(df: DataFrame, overlap: str = "overlap") -> DataFrame:
     """(threshold, f1) for risk where overlap < threshold: rows are counted once, at the first threshold above their overlap."""
     first = sum((F.when(F.col(overlap) >= F.lit(t), 1).otherwise(0) for t in THRESHOLDS), F.lit(0))
     counts = df.groupBy(first.alias("at")).agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum(1 - F.col("label").cast("long")).alias("neg"))
+    counts = stored(counts, "counts")  # at most 102 rows; the rows themselves are read once
     grid = df.sparkSession.createDataFrame(list(enumerate(THRESHOLDS)), "k int, threshold double")
     each = grid.join(F.broadcast(counts), F.col("at") <= F.col("k"), "left")  # 101 rows with 102
-    total = df.agg(F.sum(F.col("label").cast("long")).alias("total"))
+    total = counts.agg(F.sum("pos").alias("total"))
     summed = each.groupBy("k", "threshold").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg"), F.lit(0)).alias("fp"))
     return summed.crossJoin(F.broadcast(total)).select("threshold", safe(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.coalesce("total", F.lit(0))).alias("f1"))  # one row
 
@@ -106,8 +108,9 @@ def best_threshold(df: DataFrame, overlap: str = "overlap", none_at: float = 0.0
 
 
 def full_report(df: DataFrame, prob: str = "prob", pred: str = "pred", by: list[str] = ()) -> DataFrame:
-    """One row (for each value of by) with all metrics."""
+    """One row (for each value of by) with all metrics. What is measured is stored first, so that a model before it scores once."""
     by = list(by)
+    df = stored(df.select(*by, "label", *dict.fromkeys((prob, pred))), "scored")
     parts = [point_metrics(df, by, pred), ranking_metrics(df, prob, by), ece(df, prob, by), brier(df, prob, by)]
     out = parts[0]
     for part in parts[1:]:

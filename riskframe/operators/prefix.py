@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-BUCKETS = 64
+from riskframe.sources.records import stored
 
+def bucketed(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
+    """df, stored, with ``_bucket``: a number that rises with the order column; equal values share one.
 
-def bucketed(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
-    """df with ``_bucket``: a number that rises with the order column. Limits are approximate quantiles, a bounded list."""
-    steps = [i / buckets for i in range(1, buckets)]
-    limits = df.agg(F.percentile_approx(order, steps, 2000).alias("q")).first().q or []
-    limits = sorted({x for x in limits if x is not None})
-    if not limits:
-        return df.withColumn("_bucket", F.lit(0))
-    return df.withColumn("_bucket", F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x < F.col(order))))
+    Buckets are range partitions, as many as the session shuffles to, so that they grow in number with the cluster and the data.
+    """
+    ranges = df.repartitionByRange(order) if buckets is None else df.repartitionByRange(buckets, order)
+    return stored(ranges.withColumn("_bucket", F.spark_partition_id()), "bucketed")
 
 
-def running(df: DataFrame, order: str, sums: list[str], groups: list[str] = (), descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def running(df: DataFrame, order: str, sums: list[str], groups: list[str] = (), descending: bool = False, buckets: int | None = None) -> DataFrame:
     """df with ``before_<c>`` and ``all_<c>`` for each summed column: its total over earlier rows of the group, and over all.
 
     Rows must be distinct in groups and order. Windows see one bucket of a group at a time; bucket totals are few.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 SEED = 42
+SLICE_DIGITS = 4
 
 
 class LeakageError(ValueError):
@@ -16,8 +17,11 @@ def hashed(key: str, seed: int = SEED) -> Column:
 
 
 def ranked(groups: DataFrame, key: str, strata: list[str], seed: int = SEED) -> DataFrame:
-    """groups with rank (from 1) and total in each stratum's hashed order, counted over 256 slices so that no stratum is one task."""
-    rows = groups.withColumn("_h", hashed(key, seed)).withColumn("_slice", F.substring("_h", 1, 2))
+    """groups with rank (from 1) and total in each stratum's hashed order, counted over slices so that no stratum is one task.
+
+    There are as many slices as rows up to 16**SLICE_DIGITS, each of a few rows or of a small share of them.
+    """
+    rows = groups.withColumn("_h", hashed(key, seed)).withColumn("_slice", F.substring("_h", 1, SLICE_DIGITS))
     sizes = rows.groupBy(*strata, "_slice").agg(F.count("*").alias("_n"))
     of = W.partitionBy(*strata, F.lit(1))
     offsets = sizes.select(

@@ -25,37 +25,52 @@ CORE = ("length", "lexical", "numeric", "hedging")
 TEXTS = ("question", "context", "answer")
 
 
-def tokenised(df: DataFrame) -> DataFrame:
-    """df with token, number and entity sets: made once, before the ratios that share them."""
+#: Sets that the groups are measured on: texts whose sets are made, and pairs whose common items are counted.
+SETS = {"lexical": ("tok", TEXTS, ("context", "question")), "numeric": ("num", TEXTS[1:], ("context",)), "entity": ("ent", TEXTS[1:], ("context",))}
+
+
+def tokenised(df: DataFrame, groups: tuple[str, ...] = tuple(GROUPS)) -> DataFrame:
+    """df with the token, number and entity sets that the groups need: each made once."""
     texts = {c: F.coalesce(F.col(c), F.lit("")) for c in TEXTS}
-    blank = t.is_blank(texts["context"])
-    own = {} if "ent_answer" in df.columns else {
-        "ent_answer": t.entities(texts["answer"]),
-        "ent_context": F.when(blank, F.array().cast("array<string>")).otherwise(t.entities(texts["context"])),
-    }
-    return df.withColumns(texts).withColumns({
-        "tok_answer": t.tokens(F.col("answer")), "tok_context": t.tokens(F.col("context")), "tok_question": t.tokens(F.col("question")),
-        "num_answer": t.numbers(F.col("answer")), "num_context": t.numbers(F.col("context")), **own,
-    })
+    make = {"tok": t.tokens, "num": t.numbers, "ent": t.entities}
+    sets = {}
+    for group, (kind, sides, _) in SETS.items():
+        if group in groups and f"{kind}_answer" not in df.columns:
+            sets |= {f"{kind}_{side}": make[kind](F.col(side)) for side in sides}
+    if "ent_context" in sets:
+        sets["ent_context"] = F.when(t.is_blank(F.col("context")), F.array().cast("array<string>")).otherwise(sets["ent_context"])
+    return df.withColumns(texts).withColumns(sets)
+
+
+def counted(df: DataFrame, groups: tuple[str, ...] = tuple(GROUPS)) -> DataFrame:
+    """df with the numbers that the groups' ratios are made of, each worked out once: words, hedges, sizes of sets and of what they share."""
+    made = {"_words": t.n_words(F.col("answer"))}
+    if "hedging" in groups:
+        made["_hedges"] = t.hedge_count(F.col("answer"))
+    for group, (kind, sides, pairs) in SETS.items():
+        if group in groups:
+            made |= {f"_{kind}_{side}": m.size(F.col(f"{kind}_{side}")) for side in sides}
+            made |= {f"_{kind}_answer_{side}": m.common(F.col(f"{kind}_answer"), F.col(f"{kind}_{side}")) for side in pairs}
+    return tokenised(df, groups).withColumns(made)
 
 
 def text_features(df: DataFrame, groups: tuple[str, ...] = (*CORE, "entity")) -> DataFrame:
     """df (question, context, answer and others) with the features of the groups."""
     c = F.col
-    words = t.n_words(c("answer"))
+    per_word = lambda n: n / F.greatest(F.lit(1), c("_words"))
     made = {
-        "n_chars": F.length("answer").cast("long"), "n_words": words, "n_sentences": t.n_sentences(c("answer")), "avg_word_len": F.length("answer") / F.greatest(F.lit(1), words),
-        "overlap_answer_context": m.overlap(c("tok_answer"), c("tok_context")), "overlap_answer_question": m.overlap(c("tok_answer"), c("tok_question")),
-        "jaccard_ans_ctx": m.jaccard(c("tok_answer"), c("tok_context")), "jaccard_ans_q": m.jaccard(c("tok_answer"), c("tok_question")),
-        "n_entities_answer": m.size(c("ent_answer")), "n_entities_context": m.size(c("ent_context")),
-        "entity_overlap_ratio": F.bround(m.supported(c("ent_answer"), c("ent_context")), 6),
-        "novel_entity_ratio": F.bround(m.ratio(m.novel(c("ent_answer"), c("ent_context")), F.size("ent_answer"), 0.0), 6),
-        "n_numbers_answer": m.size(c("num_answer")), "n_numbers_context": m.size(c("num_context")),
-        "number_overlap_ratio": m.supported(c("num_answer"), c("num_context")), "novel_numbers": m.novel(c("num_answer"), c("num_context")),
-        "hedge_count": t.hedge_count(c("answer")), "hedge_density": t.hedge_count(c("answer")) / F.greatest(F.lit(1), words),
+        "n_chars": F.length("answer").cast("long"), "n_words": c("_words"), "n_sentences": t.n_sentences(c("answer")), "avg_word_len": per_word(F.length("answer")),
+        "overlap_answer_context": m.overlap(c("_tok_answer_context"), c("_tok_answer")), "overlap_answer_question": m.overlap(c("_tok_answer_question"), c("_tok_answer")),
+        "jaccard_ans_ctx": m.jaccard(c("_tok_answer_context"), c("_tok_answer"), c("_tok_context")), "jaccard_ans_q": m.jaccard(c("_tok_answer_question"), c("_tok_answer"), c("_tok_question")),
+        "n_entities_answer": c("_ent_answer"), "n_entities_context": c("_ent_context"),
+        "entity_overlap_ratio": F.bround(m.supported(c("_ent_answer_context"), c("_ent_answer")), 6),
+        "novel_entity_ratio": F.bround(m.ratio(c("_ent_answer") - c("_ent_answer_context"), c("_ent_answer"), 0.0), 6),
+        "n_numbers_answer": c("_num_answer"), "n_numbers_context": c("_num_context"),
+        "number_overlap_ratio": m.supported(c("_num_answer_context"), c("_num_answer")), "novel_numbers": c("_num_answer") - c("_num_answer_context"),
+        "hedge_count": c("_hedges"), "hedge_density": per_word(c("_hedges")),
     }
     kept = [f for g in GROUPS if g in groups for f in GROUPS[g] if f in made]
-    return tokenised(df).select(*df.columns, *[made[f].alias(f) for f in kept])
+    return counted(df, groups).select(*df.columns, *[made[f].alias(f) for f in kept])
 
 
 def full_features(samples: DataFrame, nli: DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:

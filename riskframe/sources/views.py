@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from riskframe.functions.text import NON_SPACE
+from riskframe.functions.text import NON_SPACE, SPACES, is_blank
 from riskframe.sources.records import expand, qa_fields
 
 #: Turns of a conversation that one task orders.
@@ -18,12 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def qa_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, question, knowledge, right_answer, hallucinated_answer) of documents: first non-blank line, those between, last
     one, and the last line of the document with the next id if it is in the same language."""
-    docs = table(spark, sf_dir, "documents")
-    own = docs.select("doc_id", "lang", F.filter(F.split("text", "\n"), lambda x: x.rlike(NON_SPACE)).alias("ls")).filter("size(ls) > 0")
-    last = F.element_at("ls", -1)
-    after = own.select((F.col("doc_id") - 1).alias("doc_id"), "lang", last.alias("hallucinated_answer"))
-    own = own.select("doc_id", "lang", F.col("ls")[0].alias("question"), F.expr("array_join(slice(ls, 2, greatest(0, size(ls) - 2)), '\n')").alias("knowledge"), last.alias("right_answer"))
-    return own.join(after, ["doc_id", "lang"], "left").select(F.col("doc_id").alias("id"), "question", "knowledge", "right_answer", "hallucinated_answer")
+    docs = table(spark, sf_dir, "documents").filter(~is_blank(F.col("text")))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(NON_SPACE))
+    own = docs.select("doc_id", "lang", lines.alias("ls"))
+    own = own.select(F.col("doc_id").alias("id"), "lang", F.col("ls")[0].alias("question"), F.expr("array_join(slice(ls, 2, greatest(0, size(ls) - 2)), '\n')").alias("knowledge"), F.element_at("ls", -1).alias("right_answer"))
+    # The other side needs no lines but the last one.
+    after = docs.select((F.col("doc_id") - 1).alias("id"), "lang", F.substring_index(F.rtrim("text", F.lit(SPACES)), "\n", -1).alias("hallucinated_answer"))
+    return own.join(after, ["id", "lang"], "left").select("id", "question", "knowledge", "right_answer", "hallucinated_answer")
 
 
 def qa_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
