@@ -85,6 +85,36 @@ def brier(df: DataFrame, prob: str = "prob", by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(F.pow(F.col(prob) - F.col("label"), 2)).alias("brier"))
 
 
+def nll(df: DataFrame, prob: str = "prob", by: list[str] = (), least: float = 1e-6) -> DataFrame:
+    """Mean negative log-likelihood, probabilities kept least away from 0 and 1."""
+    p = F.least(F.lit(1 - least), F.greatest(F.lit(least), F.col(prob)))
+    return df.groupBy(*by).agg(F.avg(-F.log(F.when(F.col("label") == 1, p).otherwise(1 - p))).alias("nll"))
+
+
+def subgroup_calibration(df: DataFrame, group: str, least: int = 30) -> DataFrame:
+    """(group, n, pooled, ece, brier, nll, worst) of each group; groups of fewer than least rows are pooled: they take the figures
+    of all rows. worst marks the group of largest ECE among those that aren't, the first by name on ties."""
+    def figures(by: list[str]) -> DataFrame:
+        parts = [df.groupBy(*by).agg(F.count("*").alias("n")), ece(df, by=by), brier(df, by=by), nll(df, by=by)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.join(part, by) if by else out.crossJoin(F.broadcast(part))  # one row each
+        return out
+
+    every = figures([]).select(*[F.col(c).alias(f"all_{c}") for c in ("ece", "brier", "nll")])
+    own = stored(figures([group]), "subgroups")
+    worst = own.filter(F.col("n") >= least).agg(F.min_by(group, F.struct(-F.col("ece"), F.col(group))).alias("worst_group"))
+    pooled = F.col("n") < least
+    out = own.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(worst))  # one row each
+    return out.select(group, "n", pooled.alias("pooled"), *[F.when(pooled, F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in ("ece", "brier", "nll")], F.coalesce(F.col(group) == F.col("worst_group"), F.lit(False)).alias("worst"))
+
+
+def wilson_interval(share: Column, n: Column, z: float = 1.959963984540054) -> list[Column]:
+    """low and high of a share among n, at 95% by default."""
+    centre, spread = share + z * z / (2 * n), z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return [((centre - spread) / (1 + z * z / n)).alias("low"), ((centre + spread) / (1 + z * z / n)).alias("high")]
+
+
 def agreement(df: DataFrame, a: str = "pred_a", b: str = "pred_b") -> DataFrame:
     return df.agg(F.avg((F.col(a) == F.col(b)).cast("int")).alias("agreement"))
 

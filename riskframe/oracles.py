@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from riskframe.functions.measures import PLAIN_NAMES
 from riskframe.functions.text import HEDGES
-from riskframe.operators.errors import CATEGORIES, COST_PER_1000
+from riskframe.operators.errors import CATEGORIES, COST_PER_1000, DEFAULTS
+from riskframe.plans.features import GROUPS
 
 SP = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
 NB = f"[^{SP}]"
@@ -107,7 +108,79 @@ verdicts as (select l.doc_id, 1 - l.quality as label, case when l.quality = 0 or
   d.n_chars // 4 + 50 as in_tokens, 10 + l.doc_id % 7 as out_tokens, (d.n_chars % 1000 + 300)::double as latency_ms from labels l join documents d using (doc_id))
 """
 
+#: Columns of the given tables with what makes their text.
+TABLES = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "supplier": "s_suppkey s_name s_nationkey s_acctbal:f",
+    "customer": "c_custkey c_name c_nationkey c_acctbal:f c_mktsegment", "part": "p_partkey p_name p_brand p_type p_size p_retailprice:f",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:f o_orderdate:t o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:f l_extendedprice:f l_discount:f l_tax:f l_returnflag l_linestatus l_shipdate:t",
+    "events": "event_id ts:t user_id event_type value:f props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding:l label",
+    "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+TEXT = {"": "{c}::varchar", "f": "round({c} * 1e6)::bigint::varchar", "t": "epoch_us({c})::varchar", "l": "array_to_string(list_transform({c}, lambda x: round(x::double * 1e6)::bigint::varchar), ',')"}
+
+
+def manifest_row(name: str) -> str:
+    texts = [f"coalesce({TEXT[kind].format(c=c)}, '~')" for c, _, kind in (x.partition(":") for x in TABLES[name].split())]
+    return f"select '{name}' as table_name, count(*) as rows, coalesce(sum(('0x' || substr(md5(concat_ws('|', {', '.join(texts)})), 1, 8))::bigint), 0)::bigint as content from {name}"
+
+
+#: The complementary error function of x >= 0 by its series; beyond 4 it is 0 to seven places.
+ERFC = "case when {x} > 4 then 0.0::double else 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda k: (case when k % 2 = 0 then 1 else -1 end) * exp((2 * k + 1) * ln({x}::double) - lgamma(k + 1.0::double)) / (2 * k + 1))) end"
+MCNEMAR = "pow(abs(b - c) - 1, 2)::double / nullif(b + c, 0)"
+
+
+def mcnemar_p(statistic: str) -> str:
+    x = f"sqrt({statistic} / 2)"
+    return f"round(case when b + c = 0 then 1.0::double when {statistic} = 0 then 1.0::double else {ERFC.format(x=x)} end, 6)"
+
+
+def perturbed(name: str, answer: str) -> str:
+    features = FEATURES.replace("as hc from qa)", f"as hc from (select * replace ({answer} as answer) from qa))")
+    return f"select * from (with {features} select '{name}' as perturbation, round(avg(overlap_answer_context), 6) as overlap, round(avg(novel_numbers), 6) as novel_numbers, round(avg(novel_entity_ratio), 6) as novel_entities, count(*) as rows from features)"
+
+
+LINEAR = {"n_words": 0.1, "n_sentences": -0.3, "overlap_answer_context": -2.0, "jaccard_ans_q": 1.5}
+IMPACTS = f"""{FEATURES}, means as (select {', '.join(f'avg({c}) as mean_{c}' for c in LINEAR)} from features),
+impacts as ({' union all '.join(f"select sample_id, '{c}' as feature, {c}::double as value, {w}::double * ({c} - mean_{c}) as impact from features, means" for c, w in LINEAR.items())})
+"""
+TURNS = """turns as (select conv_id, turn, role, text as answer, coalesce(last_value(case when role = 'user' then text end ignore nulls) over w, '') as question,
+  coalesce(last_value(case when role = 'assistant' then text end ignore nulls) over w, '') as context from conversations window w as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding))"""
+SCALED = [f for g in GROUPS if g != "semantic" for f in GROUPS[g]]
+
 SQL: dict[str, str] = {
+    "a3_source_choice": f"with {RAW}, n as (select count(*) as rows from qa), f(source, feature) as (values "
+    + ", ".join(f"('{source}', '{f}')" for source, gone in (("full", ""), ("core", "entity")) for g in GROUPS if g not in ("nli", "semantic", gone) for f in GROUPS[g]) + ") select source, feature, rows from f, n",
+    "a4_cached_table": f"with {RAW} select label, count(*) as n from qa group by label",
+    "b4_line_numbers": "select row_number() over (order by item_id) - 1 as item_idx, item_id, length(text) as n_chars from benchmark",
+    "b7_feature_columns": f"with {FEATURES} select sample_id, {LENGTH}, {LEXICAL}, {ENTITIES}, {NUMERIC} from features",
+    "h1_best_threshold": f"""with {FEATURES}, groups as (select item_idx, max(label) as stratum from qa group by item_idx),
+      ranked as (select *, row_number() over (partition by stratum order by md5('42:' || item_idx), item_idx) as rank, count(*) over (partition by stratum) as total from groups),
+      rows as (select f.*, case when 100 * rank <= 70 * total then 'train' when 100 * rank <= 85 * total then 'val' else 'test' end as split from features f join ranked using (item_idx)),
+      t as (select i, case when i = 100 then 1.0::double else i * 0.01::double end as threshold from range(101) r(i)),
+      s as (select threshold, sum((overlap_answer_context < threshold and label = 1)::int) as tp, sum((overlap_answer_context < threshold)::int) as pp, sum(label) as p from t, rows where split = 'val' group by threshold),
+      best as (select threshold from s order by coalesce(2.0::double * tp / nullif(pp + p, 0), 0) desc, threshold limit 1),
+      pred as (select label, (overlap_answer_context < threshold)::int as pred from rows, best where split = 'test'), c as ({CONFUSION} from pred) select {POINT}, threshold from c, best""",
+    "h2_scaled": f"""with {NLI_QA}, groups as (select item_idx, max(label) as stratum from qa group by item_idx),
+      ranked as (select *, row_number() over (partition by stratum order by md5('42:' || item_idx), item_idx) as rank, count(*) over (partition by stratum) as total from groups),
+      train as (select n.* from nli_qa n join ranked using (item_idx) where 100 * rank <= 70 * total) """
+    + " union all ".join(f"select '{f}' as feature, round(avg(x), 6) as mean, round(stddev_samp(x), 6) as std from (select coalesce({f}, {DEFAULTS[f]!r})::double as x from train)" for f in SCALED),
+    "k2_mcnemar_by_group": f"""with r as (select l_linenumber, (l_returnflag = 'R')::int as label, (l_quantity >= 25)::int as pa, (l_discount * 10 >= 0.5)::int as pb from lineitem),
+      m as (select l_linenumber, sum((pa = label and pb <> label)::int)::bigint as b, sum((pa <> label and pb = label)::int)::bigint as c from r where l_linenumber between 1 and 7 group by all) select l_linenumber, b, c, {mcnemar_p(MCNEMAR)} as p from m""",
+    "k4_wilcoxon": """with d as (select avg(l_discount) - avg(l_tax) as d from lineitem group by l_linenumber), nz as (select d, row_number() over (order by abs(d)) - 1 as bit, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0::double as r from d where d <> 0),
+      w as (select count(*) as n, least(sum(case when d > 0 then r else 0 end), sum(case when d < 0 then r else 0 end)) as w from nz),
+      sums as (select mask, sum(case when (mask >> bit) & 1 = 1 then r else 0 end) as s from (select unnest(range(0, (1 << n)::bigint)) as mask from w), nz group by mask)
+      select any_value(n) as n, any_value(w)::double as w, least(1.0::double, 2.0::double * sum((s <= w + 1e-9)::int) / count(*)) as p from sums, w""",
+    "l2_linear_importance": f"with {IMPACTS} select feature, round(avg(abs(impact)), 6) as importance from impacts group by feature order by 2 desc limit 3",
+    "l3_linear_top": f"""with {IMPACTS}, r as (select *, row_number() over (partition by sample_id order by abs(round(impact, 6)) desc, feature) as rank from impacts), names(feature, name) as (values {', '.join(f"('{k}', '{v}')" for k, v in PLAIN_NAMES.items())})
+      select sample_id, rank::int as rank, feature, coalesce(name, feature) as name, round_even(value, 6) as value, round(impact, 6) as impact from r left join names using (feature) where rank <= 2""",
+    "n6_readiness": f"with {RAW} select {len(DEFAULTS)} as n_features, [{', '.join(repr(f) for f in DEFAULTS if f in GROUPS['nli'] + GROUPS['semantic'])}] as missing, false as ready, count(*) as rows from qa",
+    "n7_stream": f"""with {TURNS}, asked as (select * from turns where role = 'assistant' and regexp_matches(answer, '{NB}') and length(question) <= 5000 and length(context) <= 20000 and length(answer) <= 20000),
+      s as (select 'c_' || conv_id || '_' || turn as sample_id, {tok('answer')} as ta, {tok('context')} as tc from asked),
+      p as (select sample_id, {CLAMP(p="1 - case when len(ta) = 0 then 0.0::double else len(list_intersect(ta, tc))::double / len(ta) end")} as p from s)
+      select sample_id, round(p, 4) as risk_score, {LABELS(p='p')} as label from p""",
+    "z6_perturbations": " union all ".join(perturbed(n, a) for n, a in (("none", "answer"), ("drop_sentence", r"regexp_replace(answer, '[^.!?]*[.!?]*\s*$', '')"), ("insert_sentence", "answer || ' This holds in every case.'"),
+      ("change_numbers", "regexp_replace(answer, '[0-9]', '7', 'g')"), ("change_entities", r"regexp_replace(answer, '\p{Lu}[\p{L}\p{N}_]*', 'Other', 'g')"))),
     "a1_jsonl_scan": f"with {RAW} select count(*) as records, sum(length(question))::bigint as question_chars, sum(length(right_answer))::bigint as answer_chars, sum((hallucinated_answer is null)::int)::bigint as without from qa_raw",
     "a2_parquet_scan": "select l_returnflag, count(*) as n, round(sum(l_quantity), 6) as quantity from lineitem where l_shipdate >= timestamp '1995-01-01' group by all",
     "a5_sinks": f"with {SPLIT} select split, label, count(*) as n, sum(item_idx)::bigint as ids from split_qa group by all",
@@ -158,7 +231,7 @@ SQL: dict[str, str] = {
     "g4_error_pivot": f"with {ERR} select error_type, " + ", ".join(f"sum((category = '{c}')::int)::bigint as {c}" for c in CATEGORIES) + " from err group by error_type",
     "g5_over_seeds": """with r as (select l_returnflag as model, l_linestatus as metric, l_linenumber as seed, round(sum(l_discount), 6) as value from lineitem group by all)
       select model, metric, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, list(value order by seed) as values from r group by all""",
-    "g6_manifest": "select 'nation' as table_name, count(*) as rows from nation union all select 'labels', count(*) from labels union all select 'orders', count(*) from orders",
+    "g6_manifest": " union all ".join(map(manifest_row, TABLES)),
     "g7_dashboard": f"""with {PRED}, models as (select 'boosted_trees' as model, label, pred as p from pred union all select 'heuristic', label, pred_b from pred),
       c as (select model, 2.0::double * sum((p = 1 and label = 1)::int) / (2 * sum((p = 1 and label = 1)::int) + sum((p <> label)::int)) as f1 from models group by model),
       d as (select sum((pred = label and pred_b <> label)::int)::bigint as b, sum((pred <> label and pred_b = label)::int)::bigint as c from pred)
@@ -176,16 +249,17 @@ SQL: dict[str, str] = {
     "i7_reliability": f"with {PRED} select {BIN} as bin, count(*) as n, round(avg(prob), 9) as confidence, round(avg(label), 9) as accuracy from pred group by 1",
     "i8_curves": f"with {SCORES} select score, (bp + pos)::double / ap as tpr, (bn + neg)::double / an as fpr, (bp + pos)::double / (bp + pos + bn + neg) as precision, (bp + pos)::double / ap as recall from cum",
     "i9_agreement": f"with {PRED} select avg((pred = pred_b)::int) as agreement from pred",
-    "k1_mcnemar_predictions": f"with {PRED}, m as (select sum((pred = 1 and pred_b = 0)::int)::bigint as b, sum((pred = 0 and pred_b = 1)::int)::bigint as c from pred) select b, c, pow(abs(b - c) - 1, 2)::double / (b + c) as statistic from m",
+    "k1_mcnemar_predictions": f"with {PRED}, m as (select sum((pred = 1 and pred_b = 0)::int)::bigint as b, sum((pred = 0 and pred_b = 1)::int)::bigint as c from pred) select b, c, {MCNEMAR} as statistic, {mcnemar_p(MCNEMAR)} as p from m",
     "k2_mcnemar_correctness": f"""with {PRED}, m as (select sum((pred = label and pred_b <> label)::int)::bigint as b, sum((pred <> label and pred_b = label)::int)::bigint as c, sum((pred = label and pred_b = label)::int)::bigint as both_right,
-      sum((pred <> label and pred_b <> label)::int)::bigint as neither from pred) select b, c, both_right, neither, pow(abs(b - c) - 1, 2)::double / (b + c) as statistic from m""",
-    "k6_judge_report": f"""with {REPLY}, v as (select *, (said = 'hallucinated')::int as pj, (conf >= 0.5)::int as pm from verdicts)
-      select avg((pj = label)::int) as judge_accuracy, avg((pm = label)::int) as model_accuracy, avg((pj = pm)::int) as agreement, count(*) as n, sum((pj = label and pm <> label)::int)::bigint as judge_only_right,
-      sum((pj <> label and pm = label)::int)::bigint as model_only_right, sum(in_tokens)::bigint as in_tokens, sum(out_tokens)::bigint as out_tokens,
-      round(sum(in_tokens) / 1e6 * 0.2 + sum(out_tokens) / 1e6 * 1.2, 9) as cost_usd, round(quantile_cont(latency_ms, 0.5), 6) as latency_p50, round(quantile_cont(latency_ms, 0.95), 6) as latency_p95 from v""",
-    "l1_linear": f"""with {FEATURES}, m as (select avg(n_words) as w, avg(overlap_answer_context) as o from features)
-      select sample_id, 'n_words' as feature, n_words::double as value, round(0.1 * (n_words - w), 6) as impact from features, m
-      union all select sample_id, 'overlap_answer_context', overlap_answer_context, round(-2.0 * (overlap_answer_context - o), 6) from features, m""",
+      sum((pred <> label and pred_b <> label)::int)::bigint as neither from pred) select b, c, both_right, neither, {MCNEMAR} as statistic, {mcnemar_p(MCNEMAR)} as p from m""",
+    "k6_judge_report": f"""with {REPLY}, v as (select *, (said = 'hallucinated')::int as pj, (conf >= 0.5)::int as pm from verdicts),
+      c as (select count(*) as n, {', '.join(f"sum((p{x} = 1 and label = 1)::int)::double as tp_{x}, sum((p{x} = 1)::int)::double as pp_{x}, sum((p{x} = label)::int)::double as ok_{x}" for x in 'jm')}, sum(label)::double as pos,
+        avg((pj = pm)::int) as agreement, sum((pj = label and pm <> label)::int)::bigint as judge_only_right, sum((pj <> label and pm = label)::int)::bigint as model_only_right,
+        sum(in_tokens)::bigint as in_tokens, sum(out_tokens)::bigint as out_tokens, quantile_cont(latency_ms, 0.5) as p50, quantile_cont(latency_ms, 0.95) as p95 from v),
+      d as (select *, in_tokens / 1e6 * 0.2 + out_tokens / 1e6 * 1.2 as usd from c)
+      select {', '.join(f"round(ok_{x} / n, 6) as {name}_accuracy, round(coalesce(tp_{x} / nullif(pp_{x}, 0), 0), 6) as {name}_precision, round(coalesce(tp_{x} / nullif(pos, 0), 0), 6) as {name}_recall, round(coalesce(2 * tp_{x} / nullif(pp_{x} + pos, 0), 0), 6) as {name}_f1" for x, name in (('j', 'judge'), ('m', 'model')))},
+        round(agreement, 6) as agreement, n, judge_only_right, model_only_right, in_tokens, out_tokens, round(usd, 9) as cost_usd, round(usd / n * 1000, 9) as cost_per_1000_usd, round(p50, 6) as latency_p50, round(p95, 6) as latency_p95 from d""",
+    "l1_linear": f"with {IMPACTS} select sample_id, feature, value, round(impact, 6) as impact from impacts",
     "l4_three_cases": f"""with {PRED} select 'high' as "case", (select sample_id from pred order by prob desc, sample_id limit 1) as sample_id, (select max(prob) from pred) as prob
       union all select 'low', (select sample_id from pred order by prob, sample_id limit 1), (select min(prob) from pred)
       union all select 'borderline', (select sample_id from pred order by abs(prob - 0.5), sample_id limit 1), (select prob from pred order by abs(prob - 0.5), sample_id limit 1)""",
@@ -201,8 +275,17 @@ SQL: dict[str, str] = {
     "n1_validation": f"""select 'c_' || conv_id || '_' || turn as sample_id, case when text is null then 'answer missing' when not regexp_matches(text, '{NB}') then 'answer blank' when length(text) > 20000 then 'answer too long' end as reason from conversations where role = 'assistant'""",
     "n4_judge_jobs": f"with {REPLY} select doc_id, case when style = 3 then 'failed' else said end as judgment, case when style = 3 then null else conf end as confidence from verdicts",
     "z2_unified": f"with {RAW} select sample_id, 'qa' as task, label from qa union all select 'ragtruth_' || lpad(d.doc_id::varchar, 8, '0'), 'response', (coalesce(1 - quality, 0) > 0 or coalesce(toxic, 0) > 0)::int from documents d left join labels l using (doc_id) where d.doc_id % 3 <> 2",
-    "z3_subgroup_calibration": f"with {PRED}, g as (select (l_returnflag = 'R')::int as label, l_quantity / 50 as prob, l_linestatus as subgroup from lineitem), b as (select subgroup, {BIN} as bin, count(*) as n, avg(prob) as c, avg(label) as a from g group by all), e as (select subgroup, sum(n * abs(a - c)) / sum(n) as ece from b group by all), r as (select subgroup, avg(pow(prob - label, 2)) as brier, count(*) as n from g group by all) select subgroup, n, round(ece, 9) as ece, round(brier, 9) as brier from e join r using (subgroup)",
-    "z4_length_metrics": f"with {NLI_QA}, c as (select least(4, n_words // 10) as bucket, count(*) as n, sum((pred = label)::int)::double as ok from risk group by 1) select bucket, n, ok / n as accuracy from c",
+    "z3_subgroup_calibration": f"""with g as (select (l_returnflag = 'R')::int as label, l_quantity / 50 as prob, l_linestatus || ':' || round(l_discount * 100)::int as subgroup from lineitem),
+      x as (select *, {BIN} as bin, least(1 - 1e-6::double, greatest(1e-6::double, prob)) as q from g union all select label, prob, null, {BIN}, least(1 - 1e-6::double, greatest(1e-6::double, prob)) from g),
+      b as (select subgroup, bin, count(*) as n, avg(prob) as c, avg(label) as a from x group by all), e as (select subgroup, sum(n * abs(a - c)) / sum(n) as ece from b group by all),
+      r as (select subgroup, count(*) as n, avg(pow(prob - label, 2)) as brier, avg(-ln(case when label = 1 then q else 1 - q end)) as nll from x group by all),
+      f as (select r.*, e.ece from r join e on r.subgroup is not distinct from e.subgroup), pool as (select * from f where subgroup is null),
+      w as (select subgroup from f where subgroup is not null and n >= 40 order by ece desc, subgroup limit 1)
+      select f.subgroup, f.n, f.n < 40 as pooled, round(case when f.n < 40 then pool.ece else f.ece end, 9) as ece, round(case when f.n < 40 then pool.brier else f.brier end, 9) as brier, round(case when f.n < 40 then pool.nll else f.nll end, 9) as nll,
+        coalesce(f.subgroup = (select subgroup from w), false) as worst from f, pool where f.subgroup is not null""",
+    "z4_length_metrics": f"""with {NLI_QA}, c as (select least(4, n_words // 10) as bucket, count(*) as n, sum((pred = label)::int)::double as ok from risk group by 1), a as (select *, ok / n as accuracy, 1.959963984540054::double as z from c)
+      select bucket, n, accuracy, round((accuracy + z * z / (2 * n) - z * sqrt(accuracy * (1 - accuracy) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) as low,
+        round((accuracy + z * z / (2 * n) + z * sqrt(accuracy * (1 - accuracy) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) as high from a""",
     "z7_dedup": f"with {RAW} select min(sample_id) as sample_id, count(*) as copies from qa group by lower(regexp_replace(answer, '[{SP}]+', ' ', 'g'))",
 }
 SQL["entry"] = f"with {FEATURES}, r as (select label, {LABELS(p=CLAMP(p='1 - overlap_answer_context'))} as risk, overlap_answer_context as o from features) select label, risk, count(*) as n, round(avg(1 - o), 6) as mean_risk from r group by all"

@@ -18,6 +18,7 @@ from riskframe.operators.metrics import point_metrics, ranking_metrics
 from riskframe.operators.report import over_seeds
 from riskframe.operators.splits import folds
 from riskframe.plans.features import GROUPS, columns_of
+from riskframe.sources.records import stored
 
 #: Seeds of the protocol, and the grid of the random search.
 SEEDS = (42, 123, 456)
@@ -77,11 +78,16 @@ def random_params(n: int = 30, seed: int = 42) -> list[dict]:
     return random.Random(seed).sample(points, min(n, len(points)))
 
 
-def tune(df: DataFrame, columns: list[str], candidates: list[dict], n_folds: int = 5, by: str = "group", seed: int = 42, parallelism: int = 2) -> tuple[dict, float]:
-    """The candidate of best mean AUROC over folds, which hold whole groups by default."""
-    model = GBTClassifier(weightCol="weight", seed=seed)
+def tune(df: DataFrame, columns: list[str], candidates: list[dict], n_folds: int = 5, by: str = "group", seed: int = 42, parallelism: int = 8, group: str = "item_idx") -> tuple[dict, float]:
+    """The candidate of best mean AUROC over folds, which hold whole groups by default.
+
+    A candidate's rounds are its most: each fit stops early by a tenth of its own groups, which isn't fitted on, so that the fold it
+    is judged on plays no part. Without that the usual 30 points over five folds are 51,500 rounds.
+    """
+    model = GBTClassifier(weightCol="weight", seed=seed, validationIndicatorCol="is_val")
     maps = [{model.getParam(k): v for k, v in c.items()} for c in candidates]
-    ready = assembler(columns).transform(folds(class_weights(df), n_folds, by, seed=seed))
+    rows = stored(folds(class_weights(df), n_folds, by, group=group, seed=seed), "folds")
+    ready = assembler(columns).transform(rows.withColumn("is_val", F.pmod(F.xxhash64(F.lit("stop"), F.col(group)), F.lit(10)) == 0))
     evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
     found = CrossValidator(estimator=model, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=n_folds, parallelism=parallelism).fit(ready)
     best = max(range(len(candidates)), key=lambda i: found.avgMetrics[i])

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskframe.functions import measures as m, text as t
 from riskframe.functions.judge import parse_reply
 from riskframe.operators import attach, errors, metrics, report, splits, stats
-from riskframe.oracles import SQL  # noqa: F401
+from riskframe.oracles import SQL, TABLES  # noqa: F401
 from riskframe.plans import features as ft
 from riskframe.sources import records, views
 
+#: Weights of the linear margin that is explained.
+LINEAR = {"n_words": 0.1, "n_sentences": -0.3, "overlap_answer_context": -2.0, "jaccard_ans_q": 1.5}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -308,7 +310,7 @@ def g5_over_seeds(spark, d):
 
 @query
 def g6_manifest(spark, d):
-    return report.manifest({n: views.table(spark, d, n) for n in ("nation", "labels", "orders")}).drop("content")
+    return report.manifest({n: views.table(spark, d, n) for n in TABLES})
 
 
 def two_models(spark: SparkSession, d: str) -> DataFrame:
@@ -380,12 +382,27 @@ def i9_agreement(spark, d):
 
 @query
 def k1_mcnemar_predictions(spark, d):
-    return stats.mcnemar_counts(predicted(spark, d).withColumnRenamed("pred", "pred_a"), "prediction").select("b", "c", "statistic")
+    out = stats.mcnemar(predicted(spark, d).withColumnRenamed("pred", "pred_a"), "prediction")
+    return rounded(out, 6, "p").select("b", "c", "statistic", "p")
 
 
 @query
 def k2_mcnemar_correctness(spark, d):
-    return stats.mcnemar_counts(predicted(spark, d).withColumnRenamed("pred", "pred_a")).withColumnRenamed("both", "both_right")
+    out = stats.mcnemar(predicted(spark, d).withColumnRenamed("pred", "pred_a"))
+    return rounded(out, 6, "p").withColumnRenamed("both", "both_right")
+
+
+@query
+def k2_mcnemar_by_group(spark, d):
+    """The test within each line number."""
+    lines = views.table(spark, d, "lineitem")
+    out = None
+    for n in range(1, 8):
+        rows = lines.filter(F.col("l_linenumber") == n)
+        df = rows.select((F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_quantity") >= 25).cast("int").alias("pred_a"), (F.col("l_discount") * 10 >= 0.5).cast("int").alias("pred_b"))
+        row = rounded(stats.mcnemar(df), 6, "p").select(F.lit(n).alias("l_linenumber"), "b", "c", "p")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query
@@ -405,19 +422,36 @@ def k6_judge_report(spark, d):
     df = views.judge_replies(spark, d).withColumn("v", parse_reply(F.col("reply")))
     conf = (F.col("doc_id") % 9 + 1) / 10
     df = df.withColumns({"pred_judge": (F.col("v.judgment") == "hallucinated").cast("int"), "pred_model": (conf >= 0.5).cast("int")})
-    out = rounded(stats.judge_report(df), 9, "cost_usd")
-    keep = "judge_accuracy model_accuracy agreement n judge_only_right model_only_right in_tokens out_tokens cost_usd latency_p50 latency_p95"
-    return rounded(out, 6, "latency_p50", "latency_p95").select(*keep.split())
+    out = stats.judge_report(df)
+    return rounded(rounded(out, 9, "cost_usd", "cost_per_1000_usd"), 6, *[c for c in out.columns if c not in ("cost_usd", "cost_per_1000_usd", "n")])
 
 
-@query
-def l1_linear(spark, d):
+def linear(spark: SparkSession, d: str) -> DataFrame:
+    """Attributions of a linear margin of given weights on four features."""
     from riskframe.plans.explain import linear_attributions
 
     df = featured(spark, d, "length", "lexical")
-    row = df.agg(F.avg("n_words").alias("w"), F.avg("overlap_answer_context").alias("o")).first()
-    out = linear_attributions(df, {"n_words": 0.1, "overlap_answer_context": -2.0}, {"n_words": row.w, "overlap_answer_context": row.o})
-    return rounded(out, 6, "impact")
+    means = df.agg(*[F.avg(c).alias(c) for c in LINEAR]).first().asDict()
+    return linear_attributions(df, LINEAR, means)
+
+
+@query
+def l1_linear(spark, d):
+    return rounded(linear(spark, d), 6, "impact")
+
+
+@query
+def l2_linear_importance(spark, d):
+    from riskframe.plans.explain import global_importance
+
+    return rounded(global_importance(linear(spark, d), 3), 6, "importance")
+
+
+@query
+def l3_linear_top(spark, d):
+    from riskframe.plans.explain import local_top
+
+    return local_top(rounded(linear(spark, d), 6, "impact"), 2)
 
 
 @query
@@ -481,16 +515,18 @@ def z2_unified(spark, d):
 
 @query
 def z3_subgroup_calibration(spark, d):
+    """Calibration within each line status and discount; groups of fewer than 40 rows take the figures of all rows."""
     lines = views.table(spark, d, "lineitem")
-    df = lines.select(F.col("l_linestatus").alias("subgroup"), (F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_quantity") / 50).alias("prob"))
-    n = df.groupBy("subgroup").agg(F.count("*").alias("n"))
-    return rounded(metrics.ece(df, by=["subgroup"]).join(metrics.brier(df, by=["subgroup"]), "subgroup").join(n, "subgroup"), 9, "ece", "brier")
+    df = lines.select(F.concat_ws(":", "l_linestatus", F.round(F.col("l_discount") * 100).cast("int")).alias("subgroup"), (F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_quantity") / 50).alias("prob"))
+    return rounded(metrics.subgroup_calibration(df, "subgroup", least=40), 9, "ece", "brier", "nll")
 
 
 @query
 def z4_length_metrics(spark, d):
+    """Accuracy by length of the answer, with the 95% interval of Wilson's formula."""
     df = risky(spark, d).withColumn("bucket", F.least(F.lit(4), F.expr("n_words div 10")))
-    return metrics.point_metrics(df, ["bucket"]).select("bucket", "accuracy").join(df.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    out = metrics.point_metrics(df, ["bucket"]).select("bucket", "accuracy").join(df.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    return rounded(out.select("*", *metrics.wilson_interval(F.col("accuracy"), F.col("n"))), 9, "low", "high")
 
 
 @query

@@ -1,9 +1,9 @@
-"""Queries that fit models: their rows depend on MLlib, so no SQL gives them."""
+"""Queries that fit models, whose rows depend on MLlib, so that SQL gives few of them; and others beside them."""
 
 from __future__ import annotations
 
 from pyspark.ml.feature import IDFModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskframe.functions import measures as m
 from riskframe.operators import errors, metrics, report, splits, stats
@@ -75,7 +75,8 @@ def a6_model_bundle(spark, d):
 def b4_line_numbers(spark, d):
     path = records.scratch_path(spark, "lines")
     views.table(spark, d, "benchmark").orderBy("item_id").select(F.to_json(F.struct("item_id", "text")).alias("value")).write.text(path)
-    return records.number_lines(spark.read.text(path)).select("item_idx", F.length("value").alias("n_chars"))
+    line = F.from_json("value", "item_id long, text string")
+    return records.number_lines(spark.read.text(path)).select("item_idx", line.alias("v")).select("item_idx", "v.item_id", F.length("v.text").alias("n_chars"))
 
 
 @query
@@ -95,7 +96,7 @@ def f3_random_search(spark, d):
 @query
 def h1_best_threshold(spark, d):
     """The overlap threshold of best F1 on validation rows, and what it gives on test rows."""
-    df = data(spark, d)
+    df = records.stored(ft.text_features(splits.with_split(clean(spark, d)), ("lexical",)), "features")
     best = metrics.best_threshold(df.filter("split = 'val'"), "overlap_answer_context").first()
     test = df.filter("split = 'test'").withColumn("pred", (F.col("overlap_answer_context") < best.threshold).cast("int"))
     return metrics.point_metrics(test).withColumn("threshold", F.lit(best.threshold))
@@ -103,12 +104,12 @@ def h1_best_threshold(spark, d):
 
 @query
 def h2_scaled(spark, d):
-    """Mean and deviation of scaled features over train rows."""
-    df = data(spark, d)
-    train = df.filter("split = 'train'")
-    fitted = models.Pipeline(stages=models.logistic(columns(df), 1).getStages()[:2]).fit(train)
-    wide = fitted.transform(train).select(F.posexplode(models.vector_to_array("scaled")).alias("at", "value"))
-    return wide.groupBy("at").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev("value"), 6).alias("std"))
+    """Mean and deviation that the scaler takes from train rows, for the features that come without a fit of their own."""
+    df = errors.with_defaults(ft.full_features(splits.with_split(clean(spark, d)), views.nli_scores(spark, d)))
+    wanted = [f for g in ft.GROUPS if g != "semantic" for f in ft.GROUPS[g]]
+    scaler = models.Pipeline(stages=models.logistic(wanted, 1).getStages()[:2]).fit(df.filter("split = 'train'")).stages[-1]
+    rows = [(f, float(a), float(b)) for f, a, b in zip(wanted, scaler.mean, scaler.std)]
+    return rounded(spark.createDataFrame(rows, "feature string, mean double, std double"), 6, "mean", "std")
 
 
 @query
@@ -266,37 +267,66 @@ def n7_stream(spark, d):
 
 @query
 def z1_shortcut_controls(spark, d):
-    """Test metrics of logistic models on one feature group each."""
+    """Test metrics of the majority class, and of logistic models on one feature group each: answers, contexts, figures, inference
+    scores or TF-IDF cosines alone."""
     df = data(spark, d)
+    train, test = df.filter("split = 'train'"), df.filter("split = 'test'")
+    majority = train.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").first()
+    controls = {"majority": test.withColumns({"prob": F.lit(0.5), "pred": F.lit(majority.label if majority else 0)})}
+    for group in ("length", "lexical", "entity", "numeric", "nli", "semantic"):
+        controls[group] = models.predict(models.logistic(ft.GROUPS[group], train.count()).fit(train), test)
     out = None
-    for group in ("length", "lexical", "entity", "numeric"):
-        train = df.filter("split = 'train'")
-        scored = models.predict(models.logistic(ft.GROUPS[group], train.count()).fit(train), df.filter("split = 'test'"))
-        row = metrics.point_metrics(scored).join(metrics.ranking_metrics(scored)).select(F.lit(group).alias("control"), "f1", "auroc")
+    for name, scored in controls.items():
+        scored = records.stored(scored.select("label", "prob", "pred"), "scored")
+        row = metrics.point_metrics(scored).crossJoin(F.broadcast(metrics.ranking_metrics(scored))).select(F.lit(name).alias("control"), "f1", "auroc")  # one row each
         out = row if out is None else out.unionByName(row)
     return out
 
 
 @query
 def z5_rank_agreement(spark, d):
-    """Correlation of the ranks of features by attribution and by their spread of values."""
-    _, impacts = attributions(spark, d)
-    each = impacts.groupBy("feature").agg(F.avg(F.abs("impact")).alias("a"), F.stddev_pop("value").alias("b"))
-    of = F.array_sort(F.collect_list("a")), F.array_sort(F.collect_list("b"))
-    lists = each.agg(of[0].alias("as"), of[1].alias("bs"))
-    ranked = each.join(F.broadcast(lists)).select(F.array_position("as", F.col("a")).alias("ra"), F.array_position("bs", F.col("b")).alias("rb"))
-    return ranked.agg(F.corr("ra", "rb").alias("spearman"), F.count("*").alias("features"))
+    """How far two views of importance agree: over feature groups, the correlation of ranks by attribution and by the F1 lost without
+    the group; over test rows, the Jaccard index of the five strongest features before and after the answer loses its last sentence."""
+    df, idf = prepared(spark, d)
+    model = models.fit_boosted(df, columns(df), 42)
+    own = score.Scorer(model, calibrate.fit_platt(models.predict(model, df.filter("split = 'val'"))), columns(df), idf=idf)
+    test = df.filter("split = 'test'")
+
+    def impacts(rows: DataFrame) -> DataFrame:
+        return records.stored(explain.long_attributions(rows.join(explain.tree_attributions(rows, model, columns(df)), "sample_id"), columns(df)), "impacts")
+
+    before = impacts(test)
+    shorter = test.select("sample_id", "question", "context", perturbed("drop_sentence").alias("answer"))
+    after = impacts(score.features_of(shorter, own))
+    top = lambda df, name: explain.local_top(df).groupBy("sample_id").agg(F.collect_set("feature").alias(name))
+    jaccard = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
+    overlap = top(before, "x").join(top(after, "y"), "sample_id").agg(F.avg(jaccard).alias("top5_jaccard"), F.count("*").alias("rows"))
+    group_of = F.create_map(*[F.lit(x) for g, fs in ft.GROUPS.items() for f in fs for x in (f, g)])
+    by_group = before.groupBy(group_of[F.col("feature")].alias("model")).agg(F.sum(F.abs("impact")).alias("impact"))
+    without = models.ablation(df, seeds=(42,)).filter("metric = 'f1'").select(F.col("removed_group").alias("model"), F.col("mean").alias("f1"))
+    pairs = [(r.impact, -r.f1) for r in by_group.join(without, "model").collect()]  # a row for each group
+    rank = lambda xs: [1 + sum(y < x for y in xs) + (sum(y == x for y in xs) - 1) / 2 for x in xs]
+    ranks = spark.createDataFrame(list(zip(*[rank(x) for x in zip(*pairs)])), "a double, b double")
+    return ranks.agg(F.corr("a", "b").alias("spearman"), F.count("*").alias("groups")).crossJoin(F.broadcast(overlap))  # one row each
+
+
+def perturbed(how: str) -> Column:
+    """The answer, changed: without its last sentence, with a sentence more, with other figures, with other names."""
+    answer = F.col("answer")
+    return {
+        "none": answer, "drop_sentence": F.regexp_replace(answer, r"[^.!?]*[.!?]*\s*$", ""), "insert_sentence": F.concat(answer, F.lit(" This holds in every case.")),
+        "change_numbers": F.regexp_replace(answer, "[0-9]", "7"), "change_entities": F.regexp_replace(answer, r"\p{Lu}[\p{L}\p{N}_]*", "Other"),
+    }[how]
 
 
 @query
 def z6_perturbations(spark, d):
-    """Overlap before and after answers lose their last sentence, and after their figures change."""
+    """Overlap, novel figures and entities before and after controlled changes of the answers."""
     df = clean(spark, d)
-    shorter = df.withColumn("answer", F.regexp_replace("answer", r"[^.!?]*[.!?]*\s*$", ""))
-    changed = df.withColumn("answer", F.regexp_replace("answer", "[0-9]", "7"))
-    parts = {"none": df, "drop_sentence": shorter, "change_numbers": changed}
     out = None
-    for name, part in parts.items():
-        row = ft.text_features(part, ("lexical", "numeric")).agg(F.avg("overlap_answer_context").alias("overlap"), F.avg("novel_numbers").alias("novel_numbers"), F.count("*").alias("rows")).withColumn("perturbation", F.lit(name))
+    for name in ("none", "drop_sentence", "insert_sentence", "change_numbers", "change_entities"):
+        made = ft.text_features(df.withColumn("answer", perturbed(name)), ("lexical", "numeric", "entity"))
+        row = made.agg(*[F.round(F.avg(f), 6).alias(c) for f, c in (("overlap_answer_context", "overlap"), ("novel_numbers", "novel_numbers"), ("novel_entity_ratio", "novel_entities"))], F.count("*").alias("rows"))
+        row = row.withColumn("perturbation", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out

@@ -44,12 +44,11 @@ def number_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
 
     Spark deals the largest files out first, so that the order of partitions isn't that of files.
     """
-    rows = lines.filter(~is_blank(F.col(text_col))).select(
-        text_col, F.input_file_name().alias("_file"), F.expr("input_file_block_start()").alias("_start"), F.monotonically_increasing_id().alias("_at")
-    )
-    rows = rows.orderBy("_file", "_start", "_at")
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return lines.sparkSession.createDataFrame(numbered, f"item_idx long, {text_col} string")
+    from riskframe.operators.prefix import running
+
+    at = F.struct(F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("start"), F.monotonically_increasing_id().alias("line"))
+    rows = lines.filter(~is_blank(F.col(text_col))).select(text_col, at.alias("_at"), F.lit(1).cast("long").alias("_one"))
+    return running(rows, "_at", ["_one"]).select(F.col("before__one").alias("item_idx"), text_col)
 
 
 def cached_table(df: DataFrame, path: str) -> DataFrame:
