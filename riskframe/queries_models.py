@@ -76,7 +76,7 @@ def b4_line_numbers(spark, d):
     path = records.scratch_path(spark, "lines")
     views.table(spark, d, "benchmark").orderBy("item_id").select(F.to_json(F.struct("item_id", "text")).alias("value")).write.text(path)
     line = F.from_json("value", "item_id long, text string")
-    return records.number_lines(spark.read.text(path)).select("item_idx", line.alias("v")).select("item_idx", "v.item_id", F.length("v.text").alias("n_chars"))
+    return records.number_lines(spark.read.text(path)).select("item_idx", line.alias("v")).select("item_idx", "v.item_id", F.length("v.text").cast("long").alias("n_chars"))
 
 
 @query
