@@ -7,7 +7,8 @@ shards. Each node puts its draws in a random order and hands the first part to i
 multivariate-hypergeometric draw of how many blocks of each source go left; the halves recurse down to single shards. Shards
 then take disjoint runs of each source's permuted draws, and rows are shuffled within their shard by hash.
 
-Everything but the two passes over documents works on (source, block) rows, of which there are ``BLOCKS`` for a source.
+Everything but the two passes over documents works on (source, block) rows, of which there are ``BLOCKS`` for a source. Targets
+need the order of all sources, so that one task sorts one row for each of them.
 All randomness is hashing under the seed, so reruns agree, lost executors included.
 
 Defined results: null text has no words; a null source is a source, last in order; documents of no words are drawn with
@@ -27,6 +28,8 @@ BLOCKS, SUBBLOCKS = 64, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of (source, block) up to which they are sent to every task.
 BROADCAST_BLOCKS = 20_000
+#: Leading bits of a draw's hash that make a slice.
+SLICE_BITS = 10
 #: Words that a task sorts, about.
 TASK_WORDS = 4_000_000
 
@@ -90,22 +93,32 @@ def drawn_blocks(blocks: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(source_no, quota) to (source_no, shard, quota): each level halves the shard ranges."""
+    """(source_no, quota) to (source_no, shard, quota): each level halves the shard ranges.
+
+    A node's draws are put in the order of their hashes slice by slice, so that no task sorts all of them.
+    """
     at = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "source_no", F.col("quota").cast("long").alias("quota"))
+    half = F.expr("lo + (hi - lo) div 2")
     for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
-        node = W.partitionBy("lo", "hi")
-        half = F.expr("lo + (hi - lo) div 2")
         token = at.select("lo", "hi", "source_no", F.explode(F.sequence(F.lit(1).cast("long"), "quota")).alias("i"))
-        place = F.row_number().over(node.orderBy(spread(seed, "lo", "hi", "source_no", "i"), "source_no", "i"))
-        goes_left = place <= F.round(F.count("*").over(node) * (half - F.col("lo")) / (F.col("hi") - F.col("lo")))
-        at = (
-            token.withColumn("left", F.expr("hi - lo > 1") & goes_left)
+        token = token.withColumn("order", spread(seed, "lo", "hi", "source_no", "i")).withColumn("slice", F.shiftrightunsigned("order", 64 - SLICE_BITS))
+        token = staged(token, "draws")
+        node = W.partitionBy("n_lo", "n_hi")
+        slices = token.groupBy(F.col("lo").alias("n_lo"), F.col("hi").alias("n_hi"), F.col("slice").alias("n_slice")).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(node.orderBy("n_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        slices = slices.select("n_lo", "n_hi", "n_slice", before.alias("before"), F.sum("n").over(node).alias("all"))
+        local = F.row_number().over(W.partitionBy("lo", "hi", "slice").orderBy("order", "source_no", "i"))
+        placed = token.withColumn("local", local).join(slices, F.expr("lo = n_lo and hi = n_hi and slice = n_slice"))
+        goes_left = F.col("before") + F.col("local") <= F.round(F.col("all") * (half - F.col("lo")) / (F.col("hi") - F.col("lo")))
+        at = staged(
+            placed.withColumn("left", F.expr("hi - lo > 1") & goes_left)
             .select(
                 F.when(F.expr("hi - lo = 1 or left"), F.col("lo")).otherwise(half).cast("int").alias("lo"),
                 F.when(F.col("left"), half).otherwise(F.col("hi")).cast("int").alias("hi"),
                 "source_no",
             )
-            .groupBy("lo", "hi", "source_no").agg(F.count("*").alias("quota"))
+            .groupBy("lo", "hi", "source_no").agg(F.count("*").alias("quota")),
+            "nodes",
         )
     return at.select("source_no", F.col("lo").alias("shard"), "quota")
 

@@ -1,18 +1,19 @@
 """URL filters: hashed host-suffix and path-prefix expressions, equi-joined on short hash prefixes.
 
-Each URL is expanded into the expressions a rule could be written as: every host suffix with as many labels as some
-rule has, followed by every path prefix as long as some rule's path. Expressions meet rules in an equi-join on the
-first bytes of their SHA-256; the full digests are compared afterwards, and the longest rule decides.
+Each URL is expanded into the expressions a rule could be written as, in two steps: its host suffixes, of as many labels as
+some rule's host has, meet the rules' hosts, and each that is one is followed by the path prefixes that are as long as a path of
+that host's rules. Both times the equi-join is on the first bytes of SHA-256; the full digests are compared afterwards,
+and the longest rule decides. A list of rules with very many path lengths thus expands a URL only by those of its own hosts.
 
 Defined results: a null URL or one without ``://`` has empty host and path, and no rule fits it; an empty table gives an
-empty table; repeated rows each get their row; other columns of the input are ignored.
+empty table; repeated rows each get their row; very long URLs are expanded whole; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskframe.llm._shared import ascii_lower, known_columns
+from riskframe.llm._shared import ascii_lower, known_columns, staged
 
 RULE_SCHEMA = "host string, path string, verdict string"
 #: Rules up to this many are sent to every task (about 200 bytes each); more are joined by a shuffle.
@@ -44,6 +45,7 @@ def prepared_rules(rules: DataFrame) -> DataFrame:
         .groupBy("host", "path")
         .agg(F.min("verdict").alias("rule_verdict"))
         .select(
+            "host",
             F.concat("host", "path").alias("rule"),
             "rule_verdict",
             labels(F.col("host")).alias("n_labels"),
@@ -54,40 +56,36 @@ def prepared_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """Host suffix + path prefix for each (labels, path length) that rules have; those the URL is too short for are left out."""
-    made = [
-        F.when(
-            (host != "") & (labels(host) >= n) & (F.length(path) >= m),
-            F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, m)),
-        )
-        for n, m in shapes
-    ]
-    return F.array_compact(F.array(*made)) if made else F.array().cast("array<string>")
+def hashed(df: DataFrame, of: str, full: str, short: str) -> DataFrame:
+    """df with the SHA-256 of a column, and its first digits."""
+    return df.withColumn(full, F.sha2(of, 256)).withColumn(short, F.substring(full, 1, SHORT))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(id, host, path, rule, verdict) for each row of pages; default is the verdict where no rule fits.
 
-    Only distinct (host, path) pairs are expanded, so that a much repeated URL is judged once.
+    Only distinct (host, path) pairs are expanded, so that a much repeated URL is judged once. Rules, hosts and verdicts of pairs
+    are stored before rows join them, so that a host or URL that very many rows have can be dealt to several tasks.
     """
-    ready = prepared_rules(rules)
-    shapes = sorted((r.n_labels, r.path_length) for r in ready.select("n_labels", "path_length").distinct().collect())
+    ready = staged(prepared_rules(rules), "rules")
+    hosts = ready.groupBy(F.col("host").alias("rule_host")).agg(F.collect_set("path_length").alias("lengths"))
+    hosts = staged(hashed(hosts, "rule_host", "host_digest", "host_short"), "hosts")
+    counts = sorted(r.n for r in ready.select(F.col("n_labels").alias("n")).distinct().collect())  # host names have few labels
+    few = ready.count() <= BROADCAST_RULES
+    sent = F.broadcast if few else lambda df: df
     host, path = split_url(F.col("url"))
-    urls = known_columns(pages, **{id_col: id_col, "url": url_col}).select(id_col, host.alias("host"), path.alias("path"))
-    few = ready.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    wanted = (
-        urls.select("host", "path").distinct()
-        .select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), shapes)).alias("expression"))
-        .withColumn("full", F.sha2("expression", 256))
-        .withColumn("short", F.substring("full", 1, SHORT))
-    )
+    urls = known_columns(pages, id=id_col, url=url_col).select("id", host.alias("host"), path.alias("path"))
+    suffixes = F.filter(F.array(*[F.lit(n) for n in counts]).cast("array<int>"), lambda n: n <= labels(F.col("host")))
+    each = urls.filter("host != ''").select("host", "path").distinct().select("host", "path", F.explode(F.transform(suffixes, lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))).alias("suffix"))
+    known = hashed(each, "suffix", "suffix_digest", "host_short").join(sent(hosts), "host_short").filter("suffix_digest = host_digest")
+    wanted = known.select("host", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    wanted = hashed(wanted.select("host", "path", F.expr("concat(suffix, substring(path, 1, n))").alias("expression")), "expression", "full", "short")
     fits = (
-        wanted.join(F.broadcast(ready) if few else ready, "short")
+        wanted.join(sent(ready.select("rule", "rule_verdict", "n_labels", "digest", "short")), "short")
         .filter("full = digest")
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), "n_labels", "rule", "rule_verdict")).alias("best"))
     )
-    return urls.join(fits, ["host", "path"], "left").select(
-        id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
+    return urls.join(staged(fits, "fits"), ["host", "path"], "left").select(
+        F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
     )

@@ -113,6 +113,21 @@ def test_urls(spark, monkeypatch, most):
         assert (r.host, r.path, r.rule, r.verdict) == URLS[r.page_id][1:]
 
 
+def test_many_rules_against_plain_loops(spark):
+    """Hundreds of path lengths, in rules that share hosts and paths, with and without a slash at their end."""
+    import random
+
+    rng = random.Random(1)
+    hosts = ["a", "b.a", "c.b.a", "x", "y.x"]
+    rules = sorted({(rng.choice(hosts), "/" + "p" * rng.randint(0, 300) + rng.choice(["", "/"])): rng.choice(["allow", "block"]) for _ in range(400)}.items())
+    urls = [f"http://{rng.choice(['', 'w.', 'v.w.'])}{rng.choice(hosts + ['z'])}/{'p' * rng.randint(0, 320)}{rng.choice(['', '/q', '?p', '#'])}" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = url_filter.judge_urls(pages, spark.createDataFrame([(h, p, v) for (h, p), v in rules], url_filter.RULE_SCHEMA))
+    for r in out.collect():
+        fits = [(len(h + p), h.count("."), h + p, v) for (h, p), v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fits)[2:] if fits else (None, "allow"))
+
+
 def test_urls_without_rules(spark):
     pages = spark.createDataFrame([(1, "http://a/")], "page_id long, url string")
     none = spark.createDataFrame([], url_filter.RULE_SCHEMA)
