@@ -266,7 +266,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 def revisits(inventory: DataFrame, least_bytes: int) -> DataFrame:
     """(path, revisits) of each archive: which of its records revisit which page."""
     first = inventory.filter(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
-    many = first.filter("n > 1 and refers_to is not null").drop("n")
+    # Stored before records join it, so that a payload that very many pages have can be dealt to several tasks.
+    many = staged(first.filter("n > 1 and refers_to is not null").drop("n"), "repeated")
     own = inventory.select("path", "record", "page_id", "digest").join(many, "digest").filter("not (page_id <=> refers_to)")
     found = own.groupBy("path").agg(F.collect_list(F.struct("record", "refers_to")).alias("revisits"))
     return inventory.select("path").distinct().join(found, "path", "left")
