@@ -183,7 +183,7 @@ SQL: dict[str, str] = {
       ("change_numbers", "regexp_replace(answer, '[0-9]', '7', 'g')"), ("change_entities", r"regexp_replace(answer, '\p{Lu}[\p{L}\p{N}_]*', 'Other', 'g')"))),
     "a1_jsonl_scan": f"with {RAW} select count(*) as records, sum(length(question))::bigint as question_chars, sum(length(right_answer))::bigint as answer_chars, sum((hallucinated_answer is null)::int)::bigint as without from qa_raw",
     "a2_parquet_scan": "select l_returnflag, count(*) as n, round(sum(l_quantity), 6) as quantity from lineitem where l_shipdate >= timestamp '1995-01-01' group by all",
-    "a5_sinks": f"with {SPLIT} select split, label, count(*) as n, sum(item_idx)::bigint as ids from split_qa group by all",
+    "a5_sinks": f"with {SPLIT} select sink, split, label, count(*) as n, sum(item_idx)::bigint as ids, count(distinct sample_id) as samples from split_qa, (values ('parquet'), ('json'), ('csv')) s(sink) group by all",
     "a7_provenance": f"with {RAW}, {NLI} select 'embeddings' as source, 'contradiction,entailment,neutral' as class_order, 2 as directions, count(*) as samples, count(ctx_c) as scored from qa left join nli using (item_idx)",
     "b2_dropped": f"with {RAW} select (select count(*) from qa_raw) as records, (select count(*) from records) as kept",
     "e3_alignment": f"with {NLI_QA} select not regexp_matches(context, '{NB}') as blank, nli_ctx_entails_ans is not null as scored, count(*) as n from nli_qa group by all",

@@ -72,10 +72,19 @@ def a2_parquet_scan(spark, d):
 
 @query
 def a5_sinks(spark, d):
+    """What each sink gives back."""
     path = records.scratch_path(spark, "clean")
-    records.write_tables(splits.with_split(clean(spark, d)), path)
-    by_split = spark.read.schema("sample_id string, item_idx long, question string, context string, answer string, label int, split string").parquet(f"{path}/parquet")
-    return by_split.groupBy("split", "label").agg(F.count("*").alias("n"), F.sum("item_idx").alias("ids"))
+    records.write_tables(records.stored(splits.with_split(clean(spark, d)), "split"), path)
+    keys = "sample_id string, item_idx long, label int, split string"
+    sinks = {
+        "parquet": spark.read.schema(keys).parquet(f"{path}/parquet"), "json": spark.read.schema(keys).json(f"{path}/json"),
+        "csv": spark.read.schema(keys).option("header", True).csv(f"{path}/csv"),
+    }
+    out = None
+    for name, df in sinks.items():
+        rows = df.groupBy("split", "label").agg(F.count("*").alias("n"), F.sum("item_idx").alias("ids"), F.count_distinct("sample_id").alias("samples")).withColumn("sink", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query
@@ -210,8 +219,10 @@ def d8_tfidf_cosines(spark, d):
 
 @query
 def e1_attach_text(spark, d):
-    texts = clean(spark, d).select("sample_id", "question", "context", "answer")
-    return attach.attach(featured(spark, d, "length").select("sample_id", "n_words"), texts)
+    rows = records.stored(clean(spark, d), "samples")
+    texts, lengths = rows.select("sample_id", "question", "context", "answer"), ft.text_features(rows, ("length",)).select("sample_id", "n_words")
+    attach.check_one_to_one(lengths, texts)
+    return attach.attach(lengths, texts)
 
 
 @query
