@@ -19,12 +19,17 @@ def qa_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, question, knowledge, right_answer, hallucinated_answer) of documents: first non-blank line, those between, last
     one, and the last line of the document with the next id if it is in the same language."""
     docs = table(spark, sf_dir, "documents").filter(~is_blank(F.col("text")))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(NON_SPACE))
-    own = docs.select("doc_id", "lang", lines.alias("ls"))
-    own = own.select(F.col("doc_id").alias("id"), "lang", F.col("ls")[0].alias("question"), F.expr("array_join(slice(ls, 2, greatest(0, size(ls) - 2)), '\n')").alias("knowledge"), F.element_at("ls", -1).alias("right_answer"))
-    # The other side needs no lines but the last one.
-    after = docs.select((F.col("doc_id") - 1).alias("id"), "lang", F.substring_index(F.rtrim("text", F.lit(SPACES)), "\n", -1).alias("hallucinated_answer"))
-    return own.join(after, ["id", "lang"], "left").select("id", "question", "knowledge", "right_answer", "hallucinated_answer")
+    # The outer lines come without cutting up the text, as filters on them are worked out before anything else.
+    first = F.regexp_extract("text", f"[^\n]*{NON_SPACE}[^\n]*", 0)
+    bare = F.rtrim("text", F.lit(SPACES))
+    last = F.substring_index(F.substr("text", F.length(bare) - F.length(F.substring_index(bare, "\n", -1)) + 1), "\n", 1)
+    # Sorted and merged at every size: a broadcast would leave a small table of one row group in one task.
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), "lang", last.alias("hallucinated_answer")).hint("merge")
+    own = docs.join(after, ["doc_id", "lang"], "left").select(
+        F.col("doc_id").alias("id"), first.alias("question"), last.alias("right_answer"), "hallucinated_answer", F.filter(F.split("text", "\n"), lambda x: x.rlike(NON_SPACE)).alias("ls")
+    )
+    knowledge = F.expr("array_join(slice(ls, 2, greatest(0, size(ls) - 2)), '\n')")
+    return own.select("id", "question", knowledge.alias("knowledge"), "right_answer", "hallucinated_answer")
 
 
 def qa_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
