@@ -48,7 +48,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id, and of repeated rows one."""
-    return without_repeats(without(docs, near_dedup.near_duplicates(docs).filter("not kept")))
+    return without(without_repeats(docs), near_dedup.near_duplicates(docs).filter("not kept"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
