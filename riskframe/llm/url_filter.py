@@ -86,6 +86,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), "n_labels", "rule", "rule_verdict")).alias("best"))
     )
-    return urls.join(staged(fits, "fits"), ["host", "path"], "left").select(
+    # Merged at every size: verdicts grow with the pages, and take far more memory than their compressed file.
+    return urls.join(staged(fits, "fits").hint("merge"), ["host", "path"], "left").select(
         F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
     )
