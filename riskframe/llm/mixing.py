@@ -204,5 +204,6 @@ def mixture(
     whole = [F.col(c) for c, kind in rows.dtypes if "map<" not in kind and c != "draw"]
     runs = max(1, math.ceil(total / shards / TASK_WORDS))
     rows = rows.withColumn("order", spread(seed, "draw", *whole)).withColumn("run", F.floor((F.col("order") / 2.0**64 + 0.5) * runs).cast("int"))
-    rows = rows.repartition(shards * runs, "draw.shard", "run").sortWithinPartitions("draw.shard", "run", "order")
+    # Each run is a task of its own; hashing runs to tasks would put several in one.
+    rows = rows.repartitionById(shards * runs, (F.col("draw.shard") * runs + F.col("run")).cast("int")).sortWithinPartitions("order")
     return rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(df.columns)])

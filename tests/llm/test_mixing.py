@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -129,6 +130,16 @@ def test_clashing_mix_names(spark):
     assert mixing.mixture(df).columns == df.columns
 
 
+def test_each_run_is_a_task(spark, monkeypatch):
+    """A shard's order is cut into runs of hashes, and a partition holds one."""
+    monkeypatch.setattr(mixing, "TASK_WORDS", 200)
+    df = spark.createDataFrame([(i, "w " * 10, f"s{i % 3}") for i in range(400)], "doc_id long, text string, source string")
+    made = mixing.mixture(df, shards=4)
+    n = made.count()
+    sizes = made.groupBy(F.spark_partition_id().alias("p")).count().toPandas()["count"]
+    assert made.rdd.getNumPartitions() == 4 * math.ceil(n * 10 / 4 / 200) and sizes.sum() == n and sizes.max() < 4 * n / made.rdd.getNumPartitions()
+
+
 def test_texts_without_words(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert {(r._mix_size, r._mix_target) for r in mixing.mixed(df).collect()} == {(0, 0.0)}
