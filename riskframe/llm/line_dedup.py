@@ -6,11 +6,11 @@ wildcard, at ``SIMILAR`` of their positions or more are alike, and lines that ar
 template: more lines can only join templates. A template that occurs in two documents or more is kept at its first place
 (smallest id, then line number) and dropped everywhere else.
 
-Alike lines are found without comparing all lines of a leaf. Positions after the leading tokens are cut into one group more
-than there may be differences, so that two alike lines have a whole group in common: only lines that share a group's tokens
-are compared. In a bucket of at most ``SMALL`` distinct lines every pair is; in a larger one every line with the bucket's first,
-and then those outside the bucket's largest template with all of the bucket's that aren't in theirs. Nothing is capped; that last
-step costs the product of the two counts.
+Alike lines are found without comparing all lines of a leaf. Two lines that agree at enough positions share one of their
+rarest tokens, of as many as may differ and one more (the exact prefix filter): only lines that share such a token at its position
+are compared, so that lines of a common beginning but little else don't meet. In a bucket of at most ``SMALL`` distinct lines
+every pair is compared; in a larger one every line with the bucket's first, and then those outside the bucket's largest template with
+all of the bucket's that aren't in theirs. Nothing is capped; that last step costs the product of the two counts.
 
 Lines are cut and masked once. Only ids and hashes of lines are shuffled, except for one line of each kind in leaves that hold
 several, and for documents that lose lines, which are rebuilt at the end.
@@ -22,7 +22,7 @@ table; other columns play no part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from riskframe.llm._shared import known_columns, staged
 from riskframe.llm.components import apart, components
@@ -80,11 +80,15 @@ def distinct_lines(docs: DataFrame, slim: DataFrame) -> DataFrame:
 
 
 def buckets_of(own: DataFrame) -> DataFrame:
-    """(bucket, node): for each group of positions without a wildcard, the leaf with the group's number and tokens."""
-    own = own.withColumn("rest", F.expr(f"size(tokens) - {DEPTH}")).withColumn("groups", F.expr(f"size(tokens) * {10 - SIMILAR} div 10 + 1")).filter("rest > 0")
-    cut = F.expr(f"transform(sequence(0, cast(groups as int) - 1), g -> struct(g, slice(tokens, cast({DEPTH + 1} + g * rest div groups as int), cast((g + 1) * rest div groups - g * rest div groups as int)) as part))")
-    each = own.select("leaf", "node", F.explode(cut).alias("x")).filter(~F.array_contains("x.part", WILD))
-    return each.select(F.xxhash64("leaf", "x.g", "x.part").alias("bucket"), "node")
+    """(bucket, node): the rarest tokens of each line with their leaf and position, as many as two alike lines must share one of."""
+    plain, least = F.size(F.filter("tokens", lambda x: x != WILD)), F.expr(f"({SIMILAR} * size(tokens) + 9) div 10")
+    able = own.select("leaf", "node", "tokens", (plain - least + 1).alias("most")).filter("most > 0")
+    each = able.select("leaf", "node", "most", F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != WILD)
+    each = staged(each.select("node", "most", F.xxhash64("leaf", "at", "token").alias("bucket")), "tokens")
+    often = staged(each.groupBy("bucket").agg(F.count("*").alias("having")).filter("having > 1"), "often")
+    order = W.partitionBy("node").orderBy(F.coalesce("having", F.lit(1)), "bucket")
+    # Tokens that only one line has link nothing, but count among the rarest.
+    return each.join(often, "bucket", "left").withColumn("rank", F.row_number().over(order)).filter("having is not null and rank <= most").select("bucket", "node")
 
 
 def alike(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -96,7 +100,7 @@ def alike(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 def templates(own: DataFrame) -> DataFrame:
     """(variant, template) of the variants that share their template with others."""
-    in_bucket = buckets_of(own)
+    in_bucket = staged(buckets_of(own), "rarest")
     counts = staged(in_bucket.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1"), "counts")
     member = staged(in_bucket.join(counts, "bucket"), "buckets")
     small = member.filter(f"n <= {SMALL}").select("bucket", F.col("node").alias("a"))

@@ -38,6 +38,12 @@ def test_more_lines_never_part_alike_ones(spark):
     assert [out[i][2] for i in range(12)] == [0, 1, 1, 0, 0, 0, 0, 0, 0, 0, 1, 1]
 
 
+def test_common_tokens_bring_no_unlike_lines_together(spark):
+    """Lines of one leaf that share half their tokens share none of their rarest."""
+    own = spark.createDataFrame([(i, 1, ["a", "b", "c", "d", "e", *[f"x{i}y{k}" for k in range(5)]]) for i in range(50)] + [(99, 1, ["a", "1", "<*>", "<*>", "<*>", "d", "e", "f", "<*>", "g"])], "node long, leaf long, tokens array<string>")
+    assert line_dedup.buckets_of(own).count() == 0
+
+
 def brute_templates(lines):
     """Template of each line (tokens), by comparing all lines of a leaf."""
     up = {x: x for x in lines}
