@@ -41,4 +41,4 @@ def test_lines_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(read[0].inputFiles()) > 1
-    assert got == [(i, len(f'{{"item_id":{i},"text":"{t}"}}')) for i, t in rows]
+    assert got == [(i, i, len(t)) for i, t in rows]
