@@ -53,23 +53,24 @@ def test_nothing_is_lost_between_pieces(monkeypatch):
 
 
 def plain_scores(texts, y, train, cost=1.0):
-    """Margins of a plain classifier of the same kind: dense word indicators times log-count ratios, dual coordinate descent."""
-    words = sorted({w for t in texts for w in t.lower().split()})
-    at = {w: k for k, w in enumerate(words)}
-    x = np.zeros((len(texts), len(words)))
-    for row, t in zip(x, texts):
-        row[[at[w] for w in set(t.lower().split())]] = 1
-    p, q = (1 + x[train & (y == k)].sum(axis=0) for k in (1, 0))
-    x *= np.log((p / p.sum()) / (q / q.sum()))
-    x /= np.sqrt(np.maximum((x**2).sum(axis=1, keepdims=True), 1e-12))
-    x = np.hstack((x, np.ones((len(x), 1))))
-    sign, alpha, w = 2.0 * y - 1, np.zeros(len(x)), np.zeros(x.shape[1])
+    """Margins of a plain classifier of the same kind: word indicators times log-count ratios, dual coordinate descent."""
+    words = {w: k for k, w in enumerate(sorted({w for t in texts for w in t.lower().split()}))}
+    rows = [np.array(sorted(words[w] for w in set(t.lower().split())), int) for t in texts]
+    counts = np.ones((2, len(words)))
+    for x, label, fit in zip(rows, y, train):
+        if fit:
+            counts[label, x] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    values = [ratio[x] / np.sqrt(max((ratio[x] ** 2).sum(), 1e-12)) for x in rows]
+    sign, alpha, w, b = 2.0 * y - 1, np.zeros(len(rows)), np.zeros(len(words)), 0.0
     for _ in range(30):
         for i in np.flatnonzero(train):
-            new = min(max(alpha[i] - (sign[i] * (w @ x[i]) - 1) / (x[i] @ x[i]), 0), cost)
-            w += (new - alpha[i]) * sign[i] * x[i]
+            x, v = rows[i], values[i]
+            new = min(max(alpha[i] - (sign[i] * (w[x] @ v + b) - 1) / (v @ v + 1), 0), cost)
+            w[x] += (new - alpha[i]) * sign[i] * v
+            b += (new - alpha[i]) * sign[i]
             alpha[i] = new
-    return x @ w
+    return np.array([w[x] @ v + b for x, v in zip(rows, values)])
 
 
 def test_against_a_plain_classifier(spark):
