@@ -121,7 +121,10 @@ def agreement(df: DataFrame, a: str = "pred_a", b: str = "pred_b") -> DataFrame:
 
 def threshold_sweep(df: DataFrame, overlap: str = "overlap") -> DataFrame:
     """(threshold, f1) for risk where overlap < threshold: rows are counted once, at the first threshold above their overlap."""
-    first = sum((F.when(F.col(overlap) >= F.lit(t), 1).otherwise(0) for t in THRESHOLDS), F.lit(0))
+    # Thresholds up to the overlap: all that are clearly below it, and the few beside it by comparison with their exact values.
+    low = F.greatest(F.lit(0), F.floor(F.col(overlap) * (len(THRESHOLDS) - 1)) - 1)
+    at = lambda j: F.when(low + j >= len(THRESHOLDS) - 1, F.lit(THRESHOLDS[-1])).otherwise((low + j) * THRESHOLDS[1])
+    first = (low + sum((F.when((low + j < len(THRESHOLDS)) & (at(j) <= F.col(overlap)), 1).otherwise(0) for j in range(4)), F.lit(0))).cast("int")
     counts = df.groupBy(first.alias("at")).agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum(1 - F.col("label").cast("long")).alias("neg"))
     counts = stored(counts, "counts")  # at most 102 rows; the rows themselves are read once
     grid = df.sparkSession.createDataFrame(list(enumerate(THRESHOLDS)), "k int, threshold double")

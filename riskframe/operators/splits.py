@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from riskframe.sources.records import stored
+
 SEED = 42
 SLICE_DIGITS = 4
 
@@ -52,7 +54,11 @@ def with_split(df: DataFrame, group: str = "item_idx", seed: int = SEED) -> Data
 
 
 def integrity(df: DataFrame, group: str = "item_idx") -> DataFrame:
-    """One row for each split: groups, rows, mean label, and over all splits the groups, those in several, and leakage_free."""
+    """One row for each split: groups, rows, mean label, and over all splits the groups, those in several, and leakage_free.
+
+    What is counted is stored first, so that whatever makes the split runs once.
+    """
+    df = stored(df.select(group, "split", "label"), "split")
     per_group = df.groupBy(group).agg(F.count_distinct("split").alias("splits"))
     spanning = per_group.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum((F.col("splits") > 1).cast("long")), F.lit(0)).alias("spanning"))
     per_split = df.groupBy("split").agg(F.count_distinct(group).alias("groups"), F.count("*").alias("rows"), F.round(F.avg("label"), 4).alias("label_mean"))

@@ -46,6 +46,16 @@ def test_threshold(spark):
     assert metrics.best_threshold(df.filter("label = 0"), none_at=0.5).first().threshold == 0.5
 
 
+def test_every_threshold_counts_at_its_exact_value(spark):
+    """Overlaps at, just below and just above each threshold."""
+    values = sorted({v for t in metrics.THRESHOLDS for v in (t, math.nextafter(t, 0), min(1.0, math.nextafter(t, 2)), min(1.0, t + 0.004))})
+    rows = [(i % 2, v) for i, v in enumerate(values)]
+    got = {r.threshold: r.f1 for r in metrics.threshold_sweep(spark.createDataFrame(rows, "label int, overlap double")).collect()}
+    for t in metrics.THRESHOLDS:
+        tp, pp = sum(v < t and y for y, v in rows), sum(v < t for _, v in rows)
+        assert got[t] == pytest.approx(2 * tp / (pp + sum(y for y, _ in rows)))
+
+
 def test_running_and_quantiles(spark):
     rng = random.Random(5)
     values = [round(rng.random(), 2) for _ in range(500)]
