@@ -1,7 +1,6 @@
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from riskframe.llm import line_dedup, sharding, url_filter
 
