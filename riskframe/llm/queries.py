@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.llm import decontaminate, line_dedup, mixing, near_dedup, quality, secrets, sharding, top_k, url_filter, warc
+from riskframe.llm import decontaminate, line_dedup, mixing, near_dedup, quality, runs, secrets, sharding, simhash, top_k, url_filter, variants, warc
 from riskframe.llm._shared import read_table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -194,6 +194,86 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_fingerprints(read_table(spark, sf_dir, "documents"), width=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, chosen by checksum, go on from some word by repeating what follows it."""
+    docs = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    docs = docs.withColumn("ws", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")))
+    docs = docs.withColumn("n", F.size("ws")).withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+    docs = docs.withColumn("p", F.expr("1 + floor((n - a) / (3 + g % 8))"))
+    again = F.expr("array_join(transform(sequence(0, n - 1), i -> ws[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
+    return docs.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(looped(read_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text of ASCII and Latin-1 letters; t is the list of the 256 steps."""
+    data = f"flatten(list_transform(string_split({text}, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [192 + unicode(c) // 64, 128 + unicode(c) % 64] end))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::bigint], {data}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+_CRC_TABLE = """crc as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+  from (select unnest(range(256)) as i))"""
+
+OP12_SQL = f"""
+with {_CRC_TABLE},
+words as (select doc_id, {_crc32_sql("doc_id::varchar")} as h, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws from documents, crc),
+planned as (select doc_id, ws, len(ws) as n, h, h // 10 as g, case when len(ws) > 0 then (h // 10) % len(ws) end as a from words),
+docs as (select doc_id, n, case when h % 10 = 0 and n > 0
+  then list_transform(range(n), lambda i: ws[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) else ws end as ws from planned),
+tokens as (select doc_id, n, unnest(ws) as w, unnest(range(n)) as i from docs),
+pairs as (select x.doc_id, x.i, y.i - x.i as q from tokens x join tokens y on x.doc_id = y.doc_id and x.w = y.w and y.i > x.i and 3 * (y.i - x.i) <= x.n),
+stretches as (select doc_id, q, min(i) as b, max(i) + 1 + q as e from (select *, i - row_number() over (partition by doc_id, q order by i) as k from pairs) group by doc_id, q, k),
+found as (select doc_id, b as start, e - b as length, min(q) as period from stretches where e - b >= greatest(24, 3 * q) group by doc_id, b, e),
+listed as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs from found group by doc_id),
+best as (select * from found f qualify row_number() over (partition by doc_id order by length * (select (max(period) * max(period))::hugeint from found) // period desc, start, period) = 1),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from found),
+kept as (select doc_id, string_agg(w, ' ' order by i) as text from tokens anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, b.start, b.length, b.period, 1000 * b.length // b.period as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(k.text, '')) as collapsed_sha256
+from docs d left join listed using (doc_id) left join best b using (doc_id) left join kept k using (doc_id)
+"""
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_forms(variants.word_counts(read_table(spark, sf_dir, "documents"), slip=97))
+
+
+OP13_SQL = f"""
+with recursive {_CRC_TABLE},
+runs as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as w from documents),
+each as (select doc_id, w, count(*) as n from runs group by doc_id, w),
+hashed as (select w, n, {_crc32_sql("doc_id::varchar || ':' || w")} as h from each, crc),
+spelt as (select case when h % 97 = 0 then left(w, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as w, n from hashed),
+words as materialized (select w, sum(n)::bigint as n from spelt group by w having length(w) >= 5 and sum(n) >= 3),
+places as materialized (select w, n, unnest(range(length(w))) as i from words),
+swapped as (select w, n, left(w, i::int) as head, substr(w, i::int + 2) as tail from places),
+near as (select x.w, y.w as v, y.n as k from swapped x join swapped y on x.head = y.head and x.tail = y.tail and x.w <> y.w
+  union select x.w, y.w, y.n from swapped x join words y on y.w = x.head || x.tail
+  union select y.w, x.w, x.n from swapped x join words y on y.w = x.head || x.tail),
+best as (select w, count(*) as n_near, arg_min(struct_pack(v := v, k := k), struct_pack(k := -k, v := v)) as b from near group by w),
+forms as materialized (select words.w, n, n_near, case when b.k >= 2 * n then b.v end as form, case when b.k >= 2 * n then b.k end as form_n from words left join best using (w)),
+chain as (select w, w as root from forms union all select chain.w, f.form from chain join forms f on f.w = chain.root where f.form is not null),
+roots as (select chain.w, chain.root from chain join forms f on f.w = chain.root where f.form is null)
+select f.w as word, form, root, n, coalesce(n_near, 0) as n_near, form_n from forms f join roots using (w)
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -205,5 +285,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
+    "op11_simhash": op11_simhash,
+    "op12_runs": op12_runs,
+    "op13_variants": op13_variants,
 }
-ORACLE_SQL = {"op2_secrets": OP2_SQL, "op3_top_k": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL = {"op2_secrets": OP2_SQL, "op3_top_k": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_url_filter": OP9_SQL, "op12_runs": OP12_SQL, "op13_variants": OP13_SQL}
