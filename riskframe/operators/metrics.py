@@ -109,6 +109,46 @@ def subgroup_calibration(df: DataFrame, group: str, least: int = 30) -> DataFram
     return out.select(group, "n", pooled.alias("pooled"), *[F.when(pooled, F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in ("ece", "brier", "nll")], F.coalesce(F.col(group) == F.col("worst_group"), F.lit(False)).alias("worst"))
 
 
+#: Rounds of Newton's method, and the step below which all groups count as settled.
+ROUNDS, SETTLED = 25, 1e-9
+
+
+def recalibration(df: DataFrame, group: str, prob: str = "prob", least: int = 30, clip: float = 1e-6) -> DataFrame:
+    """(group, n, pooled, intercept, slope): logistic recalibration of the log-odds of prob within each group, fitted for all groups at once.
+
+    Rows are counted by group, log-odds and label first. Each round of Newton's method is one aggregation of gradients and
+    Hessians over these cells and one small table of parameters, which is stored; all begin at 0, where no row is certain. Groups of fewer than least rows are pooled: they take
+    the fit of all rows, and rows without a group count there only. A group whose fit has no finite answer (one label alone, or labels that
+    a score parts) has nulls. Runs jobs while the plan is built.
+    """
+    p = F.least(F.lit(1 - clip), F.greatest(F.lit(clip), F.col(prob)))
+    rows = df.select(F.col(group).alias("g"), F.log(p / (1 - p)).alias("x"), F.col("label").cast("double").alias("y"))
+    rows = rows.select("x", "y", "g", F.explode(F.array(F.lit(False), F.lit(True))).alias("every")).withColumn("g", F.when(~F.col("every"), F.col("g")))
+    cells = stored(rows.filter("every or g is not null").groupBy("every", "g", "x", "y").agg(F.count("*").alias("n")), "cells")
+    same = F.expr("every = p_every and g <=> p_g")
+    fits = cells.groupBy("every", "g").agg(F.sum("n").alias("n"), F.count_distinct("y").alias("labels"), F.count_distinct("x").alias("scores"))
+    fits = stored(fits.select(F.col("every").alias("p_every"), F.col("g").alias("p_g"), "n", *[F.when(F.expr("labels = 2 and scores > 1"), F.lit(v)).alias(c) for c, v in (("a", 0.0), ("b", 0.0))], F.lit(1.0).alias("step")), "fits")
+    for _ in range(ROUNDS):
+        q = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
+        each = cells.join(fits.select("p_every", "p_g", "a", "b").filter("a is not null").hint("merge"), same)
+        each = each.withColumn("r", F.col("n") * (F.col("y") - q)).withColumn("h", F.col("n") * q * (1 - q))
+        total = lambda e: F.sum(F.expr(e))
+        sums = each.groupBy("every", "g").agg(*[total(e).alias(c) for c, e in (("g0", "r"), ("g1", "r * x"), ("h0", "h"), ("h1", "h * x"), ("h2", "h * x * x"))])
+        det = F.expr("h0 * h2 - h1 * h1")
+        sums = sums.withColumn("da", F.try_divide(F.expr("h2 * g0 - h1 * g1"), det)).withColumn("db", F.try_divide(F.expr("h0 * g1 - h1 * g0"), det))
+        sums = sums.withColumn("size", F.expr("sqrt(da * da + db * db)")).withColumn("part", F.least(F.lit(1.0), F.try_divide(F.lit(4.0), "size")))
+        sums = sums.select("every", "g", *[(F.col("part") * F.col(f"d{c}")).alias(f"d{c}") for c in "ab"], F.col("size"))
+        fits = stored(fits.join(sums, same, "left").select("p_every", "p_g", "n", (F.col("a") + F.col("da")).alias("a"), (F.col("b") + F.col("db")).alias("b"), F.col("size").alias("step")), "fits")
+        if (fits.agg(F.max("step")).first()[0] or 0.0) < SETTLED:
+            break
+    settled = F.col("step") < 1e-6
+    fits = fits.select("p_every", "p_g", "n", *[F.when(settled, F.col(c)).alias(name) for c, name in (("a", "intercept"), ("b", "slope"))])
+    pool = fits.filter("p_every").select(*[F.col(c).alias(f"all_{c}") for c in ("intercept", "slope")])  # one row
+    pooled = F.col("n") < least
+    out = fits.filter("not p_every").crossJoin(F.broadcast(pool))
+    return out.select(F.col("p_g").alias(group), "n", pooled.alias("pooled"), *[F.when(pooled, F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in ("intercept", "slope")])
+
+
 def wilson_interval(share: Column, n: Column, z: float = 1.959963984540054) -> list[Column]:
     """low and high of a share among n, at 95% by default."""
     centre, spread = share + z * z / (2 * n), z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))

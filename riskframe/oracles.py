@@ -5,6 +5,8 @@ from __future__ import annotations
 from riskframe.functions.measures import PLAIN_NAMES
 from riskframe.functions.text import HEDGES
 from riskframe.operators.errors import CATEGORIES, COST_PER_1000, DEFAULTS
+from riskframe.operators.perturb import NAME
+from riskframe.operators.stats import LARGE, SCORE_KEY, TRIES, poisson_one_sql, poisson_trial_sql
 from riskframe.plans.features import GROUPS
 
 SP = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
@@ -148,7 +150,97 @@ TURNS = """turns as (select conv_id, turn, role, text as answer, coalesce(last_v
   coalesce(last_value(case when role = 'assistant' then text end ignore nulls) over w, '') as context from conversations window w as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding))"""
 SCALED = [f for g in GROUPS if g != "semantic" for f in GROUPS[g]]
 
+TERMS = f"""{SPLIT},
+told as (select sample_id, split, context, 0 as side, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+')) as term from split_qa
+  union all select sample_id, split, context, 1, unnest(regexp_extract_all(lower(context), '[\\p{{L}}\\p{{N}}_]+')) from split_qa
+  union all select sample_id, split, context, 2, unnest(regexp_extract_all(lower(answer), '[\\p{{L}}\\p{{N}}_]+')) from split_qa),
+counts as (select sample_id, any_value(split) as split, term, count(*) filter (side = 0) as nq, count(*) filter (side = 1) as nc, count(*) filter (side = 2) as na from told group by sample_id, term),
+texts as (select 2 * count(*) as n from split_qa where split = 'train'),
+seen as (select term, sum((nc > 0)::int + (na > 0)::int)::bigint as df from counts where split = 'train' group by term),
+weighed as (select sample_id, nq * w as q, nc * w as c, na * w as a from (select c.*, ln((n + 1)::double / (coalesce(df, 0) + 1)) as w from counts c left join seen using (term), texts)),
+sums as (select sample_id, sum(c * a) as ca, sum(q * a) as qa, sqrt(sum(q * q)) as lq, sqrt(sum(c * c)) as lc, sqrt(sum(a * a)) as la from weighed group by sample_id),
+cosines as (select x.sample_id, case when not regexp_matches(context, '{NB}') or coalesce(lc * la, 0) = 0 then 0.0::double else round_even(ca / (lc * la), 6) end as cosine_ctx_ans,
+  case when coalesce(lq * la, 0) = 0 then 0.0::double else round_even(qa / (lq * la), 6) end as cosine_q_ans from split_qa x left join sums using (sample_id))
+"""
+UNIT = "(('0x' || substr({h}, {at}, 13))::bigint::double / 4503599627370496::double)".format
+
+
+UNIFIED = f"""{RAW}, {TURNS},
+asked as (select 'c_' || conv_id || '_' || turn as sample_id, conv_id, question, context, answer from turns where role = 'assistant'),
+replies as (select doc_id, (1 - quality)::int as label from labels join documents using (doc_id)),
+flags as (select doc_id, (1 - quality > 0 or toxic > 0)::int as label from labels),
+judged as (select doc_id, label, case when label = 1 or doc_id % 11 = 0 then 'hallucinated' else 'grounded' end as said, doc_id % 9 + 1 as c, doc_id % 4 as style from replies),
+said as (select *, '{{"judgment": "' || said || '", "confidence": 0.' || c || '}}' as body from judged),
+unified as (select 'qa' as source, sample_id, item_idx::varchar as source_group_id, 'qa' as task, 'general' as domain, question, context, answer, label, 'unknown' as generator from qa
+  union all select 'responses', 'response_' || printf('%08d', doc_id), printf('%08d', doc_id), case when doc_id % 3 = 2 then 'summary' else 'qa' end, coalesce(lang, 'general'), '', coalesce(source, ''), coalesce(text, ''), f.label, 'unknown' from documents left join flags f using (doc_id)
+  union all select 'turns', sample_id, conv_id::varchar, 'chat', 'general', question, context, coalesce(answer, ''), null, 'unknown' from asked
+  union all select 'judge', 'judge_' || doc_id, doc_id::varchar, 'other', 'general', '', '', case style when 0 then body when 1 then '```json' || chr(10) || body || chr(10) || '```' when 2 then 'Verdict: ' || body || ' done' else 'It is ' || said end, label, 'judge' from said)
+"""
+NEWTON_ROUNDS = 12
+NEWTON = "".join(
+    f""",
+      e{i} as (select c.g, x, c.n * (y - 1 / (1 + exp(-(a + b * x)))) as r, c.n * (1 / (1 + exp(-(a + b * x)))) * (1 - 1 / (1 + exp(-(a + b * x)))) as h from cells c join f{i} f on c.g is not distinct from f.g),
+      s{i} as (select g, sum(r) as g0, sum(r * x) as g1, sum(h) as h0, sum(h * x) as h1, sum(h * x * x) as h2 from e{i} group by g),
+      f{i + 1} as (select f.g, f.n, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) as a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) as b from f{i} f join s{i} s on f.g is not distinct from s.g)"""
+    for i in range(NEWTON_ROUNDS)
+)
+
+
+def swapped(kind: str, pattern: str) -> str:
+    return f"""select sample_id, '{kind}' as kind, answer from (with {RAW},
+      occ as (select sample_id, unnest(regexp_extract_all(answer, '{pattern}')) as v, unnest(range(len(regexp_extract_all(answer, '{pattern}')))) as place from qa),
+      ranked as (select *, row_number() over (order by md5('42:' || v) || md5('42:' || sample_id || ':' || place)) - 1 as r, count(*) over () as n from occ),
+      moved as (select a.sample_id, list(b.v order by a.place) as vs from ranked a, (select max(c) as m from (select count(*) as c from occ group by v)) join ranked b on b.r = (a.r + m) % a.n group by a.sample_id)
+      select q.sample_id, case when vs is null then answer else array_to_string(list_transform(list_zip(string_split_regex(answer, '{pattern}'), vs), lambda x: x[1] || coalesce(x[2], '')), '') end as answer from qa q left join moved using (sample_id))"""
+
+
 SQL: dict[str, str] = {
+    "c10_gazetteer": f"""with recursive {RAW},
+      names as (select distinct name from (select unnest({ent('text')}) as name from (select text from benchmark union all select question from qa))),
+      told as (select name, regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}_]+') as ts from names),
+      phrases as (select array_to_string(ts, ' ') as phrase, len(ts) as n, min(name) as name from told where len(ts) between 1 and 4 group by all),
+      texts as (select sample_id, regexp_extract_all(lower(answer), '[\\p{{L}}\\p{{N}}_]+') as ts from qa),
+      places as (select sample_id, ts, unnest(range(len(ts))) as pos from texts),
+      spans as (select sample_id, pos, n, array_to_string(list_slice(ts, pos + 1, pos + n), ' ') as phrase from places, (select distinct n from phrases) where pos + n <= len(ts)),
+      best as (select sample_id, pos, max(struct_pack(n := n, name := name)) as m from spans join phrases using (phrase, n) group by sample_id, pos),
+      each as (select sample_id, pos, m.n as n, m.name as name from best),
+      next as (select a.sample_id, a.pos, a.n, a.name, min(b.pos) as follows from each a left join each b on b.sample_id = a.sample_id and b.pos >= a.pos + a.n group by all),
+      walk as (select * from next x where pos = (select min(pos) from next y where y.sample_id = x.sample_id) union all select n.* from walk w join next n on n.sample_id = w.sample_id and n.pos = w.follows)
+      select sample_id, pos as "at", n::int as n, name from walk""",
+    "z2_unified_schema": f"""with {UNIFIED} select source, sample_id, source_group_id, task, domain, length(question) as question_chars, length(context) as context_chars, length(answer) as answer_chars, label, 0 as n_spans, generator from unified""",
+    "z2_mapping_report": f"""with {UNIFIED}, columns(source, col, mapped, dropped) as (
+      select 'qa', c, count(*), 0 from qa, (select unnest(['sample_id', 'source_group_id', 'task', 'question', 'context', 'answer', 'label']) as c) group by c
+      union all select 'qa', c, 0, 0 from (select unnest(['domain', 'spans', 'generator']) as c)
+      union all select 'responses', c, count(*), 0 from documents, (select unnest(['sample_id', 'source_group_id', 'task']) as c) group by c
+      union all select 'responses', 'domain', count(lang), 0 from documents union all select 'responses', 'context', count(source), 0 from documents union all select 'responses', 'answer', count(text), 0 from documents
+      union all select 'responses', 'label', count(l.doc_id), 0 from documents join labels l using (doc_id)
+      union all select 'responses', c, 0, 0 from (select unnest(['question', 'spans', 'generator']) as c)
+      union all select 'turns', c, count(*), 0 from asked, (select unnest(['sample_id', 'source_group_id', 'task', 'question', 'context']) as c) group by c
+      union all select 'turns', 'answer', count(answer), 0 from asked union all select 'turns', c, 0, 0 from (select unnest(['domain', 'label', 'spans', 'generator']) as c)
+      union all select 'judge', c, count(*), 0 from replies, (select unnest(['sample_id', 'source_group_id', 'answer', 'label', 'generator']) as c) group by c
+      union all select 'judge', c, 0, 0 from (select unnest(['task', 'domain', 'question', 'context', 'spans']) as c)
+      union all select 'judge', c, 0, count(*) from replies, (select unnest(['in_tokens', 'out_tokens', 'latency_ms']) as c) group by c),
+      totals as (select 'qa' as source, count(*) as n from qa union all select 'responses', count(*) from documents union all select 'turns', count(*) from asked union all select 'judge', count(*) from replies)
+      select source, col as "column", mapped, case when dropped > 0 or col in ('in_tokens', 'out_tokens', 'latency_ms') then 0 else n - mapped end as defaulted, dropped from columns join totals using (source)""",
+    "z3_recalibration": f"""with x as (select l_linestatus || ':' || round(l_discount * 100)::int as g, (l_returnflag = 'R')::int::double as y, least(1 - 1e-6::double, greatest(1e-6::double, l_quantity / 50)) as p from lineitem),
+      cells as (select g, ln(p / (1 - p)) as x, y, count(*) as n from x group by all union all select null, ln(p / (1 - p)), y, count(*) from x group by all),
+      f0 as (select g, sum(n) as n, 0.0::double as a, 0.0::double as b from cells group by g){NEWTON}
+      select f.g as subgroup, f.n::bigint as n, f.n < 40 as pooled, round(case when f.n < 40 then p.a else f.a end, 6) as intercept, round(case when f.n < 40 then p.b else f.b end, 6) as slope from f{NEWTON_ROUNDS} f, f{NEWTON_ROUNDS} p where f.g is not null and p.g is null""",
+    "z6_swaps": " union all ".join(swapped(kind, pattern) for kind, pattern in (("numbers", r"\b\d+(?:\.\d+)?%?\b"), ("names", NAME))),
+    "d8_tfidf_cosines": f"with {TERMS} select * from cosines",
+    "k3_bootstrap": f"""with {PRED},
+      cells as (select *, concat_ws(':', 777, {SCORE_KEY}, label, pred, rep) as own from (select prob as score, label, pred, count(*) as n from pred group by all), (select unnest(range(1, 1001)) as rep)),
+      hashed as (select rep, score, label, pred, n, i, md5(own || ':' || i) as h from cells, (select unnest(range(1, {TRIES + 1})) as i)),
+      units as (select *, {UNIT(h='h', at=1)} as u, {UNIT(h='h', at=14)} as v from hashed),
+      small as (select rep, score, label, pred, sum({poisson_one_sql('u')}) as w from units where n < {LARGE} and i <= n group by all),
+      large as (select rep, score, label, pred, coalesce(arg_min(k, i), any_value(n)) as w from (select *, {poisson_trial_sql('n::double', 'u', 'v')} as k from units where n >= {LARGE}) group by rep, score, label, pred),
+      drawn as (select * from small union all select * from large),
+      per as (select rep, score, coalesce(sum(w) filter (label = 1), 0) as pos, coalesce(sum(w) filter (label = 0), 0) as neg from drawn group by all),
+      ranked as (select *, coalesce(sum(pos) over (partition by rep order by score desc rows between unbounded preceding and 1 preceding), 0) as before, sum(pos) over (partition by rep) as ap, sum(neg) over (partition by rep) as an from per),
+      auroc as (select rep, sum(neg * (before + pos / 2)) / any_value(ap * an) as auroc from ranked where ap > 0 and an > 0 group by rep),
+      f1 as (select rep, 2 * coalesce(sum(w) filter (label = 1 and pred = 1), 0) / (2 * coalesce(sum(w) filter (label = 1 and pred = 1), 0) + coalesce(sum(w) filter (label <> pred), 0)) as f1 from drawn group by rep),
+      each as (select 'f1' as metric, f1 as value from auroc join f1 using (rep) union all select 'auroc', auroc from auroc)
+      select metric, round(quantile_cont(value, 0.025), 9) as low, round(quantile_cont(value, 0.975), 9) as high from each group by metric""",
     "a3_source_choice": f"with {RAW}, n as (select count(*) as rows from qa), f(source, feature) as (values "
     + ", ".join(f"('{source}', '{f}')" for source, gone in (("full", ""), ("core", "entity")) for g in GROUPS if g not in ("nli", "semantic", gone) for f in GROUPS[g]) + ") select source, feature, rows from f, n",
     "a4_cached_table": f"with {RAW} select label, count(*) as n from qa group by label",
@@ -179,6 +271,10 @@ SQL: dict[str, str] = {
       s as (select 'c_' || conv_id || '_' || turn as sample_id, {tok('answer')} as ta, {tok('context')} as tc from asked),
       p as (select sample_id, {CLAMP(p="1 - case when len(ta) = 0 then 0.0::double else len(list_intersect(ta, tc))::double / len(ta) end")} as p from s)
       select sample_id, round(p, 4) as risk_score, {LABELS(p='p')} as label from p""",
+    "n7_stream_rejected": "with c as (select distinct conv_id from conversations), r(case_, reason) as (values ('null', 'answer missing'), ('blank', 'answer blank'), ('long', 'question too long'), ('context', 'context too long'), ('answer', 'answer too long')),"
+      f"""{TURNS}, w as (select 'c_' || conv_id || '_' || turn as sample_id, case when answer is null then 'answer missing' when not regexp_matches(answer, '{NB}') then 'answer blank' when length(question) > 5000 then 'question too long'
+        when length(context) > 20000 then 'context too long' when length(answer) > 20000 then 'answer too long' end as reason from turns where role = 'assistant')
+      select case_ || '_' || conv_id as sample_id, reason from c, r union all select * from w where reason is not null""",
     "z6_perturbations": " union all ".join(perturbed(n, a) for n, a in (("none", "answer"), ("drop_sentence", r"regexp_replace(answer, '[^.!?]*[.!?]*\s*$', '')"), ("insert_sentence", "answer || ' This holds in every case.'"),
       ("change_numbers", "regexp_replace(answer, '[0-9]', '7', 'g')"), ("change_entities", r"regexp_replace(answer, '\p{Lu}[\p{L}\p{N}_]*', 'Other', 'g')"))),
     "a1_jsonl_scan": f"with {RAW} select count(*) as records, sum(length(question))::bigint as question_chars, sum(length(right_answer))::bigint as answer_chars, sum((hallucinated_answer is null)::int)::bigint as without from qa_raw",

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import random
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from riskframe.operators.metrics import point_metrics, ranking_metrics
 from riskframe.operators.report import over_seeds
@@ -99,37 +103,81 @@ def fit_forest(df: DataFrame, columns: list[str], seed: int, **params) -> Pipeli
     return forest(columns, seed, **params).fit(df.filter("split = 'train'"))
 
 
+#: Fits that are submitted at a time.
+AT_ONCE = 4
+
+
+def concurrently(tasks: list[Callable[[], DataFrame]], at_once: int | None = None) -> list[DataFrame]:
+    """What the tasks return, in their order. A bounded pool submits their jobs; under the fair scheduler each has a pool of its own."""
+    from pyspark.sql import SparkSession
+
+    context = SparkSession.active().sparkContext
+
+    def run(numbered: tuple[int, Callable[[], DataFrame]]) -> DataFrame:
+        context.setLocalProperty("spark.scheduler.pool", f"fit-{numbered[0] % (at_once or AT_ONCE)}")
+        return numbered[1]()
+
+    with ThreadPool(at_once or AT_ONCE) as pool:
+        return pool.map(inheritable_thread_target(run), enumerate(tasks), chunksize=1)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def over_protocol(df: DataFrame, columns: list[str], seeds: tuple[int, ...] = SEEDS, name: str = "boosted_trees", fit=fit_boosted, **params) -> DataFrame:
-    """(model, seed, metric, value) on test rows of one fit for each seed."""
-    out = None
-    for seed in seeds:
-        scored = predict(fit(df, columns, seed, **params), df.filter("split = 'test'"))
+    """(model, seed, metric, value) on test rows of one fit for each seed; fits overlap, and each scores its rows once."""
+    return union(concurrently(protocol(df, columns, seeds, name, fit, **params)))
+
+
+def protocol(df: DataFrame, columns: list[str], seeds: tuple[int, ...], name: str, fit, **params) -> list[Callable[[], DataFrame]]:
+    """The tasks of over_protocol()."""
+
+    def one(seed: int) -> DataFrame:
+        scored = stored(predict(fit(df, columns, seed, **params), df.filter("split = 'test'")).select("label", "prob", "pred"), "scored")
         row = point_metrics(scored).crossJoin(F.broadcast(ranking_metrics(scored)))  # one row each
         long = row.select(F.lit(name).alias("model"), F.lit(seed).alias("seed"), F.expr("stack(4, 'f1', f1, 'mcc', mcc, 'auroc', auroc, 'pr_auc', pr_auc) as (metric, value)"))
-        out = long if out is None else out.unionByName(long)
-    return out
+        return stored(long, "figures")
+
+    return [functools.partial(one, seed) for seed in seeds]
 
 
 def ablation(df: DataFrame, seeds: tuple[int, ...] = SEEDS, **params) -> DataFrame:
-    """(removed_group, metric, mean, std) after leaving out each group and fitting anew."""
-    out = None
+    """(removed_group, metric, mean, std) after leaving out each group and fitting anew; all fits of all groups overlap."""
     groups = [g for g in GROUPS if all(c in df.columns for c in GROUPS[g])]
-    for gone in groups:
-        part = over_protocol(df, columns_of(df, [g for g in groups if g != gone]), seeds, gone, fit_boosted, **params).filter("metric in ('f1', 'auroc')")
-        out = part if out is None else out.unionByName(part)
+    tasks = [t for gone in groups for t in protocol(df, columns_of(df, [g for g in groups if g != gone]), seeds, gone, fit_boosted, **params)]
+    out = union(concurrently(tasks)).filter("metric in ('f1', 'auroc')")
     return over_seeds(out).select(F.col("model").alias("removed_group"), "metric", "mean", "std")
 
 
-def save_bundle(path: str, model: PipelineModel, columns: list[str], params: dict) -> None:
-    """The fitted pipeline with its feature names and parameters beside it."""
+def save_bundle(path: str, model: PipelineModel, columns: list[str], params: dict, weights: DataFrame | None = None) -> None:
+    """The fitted pipeline, whatever its stages, with its feature names and parameters, and the weights of its cosines, beside it."""
     from pyspark.sql import SparkSession
 
     model.write().overwrite().save(f"{path}/model")
-    SparkSession.active().createDataFrame([(columns, json.dumps(params, sort_keys=True))], "columns array<string>, params string").write.mode("overwrite").json(f"{path}/about")
+    if weights is not None:
+        weights.write.mode("overwrite").parquet(f"{path}/weights")
+    about = (columns, json.dumps(params, sort_keys=True), weights is not None)
+    SparkSession.active().createDataFrame([about], ABOUT).write.mode("overwrite").json(f"{path}/about")
+
+
+ABOUT = "columns array<string>, params string, weighted boolean"
 
 
 def load_bundle(path: str) -> tuple[PipelineModel, list[str], dict]:
+    """(pipeline, feature names, parameters) of a saved bundle."""
+    about = _about(path)
+    return PipelineModel.load(f"{path}/model"), list(about.columns), json.loads(about.params)
+
+
+def load_weights(path: str) -> DataFrame | None:
+    """The weights of a saved bundle's cosines, where it has them."""
     from pyspark.sql import SparkSession
 
-    about = SparkSession.active().read.schema("columns array<string>, params string").json(f"{path}/about").first()
-    return PipelineModel.load(f"{path}/model"), list(about.columns), json.loads(about.params)
+    return SparkSession.active().read.schema("term string, weight double").parquet(f"{path}/weights") if _about(path).weighted else None
+
+
+def _about(path: str) -> Row:
+    from pyspark.sql import SparkSession
+
+    return SparkSession.active().read.schema(ABOUT).json(f"{path}/about").first()

@@ -1,40 +1,56 @@
-"""Lexical vectors in the place of sentence embeddings: hashed TF-IDF, fitted on train rows."""
+"""Lexical vectors in the place of sentence embeddings: TF-IDF over whole vocabularies, as rows of terms.
+
+A text's vector is the number of times each of its terms occurs, times the term's weight ln((n + 1) / (df + 1)), n being the train texts
+and df those that have the term. Vectors are never laid out: terms are counted as rows, meet their weights in an equi-join, and
+products and squares are summed for each sample.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, IDF, IDFModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskframe.functions.measures import cosine
-from riskframe.functions.text import is_blank, tokens
+from riskframe.functions.text import TOKEN, found, is_blank
+from riskframe.sources.records import stored
+
+SIDES = ("question", "context", "answer")
+#: Stands in the table of weights for terms that no train text has.
+UNSEEN = ""
 
-DIMENSION = 1 << 10
 
+def term_counts(df: DataFrame, sides: tuple[str, ...] = SIDES) -> DataFrame:
+    """(sample_id, term, n_<side>): how often each term occurs in each of a sample's texts."""
+    told = lambda k, side: F.transform(found(F.lower(F.coalesce(side, F.lit(""))), TOKEN), lambda x: F.struct(x.alias("term"), F.lit(k).alias("side")))
+    each = df.select("sample_id", F.inline(F.concat(*[told(k, s) for k, s in enumerate(sides)])))
+    return each.groupBy("sample_id", "term").agg(*[F.sum((F.col("side") == k).cast("long")).alias(f"n_{s}") for k, s in enumerate(sides)])
 
-def hashing(column: str) -> HashingTF:
-    return HashingTF(numFeatures=DIMENSION, inputCol=f"_tok_{column}", outputCol=f"_tf_{column}")
 
+def fit_tfidf(train: DataFrame) -> DataFrame:
+    """(term, weight) from train answers and contexts, each a text; the row of UNSEEN is for all other terms. Stored."""
+    counts = term_counts(train, SIDES[1:])
+    seen = counts.groupBy("term").agg(F.sum(sum((F.col(f"n_{s}") > 0).cast("long") for s in SIDES[1:])).alias("df"))
+    none = train.sparkSession.createDataFrame([(UNSEEN, 0)], "term string, df long")
+    texts = train.agg((2 * F.count("*")).alias("n"))  # one row
+    return stored(seen.unionByName(none).crossJoin(F.broadcast(texts)).select("term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("weight")), "weights")
 
-def counted(df: DataFrame) -> DataFrame:
-    out = df.withColumns({f"_tok_{c}": tokens(F.coalesce(c, F.lit(""))) for c in ("question", "context", "answer")})
-    for c in ("question", "context", "answer"):
-        out = hashing(c).transform(out)
-    return out
 
+def tfidf_cosines(weights: DataFrame, df: DataFrame) -> DataFrame:
+    """(sample_id, cosine_ctx_ans, cosine_q_ans) to six places; 0 for a blank context and where a text has no weight.
 
-def fit_tfidf(train: DataFrame) -> IDFModel:
-    """Inverse document frequencies of train answers and contexts."""
-    rows = counted(train)
-    both = rows.select(F.explode(F.array("_tf_answer", "_tf_context")).alias("_tf"))
-    return IDF(inputCol="_tf", outputCol="_v").fit(both)
+    Terms are joined by sorting and merging, so that adaptive execution can deal a common one to several tasks.
+    """
+    unseen = weights.filter(F.col("term") == UNSEEN).select(F.col("weight").alias("unseen"))  # one row
+    joined = term_counts(df).join(weights.hint("merge"), "term", "left").crossJoin(F.broadcast(unseen))
+    own = joined.select("sample_id", *[(F.col(f"n_{s}") * F.coalesce("weight", "unseen")).alias(s) for s in SIDES])
+    product = lambda a, b: F.sum(F.col(a) * F.col(b))
+    sums = own.groupBy("sample_id").agg(
+        product("context", "answer").alias("ca"), product("question", "answer").alias("qa"),
+        *[product(s, s).alias(f"{s}_2") for s in SIDES],
+    )
+    rows = df.select("sample_id", is_blank(F.col("context")).alias("blank")).join(sums, "sample_id", "left")
+    near: Column = F.when(F.col("blank"), F.lit(0.0)).otherwise(_cosine("ca", "context"))
+    return rows.select("sample_id", near.alias("cosine_ctx_ans"), _cosine("qa", "question").alias("cosine_q_ans"))
 
 
-def tfidf_cosines(model: IDFModel, df: DataFrame) -> DataFrame:
-    """(sample_id, cosine_ctx_ans, cosine_q_ans); 0 for a blank context."""
-    out = counted(df)
-    for c in ("question", "context", "answer"):
-        out = model.copy({model.inputCol: f"_tf_{c}", model.outputCol: f"_v_{c}"}).transform(out)
-    vector = lambda c: vector_to_array(f"_v_{c}")
-    near: Column = F.when(is_blank(F.col("context")), F.lit(0.0)).otherwise(cosine(vector("context"), vector("answer")))
-    return out.select("sample_id", near.alias("cosine_ctx_ans"), cosine(vector("question"), vector("answer")).alias("cosine_q_ans"))
+def _cosine(product: str, side: str) -> Column:
+    lengths = F.sqrt(F.col(f"{side}_2")) * F.sqrt("answer_2")
+    return F.coalesce(F.bround(F.try_divide(F.col(product), lengths), 6), F.lit(0.0))

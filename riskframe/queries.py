@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.functions import measures as m, text as t
 from riskframe.functions.judge import parse_reply
-from riskframe.operators import attach, errors, metrics, report, splits, stats
+from riskframe.operators import attach, errors, gazetteer, metrics, perturb, report, splits, stats
 from riskframe.oracles import SQL, TABLES  # noqa: F401
 from riskframe.plans import features as ft
-from riskframe.sources import records, views
+from riskframe.sources import records, unified, views
 
 #: Weights of the linear margin that is explained.
 LINEAR = {"n_words": 0.1, "n_sentences": -0.3, "overlap_answer_context": -2.0, "jaccard_ans_q": 1.5}
@@ -186,6 +186,19 @@ def c12_plain_names(spark, d):
     return types.union(known).distinct().select("feature", m.plain_name(F.col("feature")).alias("name"))
 
 
+def benchmark_names(spark: SparkSession, d: str) -> DataFrame:
+    """A gazetteer of up to four tokens: the entities, by pattern, of the benchmark's texts and of the questions."""
+    texts = views.table(spark, d, "benchmark").select("text").unionByName(clean(spark, d).select(F.col("question").alias("text")))
+    names = texts.select(F.explode(t.entities(F.col("text"))).alias("name")).distinct()
+    return names.filter(F.size(t.found(F.col("name"), t.TOKEN)).between(1, 4))
+
+
+@query
+def c10_gazetteer(spark, d):
+    """Mentions of the gazetteer's entities in answers."""
+    return gazetteer.mentions(clean(spark, d), benchmark_names(spark, d), text_col="answer").withColumn("at", F.col("at").cast("long"))
+
+
 @query
 def d1_lexical(spark, d):
     return featured(spark, d, "lexical").select("sample_id", *ft.GROUPS["lexical"])
@@ -406,14 +419,8 @@ def k2_mcnemar_correctness(spark, d):
 @query
 def k2_mcnemar_by_group(spark, d):
     """The test within each line number."""
-    lines = views.table(spark, d, "lineitem")
-    out = None
-    for n in range(1, 8):
-        rows = lines.filter(F.col("l_linenumber") == n)
-        df = rows.select((F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_quantity") >= 25).cast("int").alias("pred_a"), (F.col("l_discount") * 10 >= 0.5).cast("int").alias("pred_b"))
-        row = rounded(stats.mcnemar(df), 6, "p").select(F.lit(n).alias("l_linenumber"), "b", "c", "p")
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = views.table(spark, d, "lineitem").select("l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_quantity") >= 25).cast("int").alias("pred_a"), (F.col("l_discount") * 10 >= 0.5).cast("int").alias("pred_b"))
+    return rounded(stats.mcnemar(rows, by=["l_linenumber"]), 6, "p").select("l_linenumber", "b", "c", "p")
 
 
 @query
@@ -479,7 +486,10 @@ def m1_errors(spark, d):
 
 @query
 def m3_cases(spark, d):
-    out = errors.cases(risky(spark, d).withColumn("cosine_ctx_ans", F.lit(0.0)))
+    from riskframe.plans.semantic import fit_tfidf, tfidf_cosines
+
+    rows = splits.with_split(clean(spark, d))
+    out = errors.cases(risky(spark, d).join(tfidf_cosines(fit_tfidf(rows.filter("split = 'train'")), rows), "sample_id"))
     return out.select("*", F.col("features.n_words").alias("n_words"), F.col("features.overlap_answer_context").alias("overlap"), F.col("features.nli_ctx_entails_ans").alias("entails")).drop("features")
 
 
@@ -524,12 +534,70 @@ def z2_unified(spark, d):
     return qa.unionByName(responses, allowMissingColumns=True).select("sample_id", "task", "label")
 
 
+def mappings() -> dict[str, unified.Mapping]:
+    """How the given sources fill the unified schema."""
+    c, flags = F.col, F.col("hallucination_labels_processed")
+    texts = {"question": c("question"), "context": c("context"), "answer": c("answer")}
+    risky = (F.coalesce(flags["evident_conflict"], F.lit(0)) > 0) | (F.coalesce(flags["baseless_info"], F.lit(0)) > 0)
+    return {
+        "qa": unified.Mapping("qa", {"sample_id": c("sample_id"), "source_group_id": c("item_idx"), "task": F.lit("qa"), **texts, "label": c("label")}, ("sample_id", "item_idx", "question", "context", "answer", "label")),
+        "responses": unified.Mapping(
+            "responses",
+            {"sample_id": F.concat(F.lit("response_"), "id"), "source_group_id": c("id"), "task": F.lower("task_type"), "domain": c("query"), "context": c("context"), "answer": c("output"), "label": F.when(flags.isNotNull(), risky.cast("int"))},
+            ("id", "task_type", "query", "context", "output", "hallucination_labels_processed"),
+        ),
+        "turns": unified.Mapping("turns", {"sample_id": c("sample_id"), "source_group_id": c("item_idx"), "task": F.lit("chat"), **texts}, ("sample_id", "item_idx", "question", "context", "answer")),
+        "judge": unified.Mapping("judge", {"sample_id": F.concat(F.lit("judge_"), c("doc_id").cast("string")), "source_group_id": c("doc_id"), "answer": c("reply"), "label": c("label"), "generator": F.lit("judge")}, ("doc_id", "label", "reply")),
+    }
+
+
+def unified_sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"qa": clean(spark, d), "responses": views.responses(spark, d), "turns": views.qa_turns(spark, d), "judge": views.judge_replies(spark, d)}
+
+
+@query
+def z2_unified_schema(spark, d):
+    """Samples of four sources in one schema; texts by their lengths."""
+    out, how = None, mappings()
+    for name, df in unified_sources(spark, d).items():
+        part = unified.unified(df, how[name])
+        out = part if out is None else out.unionByName(part)
+    return out.select("source", "sample_id", "source_group_id", "task", "domain", *[F.length(c).cast("long").alias(f"{c}_chars") for c in ("question", "context", "answer")], "label", F.size("spans").cast("long").alias("n_spans"), "generator")
+
+
+@query
+def z2_mapping_report(spark, d):
+    out, how = None, mappings()
+    for name, df in unified_sources(spark, d).items():
+        part = unified.mapping_report(df, how[name])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def by_status_and_discount(spark: SparkSession, d: str) -> DataFrame:
+    lines = views.table(spark, d, "lineitem")
+    return lines.select(F.concat_ws(":", "l_linestatus", F.round(F.col("l_discount") * 100).cast("int")).alias("subgroup"), (F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_quantity") / 50).alias("prob"))
+
+
+@query
+def z3_recalibration(spark, d):
+    """Intercept and slope of the log-odds within each line status and discount."""
+    return rounded(metrics.recalibration(by_status_and_discount(spark, d), "subgroup", least=40), 6, "intercept", "slope")
+
+
+@query
+def z6_swaps(spark, d):
+    """Answers whose figures, or names, are those of other answers."""
+    df = clean(spark, d).select("sample_id", "answer")
+    kinds = {"numbers": t.NUMBER, "names": perturb.NAME}
+    parts = [perturb.swapped(df, pattern).select("sample_id", F.lit(kind).alias("kind"), "answer") for kind, pattern in kinds.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def z3_subgroup_calibration(spark, d):
     """Calibration within each line status and discount; groups of fewer than 40 rows take the figures of all rows."""
-    lines = views.table(spark, d, "lineitem")
-    df = lines.select(F.concat_ws(":", "l_linestatus", F.round(F.col("l_discount") * 100).cast("int")).alias("subgroup"), (F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_quantity") / 50).alias("prob"))
-    return rounded(metrics.subgroup_calibration(df, "subgroup", least=40), 9, "ece", "brier", "nll")
+    return rounded(metrics.subgroup_calibration(by_status_and_discount(spark, d), "subgroup", least=40), 9, "ece", "brier", "nll")
 
 
 @query

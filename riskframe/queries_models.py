@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDFModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskframe.functions import measures as m
@@ -13,7 +12,7 @@ from riskframe.sources import records, views
 from riskframe.streaming import score_stream as streaming
 
 
-def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, IDFModel]:
+def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The split table of all feature groups, stored: every fit and prediction reads it; and the weights of its cosines.
 
     Samples without inference scores have them at their defaults.
@@ -38,10 +37,13 @@ def boosted_scores(spark: SparkSession, d: str) -> tuple[DataFrame, models.Pipel
     return models.predict(model, df), model
 
 
-def scorer(df: DataFrame, idf: IDFModel) -> score.Scorer:
-    model = models.fit_boosted(df, columns(df), 42)
-    platt = calibrate.fit_platt(models.predict(model, df.filter("split = 'val'")))
-    return score.Scorer(model, platt, columns(df), idf=idf)
+def scorer(df: DataFrame, idf: DataFrame, **params) -> score.Scorer:
+    """Boosted trees of the train rows with their calibrator, saved as one bundle and loaded from it."""
+    raw = models.fit_boosted(df, columns(df), 42, **params)
+    platt = calibrate.fit_platt(models.predict(raw, df.filter("split = 'val'")))
+    path = records.scratch_path(df.sparkSession, "scorer")
+    score.Scorer(raw, platt, columns(df), idf=idf).save(path)
+    return score.load_scorer(path)
 
 
 @query
@@ -62,13 +64,16 @@ def a4_cached_table(spark, d):
 
 @query
 def a6_model_bundle(spark, d):
-    """Predictions of a saved and loaded logistic model on test rows."""
-    df = data(spark, d)
-    train = df.filter("split = 'train'")
+    """Calibrated predictions of a saved and loaded logistic pipeline on test rows, whose cosines come from the bundle's own weights."""
+    df, idf = prepared(spark, d)
+    train, val = df.filter("split = 'train'"), df.filter("split = 'val'")
     path = records.scratch_path(spark, "bundle")
-    models.save_bundle(path, models.logistic(columns(df), train.count()).fit(train), columns(df), {"model": "logistic"})
-    model, _, _ = models.load_bundle(path)
-    return models.predict(model, df.filter("split = 'test'")).select("sample_id", "label", F.round("prob", 6).alias("prob"), "pred")
+    raw = models.logistic(columns(df), train.count()).fit(train)
+    score.Scorer(raw, calibrate.fit_platt(models.predict(raw, val)), columns(df), "logistic", idf).save(path)
+    own = score.load_scorer(path)
+    test = df.filter("split = 'test'").drop("cosine_ctx_ans", "cosine_q_ans")
+    test = test.join(semantic.tfidf_cosines(own.idf, test), "sample_id").select("sample_id", "label", *own.columns)
+    return calibrate.calibrated(own.pipeline, test).select("sample_id", "label", F.round("prob", 6).alias("prob"), "pred")
 
 
 @query
@@ -146,8 +151,8 @@ def h7_tuning(spark, d):
 @query
 def h8_seed_protocol(spark, d):
     df = data(spark, d)
-    trees = models.over_protocol(df, columns(df), name="random_forest", fit=models.fit_forest)
-    return report.over_seeds(models.over_protocol(df, columns(df)).unionByName(trees))
+    trees = models.protocol(df, columns(df), models.SEEDS, "random_forest", models.fit_forest)
+    return report.over_seeds(models.union(models.concurrently(trees + models.protocol(df, columns(df), models.SEEDS, "boosted_trees", models.fit_boosted))))
 
 
 @query
@@ -166,7 +171,7 @@ def i10_external(spark, d):
     """A frozen model on responses that it was not fitted on."""
     own = scorer(*prepared(spark, d))
     outside = score.features_of(records.normalise_responses(views.responses(spark, d)), own)
-    return metrics.full_report(calibrate.calibrated(own.raw, own.platt, outside))
+    return metrics.full_report(calibrate.calibrated(own.pipeline, outside))
 
 
 @query
@@ -181,23 +186,38 @@ def j2_isotonic(spark, d):
     return calibrate.apply_isotonic(calibrate.fit_isotonic(scored.filter("split = 'val'")), scored).select("sample_id", "split", "prob")
 
 
+def means(df: DataFrame, value: str) -> DataFrame:
+    """(method, metric) rows with the mean of the value over the seeds, and the values in seed order."""
+    return report.over_seeds(df.select(F.col("method").alias("model"), "metric", "seed", F.col(value).alias("value"))).select(F.col("model").alias("method"), "metric", F.col("mean").alias(value), "values")
+
+
 @query
 def j3_calibration(spark, d):
-    scored, _ = boosted_scores(spark, d)
-    return calibrate.compare(scored.filter("split = 'val'"), scored.filter("split = 'test'"))
+    """F1, ECE and Brier of raw and calibrated probabilities: means over three seeds, and the seeds' values."""
+    df = data(spark, d)
+    return means(calibrate.over_seeds(df, columns(df)), "value")
 
 
 @query
 def j4_calibrated_scores(spark, d):
     df, idf = prepared(spark, d)
-    own = scorer(df, idf)
-    return calibrate.calibrated(own.raw, own.platt, df).select("sample_id", "split", "raw_prob", "prob", "pred")
+    return calibrate.calibrated(scorer(df, idf).pipeline, df).select("sample_id", "split", "raw_prob", "prob", "pred")
 
 
 @query
 def k5_calibration_gain(spark, d):
-    scored, _ = boosted_scores(spark, d)
-    return stats.calibration_gain(calibrate.compare(scored.filter("split = 'val'"), scored.filter("split = 'test'")))
+    """What calibration adds to each figure: means over three seeds, and the seeds' differences."""
+    df = data(spark, d)
+    return means(stats.calibration_gain(calibrate.over_seeds(df, columns(df))), "gain")
+
+
+@query
+def k4_wilcoxon_models(spark, d):
+    """Boosted trees against the forest by their F1 over the seeds."""
+    df = data(spark, d)
+    tasks = models.protocol(df, columns(df), models.SEEDS, "a", models.fit_boosted) + models.protocol(df, columns(df), models.SEEDS, "b", models.fit_forest)
+    f1 = models.union(models.concurrently(tasks)).filter("metric = 'f1'")
+    return stats.wilcoxon(f1.groupBy("seed").pivot("model", ["a", "b"]).agg(F.first("value")))
 
 
 def attributions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -251,18 +271,48 @@ def n6_readiness(spark, d):
     return ft.readiness(df, ft.ALL_FEATURES).join(df.agg(F.count("*").alias("rows")))
 
 
+#: Requests that can't be scored, which come with the turns: (case, question, context, answer).
+BAD_REQUESTS = [("null", "q", "c", None), ("blank", "q", "c", " \t"), ("long", "q" * 5_001, "c", "a"), ("context", "q", "c" * 20_001, "a"), ("answer", "q", "c", "a" * 20_001)]
+
+
+def streamed(spark: SparkSession, d: str, risk, version: str = "") -> str:
+    """The folder that a stream over request files wrote: the turns, and each conversation's first turn once for each bad request."""
+    path = records.scratch_path(spark, "stream")
+    turns = views.qa_turns(spark, d).select("sample_id", "question", "context", "answer")
+    first = views.table(spark, d, "conversations").groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    cases = F.array(*[F.struct(*[F.lit(x).cast("string").alias(c) for c, x in zip(("case", "question", "context", "answer"), r)]) for r in BAD_REQUESTS])
+    bad = first.select("conv_id", F.inline(cases)).select(F.concat_ws("_", "case", "conv_id").alias("sample_id"), "question", "context", "answer")
+    turns.unionByName(bad).repartition(4).write.option("ignoreNullFields", "false").json(f"{path}/in")
+    streaming.score_stream(streaming.read_requests(spark, f"{path}/in", 2), risk, f"{path}/out", f"{path}/checkpoint", once=True, version=version).awaitTermination()
+    return f"{path}/out"
+
+
+def overlap_risk(batch: DataFrame) -> DataFrame:
+    p = m.clamp(1 - F.col("overlap_answer_context"))
+    return ft.text_features(batch, ("lexical",)).select("sample_id", F.round(p, 4).alias("risk_score"), m.risk_label(p).alias("label"))
+
+
+SCORED = "sample_id string, risk_score double, label string"
+
+
 @query
 def n7_stream(spark, d):
     """Requests that arrive as files, scored by overlap: what the batches wrote."""
-    path = records.scratch_path(spark, "stream")
-    views.qa_turns(spark, d).select("sample_id", "question", "context", "answer").repartition(4).write.json(f"{path}/in")
+    return streaming.written(spark, streamed(spark, d, overlap_risk), "scores", SCORED)
+
+
+@query
+def n7_stream_rejected(spark, d):
+    """Requests that arrive as files and can't be scored, with their reasons."""
+    return streaming.written(spark, streamed(spark, d, overlap_risk), "rejected", "sample_id string, reason string")
 
-    def risk(batch: DataFrame) -> DataFrame:
-        p = m.clamp(1 - F.col("overlap_answer_context"))
-        return ft.text_features(score.accepted(batch), ("lexical",)).select("sample_id", F.round(p, 4).alias("risk_score"), m.risk_label(p).alias("label"))
 
-    streaming.score_stream(streaming.read_requests(spark, f"{path}/in", 2), risk, f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("sample_id", "risk_score", "label")
+@query
+def n7_stream_scored(spark, d):
+    """Requests that arrive as files, scored by a loaded scorer: what the batches wrote."""
+    own = scorer(*prepared(spark, d))
+    out = streamed(spark, d, lambda batch: score.scored(batch, own).select("sample_id", "risk_score", "label"), own.version)
+    return streaming.written(spark, out, "scores", SCORED)
 
 
 @query
@@ -288,12 +338,11 @@ def z5_rank_agreement(spark, d):
     """How far two views of importance agree: over feature groups, the correlation of ranks by attribution and by the F1 lost without
     the group; over test rows, the Jaccard index of the five strongest features before and after the answer loses its last sentence."""
     df, idf = prepared(spark, d)
-    model = models.fit_boosted(df, columns(df), 42)
-    own = score.Scorer(model, calibrate.fit_platt(models.predict(model, df.filter("split = 'val'"))), columns(df), idf=idf)
+    own = scorer(df, idf)
     test = df.filter("split = 'test'")
 
     def impacts(rows: DataFrame) -> DataFrame:
-        return records.stored(explain.long_attributions(rows.join(explain.tree_attributions(rows, model, columns(df)), "sample_id"), columns(df)), "impacts")
+        return records.stored(explain.long_attributions(rows.join(explain.tree_attributions(rows, own.raw, columns(df)), "sample_id"), columns(df)), "impacts")
 
     before = impacts(test)
     shorter = test.select("sample_id", "question", "context", perturbed("drop_sentence").alias("answer"))
