@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import string
 import tempfile
 import uuid
@@ -21,7 +21,7 @@ def scratch_root(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="riskframe-"))
         root = context.getCheckpointDir()
-    return f"{root.rstrip('/')}/riskframe-{uuid.uuid4().hex}"
+    return f"{qualified(spark, root).rstrip('/')}/riskframe-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -56,8 +56,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def qualified(spark: SparkSession, uri: str) -> str:
+    """The URI with its scheme: a plain path is one of the cluster's default file system, which need not be the local one."""
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*:", uri):
+        return uri
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def local_path(uri: str) -> str | None:
-    """The path of a file: URI or plain path, which every machine sees if the folder is shared; None for other stores."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if uri.startswith(os.sep) else None
+    """The path of a file: URI, which every machine sees if the folder is shared; None for other stores."""
+    return "/" + uri[5:].lstrip("/") if uri.startswith("file:") else None

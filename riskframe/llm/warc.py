@@ -6,7 +6,8 @@ record as a gzip member of its own (revisits without their payload), and writes
 the archive. Readers then seek to single records.
 
 Files get a new name in each attempt and are renamed when complete; only files named in the stored inventory count, so
-tasks can be repeated. A task holds one record at a time. Folders of file: URIs must be shared; others go through pyarrow.
+tasks can be repeated. A task holds one record at a time. Folders of file: URIs must be shared; others go through pyarrow's file
+systems, and a plain path is one of the cluster's default file system.
 Archives of several members are read through to their end; a cut member or trailer, or anything after the last member, raises.
 
 Defined results: null html is an empty payload; of equal payloads the records of the largest id are responses, however
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm._shared import known_columns, local_path, scratch_root, staged
+from riskframe.llm._shared import known_columns, local_path, qualified, scratch_root, staged
 
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 32 << 20, 20_000
 CHUNK = 1 << 20
@@ -39,6 +40,10 @@ INVENTORY = "path string, record int, page_id long, payload_bytes long, digest s
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+#: Schemes of Hadoop's file systems, and of pyarrow's for the same stores.
+SCHEMES = {"s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "abfs": "abfs", "abfss": "abfss"}
+
+
 class Store:
     """Opens, renames and makes folders for local and other URIs."""
 
@@ -49,7 +54,13 @@ class Store:
         else:
             from pyarrow import fs
 
-            self.fs, self.path = fs.FileSystem.from_uri(uri)
+            scheme, _, rest = uri.partition(":")
+            if scheme not in SCHEMES:
+                raise ValueError(f"archives go to stores of file, {', '.join(SCHEMES)}, not of {scheme}: {uri}")
+            try:
+                self.fs, self.path = fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
+            except (OSError, pa.ArrowException) as e:
+                raise ValueError(f"the store of {uri} can't be opened: {e}") from e
 
     def reader(self):
         return open(self.path, "rb") if self.local else self.fs.open_input_file(self.path)
@@ -257,7 +268,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Archives of one gzip stream each, in folder; returns their stored inventory."""
+    """Archives of one gzip stream each, in folder; returns their stored inventory. A store that can't be used raises before anything is written."""
+    folder = qualified(pages.sparkSession, folder)
+    Store(folder)
     rows = known_columns(pages, page_id=id_col, url=url_col, html=html_col)
     rows = rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return staged(rows.mapInArrow(_write(folder), INVENTORY), "inventory")

@@ -88,3 +88,42 @@ def test_several_members(monkeypatch, chunk):
     with pytest.raises(ValueError):
         blocks_of(whole + zlib.compress(middle[:-2], wbits=31))
     assert blocks_of(b"") == []
+
+
+def test_plain_paths_belong_to_the_default_file_system(spark, tmp_path):
+    """Another default file system than the local one: a mount table of its own."""
+    from riskframe.llm import _shared
+
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    assert _shared.qualified(spark, str(tmp_path)) == f"file:{tmp_path}" and _shared.qualified(spark, "s3a://b/x") == "s3a://b/x"
+    conf.set("fs.viewfs.mounttable.other.link./user", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://other/")
+    try:
+        assert _shared.qualified(spark, "/user/x") == "viewfs://other/user/x"
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
+    assert _shared.local_path("viewfs://other/user/x") is None and _shared.local_path("/user/x") is None
+
+
+def test_object_stores(monkeypatch, tmp_path):
+    """An archive in a store that Hadoop and pyarrow name differently."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    opened = []
+    monkeypatch.setattr(fs.FileSystem, "from_uri", lambda uri: opened.append(uri) or (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), uri.split("://")[1]))
+    pages = pa.RecordBatch.from_pydict({"page_id": [1, 2], "url": ["u", None], "html": ["<p>é</p>", None]}, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]))
+    inventory = [r for batch in warc._write("s3a://bucket/warc")(iter([pages])) for r in batch.to_pylist()]
+    assert {r["path"].rsplit("/", 1)[0] for r in inventory} == {"s3a://bucket/warc"}
+    rows = pa.RecordBatch.from_pylist([{"path": inventory[0]["path"], "revisits": [{"record": 1, "refers_to": 1}]}])
+    archives = [b.select([0]) for b in warc._normalise(iter([rows]))]
+    read = [tuple(r.values()) for b in warc._read(iter(archives)) for r in b.to_pylist()]
+    assert read == [(1, 9, warc.payload_digest("<p>é</p>".encode()), "response", None), (2, 0, warc.payload_digest(b""), "revisit", 1)]
+    assert opened and all(u.startswith("s3://bucket/warc/") for u in opened)
+
+
+def test_stores_that_cannot_be_used_raise_before_any_write(spark, pages):
+    for folder in ("ftp://h/x", "wasb://c@a/x"):
+        with pytest.raises(ValueError, match="stores of file"):
+            warc.archive_round_trip(pages, folder=folder)
