@@ -6,11 +6,15 @@ wildcard, at ``SIMILAR`` of their positions or more are alike, and lines that ar
 template: more lines can only join templates. A template that occurs in two documents or more is kept at its first place
 (smallest id, then line number) and dropped everywhere else.
 
-Alike lines are found without comparing all lines of a leaf. Two lines that agree at enough positions share one of their
-rarest tokens, of as many as may differ and one more (the exact prefix filter): only lines that share such a token at its position
-are compared, so that lines of a common beginning but little else don't meet. In a bucket of at most ``SMALL`` distinct lines
-every pair is compared; in a larger one every line with the bucket's first, and then those outside the bucket's largest template with
-all of the bucket's that aren't in theirs. Nothing is capped; that last step costs the product of the two counts.
+Alike lines are found without comparing all lines of a leaf. Let a line's tokens be ordered from the rarest to the most common, and let
+``most`` be the number that may differ and one more. Of what two alike lines have in common, the first lies among the first
+``most`` tokens of both, the second among the first ``most + 1``, and so on (the exact prefix filter, carried on). So lines meet in
+buckets of one such token at its position. In a bucket of at most ``SMALL`` distinct lines every pair is compared; in a larger one
+every line with the bucket's first. Where that leaves a large bucket's lines with several templates, the lines outside its largest one
+are open, and the bucket is parted by the next token that its lines have in common, again and again, as long as an open line meets lines of
+other templates in a large bucket. Once they have as many tokens in common as alike lines need, all are alike, so this ends.
+Nothing is capped, and pairs are compared in small buckets or with a bucket's first line only, so that lines of
+few values in many fields, as tables have them, cost no product of their numbers.
 
 Lines are cut and masked once. Only ids and hashes of lines are shuffled, except for one line of each kind in leaves that hold
 several, and for documents that lose lines, which are rebuilt at the end.
@@ -79,16 +83,27 @@ def distinct_lines(docs: DataFrame, slim: DataFrame) -> DataFrame:
     return staged(found.dropDuplicates(["node"]).select("node", "leaf", F.split(masked(F.col("plain")), " ").alias("tokens")), "variants")
 
 
-def buckets_of(own: DataFrame) -> DataFrame:
-    """(bucket, node): the rarest tokens of each line with their leaf and position, as many as two alike lines must share one of."""
+def tokens_of(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, most, item) for each token, with its leaf and position as one item, of lines that can be alike to others; and (item, having)
+    of the items that several lines have. Both stored."""
     plain, least = F.size(F.filter("tokens", lambda x: x != WILD)), F.expr(f"({SIMILAR} * size(tokens) + 9) div 10")
     able = own.select("leaf", "node", "tokens", (plain - least + 1).alias("most")).filter("most > 0")
     each = able.select("leaf", "node", "most", F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != WILD)
-    each = staged(each.select("node", "most", F.xxhash64("leaf", "at", "token").alias("bucket")), "tokens")
-    often = staged(each.groupBy("bucket").agg(F.count("*").alias("having")).filter("having > 1"), "often")
-    order = W.partitionBy("node").orderBy(F.coalesce("having", F.lit(1)), "bucket")
-    # Tokens that only one line has link nothing, but count among the rarest.
-    return each.join(often, "bucket", "left").withColumn("rank", F.row_number().over(order)).filter("having is not null and rank <= most").select("bucket", "node")
+    each = staged(each.select("node", "most", F.xxhash64("leaf", "at", "token").alias("item")), "tokens")
+    return each, staged(each.groupBy("item").agg(F.count("*").alias("having")).filter("having > 1"), "often")
+
+
+def ranked(each: DataFrame, often: DataFrame) -> DataFrame:
+    """(node, most, item, rank) of the items that several lines have: rank 1 is a line's rarest."""
+    order = W.partitionBy("node").orderBy(F.coalesce("having", F.lit(1)), "item")
+    # Items that only one line has link nothing, but count among the rarest.
+    rows = each.join(often, "item", "left").withColumn("rank", F.row_number().over(order))
+    return rows.filter("having is not null").select("node", "most", "item", "rank")
+
+
+def buckets_of(own: DataFrame) -> DataFrame:
+    """(bucket, node): the rarest tokens of each line with their leaf and position, as many as two alike lines must share one of."""
+    return ranked(*tokens_of(own)).filter("rank <= most").select(F.col("item").alias("bucket"), "node")
 
 
 def alike(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -98,25 +113,45 @@ def alike(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return pairs.distinct().join(left, "a").join(right, "b").filter(10 * common >= SIMILAR * F.size("tokens_a")).select("a", "b")
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """(bucket, node, last, opened) of buckets of several lines, with the bucket's size n and its first line as hub; stored."""
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("opened").alias("some")).filter("n > 1 and some").drop("some")
+    return staged(rows.join(staged(counts, "counts"), "bucket"), "buckets")
+
+
+def candidates(member: DataFrame) -> DataFrame:
+    """(a, b) pairs to compare: all that have an open line in small buckets, and each line with the first in large ones."""
+    small = member.filter(f"n <= {SMALL}")
+    side = lambda c: small.select("bucket", F.col("node").alias(c), F.col("opened").alias(f"opened_{c}"), F.col("label").alias(f"label_{c}"))
+    apart_or_new = "a < b and (opened_a or opened_b) and not (label_a <=> label_b and label_a is not null)"
+    close = side("a").join(side("b"), "bucket").filter(apart_or_new).select("a", "b")
+    star = member.filter(f"n > {SMALL} and node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return close.union(star)
+
+
 def templates(own: DataFrame) -> DataFrame:
     """(variant, template) of the variants that share their template with others."""
-    in_bucket = staged(buckets_of(own), "rarest")
-    counts = staged(in_bucket.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1"), "counts")
-    member = staged(in_bucket.join(counts, "bucket"), "buckets")
-    small = member.filter(f"n <= {SMALL}").select("bucket", F.col("node").alias("a"))
-    close = small.join(small.withColumnRenamed("a", "b"), "bucket").filter("a < b").select("a", "b")
-    star = member.filter(f"n > {SMALL} and node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = staged(alike(close.union(star), own), "alike")
+    each, often = tokens_of(own)
+    first = ranked(each, often).filter("rank <= most")
+    rows = first.select(F.col("item").alias("bucket"), "node", F.col("rank").alias("last"), F.lit(True).alias("opened"), F.lit(None).cast("long").alias("label"))
+    member, depth = sized(staged(rows, "rarest")), 1
+    links = staged(alike(candidates(member), own), "alike")
     found = components(links)
-    large = member.filter(f"n > {SMALL}").select("bucket", "node")
-    if large.limit(1).count():
-        rows = staged(apart(large, found), "apart")
-        opened = rows.filter("opened").select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        every = rows.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        more = staged(alike(opened.join(every, "bucket").filter("label_a != label_b").select("a", "b"), own), "more")
-        if more.limit(1).count():
-            found = components(links.union(more))
-    return found.select(F.col("node").alias("variant"), F.xxhash64(F.lit("template"), "label").alias("template"))
+    while True:
+        large = member.filter(f"n > {SMALL}")
+        rows = staged(apart(large.select("bucket", "node"), found), "apart")
+        if not rows.limit(1).count():
+            return found.select(F.col("node").alias("variant"), F.xxhash64(F.lit("template"), "label").alias("template"))
+        depth += 1
+        rows = rows.join(large.select("bucket", "node", "last"), ["bucket", "node"])
+        more = ranked(each.join(staged(rows.select("node").distinct(), "nodes"), "node", "left_semi"), often).filter(f"rank <= most + {depth - 1}")
+        rows = rows.join(more, "node").filter("rank > last")
+        rows = rows.select(F.xxhash64("bucket", "item").alias("bucket"), "node", F.col("rank").alias("last"), "opened", "label")
+        member = sized(staged(rows, "parted"))
+        fresh = staged(alike(candidates(member), own), "more")
+        if fresh.limit(1).count():
+            links = links.union(fresh)
+            found = components(links)
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

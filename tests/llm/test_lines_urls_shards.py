@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -43,6 +44,37 @@ def test_common_tokens_bring_no_unlike_lines_together(spark):
     assert line_dedup.buckets_of(own).count() == 0
 
 
+def test_few_values_in_many_fields_cost_no_product(spark, monkeypatch):
+    """Lines of three fixed tokens and seven fields of 20 values: pairs that are compared go with the lines."""
+    compared = []
+    real = line_dedup.alike
+    monkeypatch.setattr(line_dedup, "alike", lambda pairs, own: compared.append(pairs.distinct().count()) or real(pairs, own))
+    counts = {}
+    for n in (2000, 8000):
+        rng = random.Random(n)
+        lines = {("for", "the", "row", *(f"f{i}v{rng.randrange(20)}" for i in range(7))) for _ in range(n)}
+        own = spark.createDataFrame([(i, 1, list(x)) for i, x in enumerate(sorted(lines))], "node long, leaf long, tokens array<string>")
+        compared.clear()
+        line_dedup.templates(own).count()
+        counts[n] = sum(compared)
+    assert counts[8000] < 40 * 8000 and counts[8000] < 8 * counts[2000]
+
+
+def test_many_lines_of_few_values_against_all_pairs(spark, monkeypatch):
+    """Buckets that are parted several times, against all pairs of the leaf."""
+    monkeypatch.setattr(line_dedup, "SMALL", 3)
+    rng = random.Random(12)
+    lines = sorted({("a", "b", "c", *(f"f{i}v{rng.randrange(4 if i < 3 else 9)}" for i in range(7))) for _ in range(400)})
+    own = spark.createDataFrame([(i, 1, list(x)) for i, x in enumerate(lines)], "node long, leaf long, tokens array<string>")
+    found = {r.variant: r.template for r in line_dedup.templates(own).collect()}
+    of = brute_templates(lines)
+    groups = {}
+    for i, x in enumerate(lines):
+        groups.setdefault(of[x], set()).add(found.get(i, ("alone", i)))
+    assert all(len(g) == 1 for g in groups.values()) and len(set(map(frozenset, groups.values()))) == len(groups)
+    assert 1 < len(groups) < len(lines)
+
+
 def brute_templates(lines):
     """Template of each line (tokens), by comparing all lines of a leaf."""
     up = {x: x for x in lines}
