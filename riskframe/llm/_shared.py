@@ -65,5 +65,7 @@ def qualified(spark: SparkSession, uri: str) -> str:
 
 
 def local_path(uri: str) -> str | None:
-    """The path of a file: URI, which every machine sees if the folder is shared; None for other stores."""
-    return "/" + uri[5:].lstrip("/") if uri.startswith("file:") else None
+    """The path of a file: URI, which every machine sees if the folder is shared, or of a plain one; None for other stores."""
+    if uri.startswith("file:"):
+        return "/" + uri[5:].lstrip("/")
+    return uri if uri.startswith("/") else None

