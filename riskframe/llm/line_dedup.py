@@ -9,7 +9,7 @@ template: more lines can only join templates. A template that occurs in two docu
 Alike lines are found without comparing all lines of a leaf. Let a line's tokens be ordered from the rarest to the most common, and let
 ``most`` be the number that may differ and one more. Of what two alike lines have in common, the first lies among the first
 ``most`` tokens of both, the second among the first ``most + 1``, and so on (the exact prefix filter, carried on). So lines meet in
-buckets of one such token at its position. In a bucket of at most ``SMALL`` distinct lines every pair is compared; in a larger one
+buckets of one such token at its position. In a bucket of at most ``SMALL`` distinct lines (``PARTED`` further on) every pair is compared; in a larger one
 every line with the bucket's first. Where that leaves a large bucket's lines with several templates, the lines outside its largest one
 are open, and the bucket is parted by the next token that its lines have in common, again and again, as long as an open line meets lines of
 other templates in a large bucket. Once they have as many tokens in common as alike lines need, all are alike, so this ends.
@@ -34,8 +34,8 @@ from riskframe.llm.components import apart, components
 DEPTH = 3
 #: Tenths of a line's positions that alike lines have in common.
 SIMILAR = 7
-#: Distinct lines up to which all pairs of a bucket are compared.
-SMALL = 24
+#: Distinct lines up to which all pairs of a bucket are compared, and of a bucket that parting another made: rows of buckets cost less than pairs.
+SMALL, PARTED = 24, 6
 WILD = "<*>"
 #: White space other than spaces and line ends.
 BLANKS = "\t\x0b\x0c\r"
@@ -119,13 +119,13 @@ def sized(rows: DataFrame) -> DataFrame:
     return staged(rows.join(staged(counts, "counts"), "bucket"), "buckets")
 
 
-def candidates(member: DataFrame) -> DataFrame:
-    """(a, b) pairs to compare: all that have an open line in small buckets, and each line with the first in large ones."""
-    small = member.filter(f"n <= {SMALL}")
+def candidates(member: DataFrame, most: int) -> DataFrame:
+    """(a, b) pairs to compare: all that have an open line in buckets of at most so many lines, and each line with the first in larger ones."""
+    small = member.filter(f"n <= {most}")
     side = lambda c: small.select("bucket", F.col("node").alias(c), F.col("opened").alias(f"opened_{c}"), F.col("label").alias(f"label_{c}"))
     apart_or_new = "a < b and (opened_a or opened_b) and not (label_a <=> label_b and label_a is not null)"
     close = side("a").join(side("b"), "bucket").filter(apart_or_new).select("a", "b")
-    star = member.filter(f"n > {SMALL} and node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    star = member.filter(f"n > {most} and node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     return close.union(star)
 
 
@@ -134,21 +134,21 @@ def templates(own: DataFrame) -> DataFrame:
     each, often = tokens_of(own)
     first = ranked(each, often).filter("rank <= most")
     rows = first.select(F.col("item").alias("bucket"), "node", F.col("rank").alias("last"), F.lit(True).alias("opened"), F.lit(None).cast("long").alias("label"))
-    member, depth = sized(staged(rows, "rarest")), 1
-    links = staged(alike(candidates(member), own), "alike")
+    member, depth, most = sized(staged(rows, "rarest")), 1, SMALL
+    links = staged(alike(candidates(member, most), own), "alike")
     found = components(links)
     while True:
-        large = member.filter(f"n > {SMALL}")
+        large = member.filter(f"n > {most}")
         rows = staged(apart(large.select("bucket", "node"), found), "apart")
         if not rows.limit(1).count():
             return found.select(F.col("node").alias("variant"), F.xxhash64(F.lit("template"), "label").alias("template"))
-        depth += 1
+        depth, most = depth + 1, PARTED
         rows = rows.join(large.select("bucket", "node", "last"), ["bucket", "node"])
         more = ranked(each.join(staged(rows.select("node").distinct(), "nodes"), "node", "left_semi"), often).filter(f"rank <= most + {depth - 1}")
         rows = rows.join(more, "node").filter("rank > last")
         rows = rows.select(F.xxhash64("bucket", "item").alias("bucket"), "node", F.col("rank").alias("last"), "opened", "label")
         member = sized(staged(rows, "parted"))
-        fresh = staged(alike(candidates(member), own), "more")
+        fresh = staged(alike(candidates(member, most), own), "more")
         if fresh.limit(1).count():
             links = links.union(fresh)
             found = components(links)

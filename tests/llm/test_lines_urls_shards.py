@@ -63,6 +63,7 @@ def test_few_values_in_many_fields_cost_no_product(spark, monkeypatch):
 def test_many_lines_of_few_values_against_all_pairs(spark, monkeypatch):
     """Buckets that are parted several times, against all pairs of the leaf."""
     monkeypatch.setattr(line_dedup, "SMALL", 3)
+    monkeypatch.setattr(line_dedup, "PARTED", 2)
     rng = random.Random(12)
     lines = sorted({("a", "b", "c", *(f"f{i}v{rng.randrange(4 if i < 3 else 9)}" for i in range(7))) for _ in range(400)})
     own = spark.createDataFrame([(i, 1, list(x)) for i, x in enumerate(lines)], "node long, leaf long, tokens array<string>")
