@@ -40,8 +40,13 @@ def attach_nli(samples: DataFrame, scores: DataFrame, key: str = "item_idx") ->
     )
 
 
+def missing_scores(df: DataFrame) -> DataFrame:
+    """Rows that have a context but no inference scores in one direction or both."""
+    return df.filter("nli_ctx_entails_ans is null or nli_ans_entails_ctx is null")
+
+
 def check_nli(df: DataFrame) -> None:
-    if df.filter("nli_ctx_entails_ans is null or nli_ans_entails_ctx is null").limit(1).count():
+    if missing_scores(df).limit(1).count():
         raise AlignmentError("samples without inference scores")
 
 

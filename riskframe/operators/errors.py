@@ -29,7 +29,8 @@ def error_type() -> Column:
 
 
 def errors(df: DataFrame) -> DataFrame:
-    return df.withColumn("error_type", error_type()).filter("error_type is not null")
+    """Rows whose prediction (0 or 1) isn't their label: one comparison, so that a filter that is worked out before the features has them once."""
+    return df.filter(F.col("pred") != F.col("label")).withColumn("error_type", error_type())
 
 
 def value(name: str) -> Column:

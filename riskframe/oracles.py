@@ -227,6 +227,7 @@ SQL: dict[str, str] = {
       f0 as (select g, sum(n) as n, 0.0::double as a, 0.0::double as b from cells group by g){NEWTON}
       select f.g as subgroup, f.n::bigint as n, f.n < 40 as pooled, round(case when f.n < 40 then p.a else f.a end, 6) as intercept, round(case when f.n < 40 then p.b else f.b end, 6) as slope from f{NEWTON_ROUNDS} f, f{NEWTON_ROUNDS} p where f.g is not null and p.g is null""",
     "z6_swaps": " union all ".join(swapped(kind, pattern) for kind, pattern in (("numbers", r"\b\d+(?:\.\d+)?%?\b"), ("names", NAME))),
+    "e2_missing_scores": f"with {RAW} select sample_id, item_idx from qa where regexp_matches(context, '{NB}') and item_idx not in (select vec_id from embeddings)",
     "d8_tfidf_cosines": f"with {TERMS} select * from cosines",
     "k3_bootstrap": f"""with {PRED},
       cells as (select *, concat_ws(':', 777, {SCORE_KEY}, label, pred, rep) as own from (select prob as score, label, pred, count(*) as n from pred group by all), (select unnest(range(1, 1001)) as rep)),

@@ -243,6 +243,12 @@ def e2_attach_nli(spark, d):
     return attach.attach_nli(clean(spark, d), views.nli_scores(spark, d)).select("sample_id", *ft.GROUPS["nli"])
 
 
+@query
+def e2_missing_scores(spark, d):
+    """Samples that the check of inference scores stops at."""
+    return attach.missing_scores(attach.attach_nli(clean(spark, d), views.nli_scores(spark, d))).select("sample_id", "item_idx")
+
+
 @query
 def e3_alignment(spark, d):
     """Samples by whether their context is blank and whether scores reached them, by key and not by position."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from riskframe.functions.text import NON_SPACE, SPACES, is_blank
-from riskframe.sources.records import expand, qa_fields
+from riskframe.sources.records import expand, qa_fields, stored
 
 #: Turns of a conversation that one task orders.
 RANGE = 1024
@@ -45,6 +45,7 @@ def qa_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = turns.filter("turn is not null").groupBy("conv_id", "turn").agg(
         at("user").alias("u"), at("assistant").alias("a"), text_of("user").alias("u_text"), text_of("assistant").alias("a_text")
     ).withColumn("range", F.expr("turn div " + str(RANGE)))
+    each = stored(each, "turns")  # read for the ranges, within them and for both texts
     # Numbers of turns, not texts, are carried: within a range of turns, and from the ranges before it.
     last = lambda c, w: F.last(c, ignorenulls=True).over(w)
     ranges = each.groupBy("conv_id", "range").agg(F.max("u").alias("u"), F.max("a").alias("a"))
