@@ -7,7 +7,7 @@ import string
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
@@ -41,6 +41,14 @@ def known_columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{have}`").alias(name) for name, have in wanted.items()])
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """df, whose column of ids must hold whole numbers: another type raises before any work is done."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise ValueError(f"ids must be whole numbers: {column} is {kind.simpleString()}")
+    return df
+
+
 def fresh(taken: list[str], *wanted: str) -> list[str]:
     """The wanted names, each with as many underscores after it as it takes to differ from the taken ones (case aside)."""
     used, out = {c.lower() for c in taken}, []

@@ -15,7 +15,7 @@ what the driver holds and sends; each chunk is one pass over the index, and only
 
 Defined results: null texts have no words; items without words never occur; repeated rows each get their row; of equal
 item ids all count as one in the list of items; an empty table, or no items, gives rows without hits; very long texts are whole
-blocks of their own; other columns play no part.
+blocks of their own; other columns play no part; ids of documents that aren't whole numbers raise.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm._shared import known_columns, scratch_root, staged
+from riskframe.llm._shared import known_columns, numbered, scratch_root, staged
 from riskframe.llm.shingles import PIECE, span_hashes, utf8
 
 #: Bytes to words: A-Z fold, 0-9, a-z and all beyond ASCII stay, everything else parts words.
@@ -348,7 +348,7 @@ def contamination(
 
     items: those with a window of width words in the document; near: those with a proximity match.
     """
-    docs = known_columns(docs, doc_id=id_col, text=text_col)
+    docs = known_columns(numbered(docs, id_col), doc_id=id_col, text=text_col)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     index = build_index(docs)
     path = f"{scratch_root(docs.sparkSession)}/found"

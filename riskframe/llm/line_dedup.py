@@ -11,24 +11,25 @@ Alike lines are found without comparing all lines of a leaf. Let a line's tokens
 ``most`` tokens of both, the second among the first ``most + 1``, and so on (the exact prefix filter, carried on). So lines meet in
 buckets of one such token at its position. In a bucket of at most ``SMALL`` distinct lines (``PARTED`` further on) every pair is compared; in a larger one
 every line with the bucket's first. Where that leaves a large bucket's lines with several templates, the lines outside its largest one
-are open, and the bucket is parted by the next token that its lines have in common, again and again, as long as an open line meets lines of
-other templates in a large bucket. Once they have as many tokens in common as alike lines need, all are alike, so this ends.
-Nothing is capped, and pairs are compared in small buckets or with a bucket's first line only, so that lines of
-few values in many fields, as tables have them, cost no product of their numbers.
+are open. Up to ``FEW`` open lines are compared with all of the bucket's lines of other templates; a bucket of more is parted by
+the next token that its lines have in common, again and again, as long as that holds. Once lines have as many tokens in common as
+alike lines need, all are alike, so this ends.
+Nothing is capped, and a bucket's pairs are few for each of its lines, so that lines of few values in many fields, as tables have
+them, cost no product of their numbers.
 
 Lines are cut and masked once. Only ids and hashes of lines are shuffled, except for one line of each kind in leaves that hold
 several, and for documents that lose lines, which are rebuilt at the end.
 
 Defined results: null text stays null and has no lines; lines without tokens always stay; rows alike in id and text count as
 one document and lose the same lines; a null id comes first; a text all of whose lines go is empty; an empty table gives an empty
-table; other columns play no part.
+table; other columns play no part; ids that aren't whole numbers raise.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from riskframe.llm._shared import known_columns, staged
+from riskframe.llm._shared import known_columns, numbered, staged
 from riskframe.llm.components import apart, components
 
 DEPTH = 3
@@ -36,6 +37,8 @@ DEPTH = 3
 SIMILAR = 7
 #: Distinct lines up to which all pairs of a bucket are compared, and of a bucket that parting another made: rows of buckets cost less than pairs.
 SMALL, PARTED = 24, 6
+#: Open lines of a bucket that are compared with all of it.
+FEW = 6
 WILD = "<*>"
 #: White space other than spaces and line ends.
 BLANKS = "\t\x0b\x0c\r"
@@ -114,19 +117,22 @@ def alike(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def sized(rows: DataFrame) -> DataFrame:
-    """(bucket, node, last, opened) of buckets of several lines, with the bucket's size n and its first line as hub; stored."""
+    """rows of buckets of several lines, some of them open, with the bucket's size n and its first line as hub; stored."""
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("opened").alias("some")).filter("n > 1 and some").drop("some")
     return staged(rows.join(staged(counts, "counts"), "bucket"), "buckets")
 
 
+def open_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of the (bucket, node, opened, label) rows that share a bucket, one of them open, and not a label; null labels differ from all."""
+    side = lambda c, some: rows.filter(some).select("bucket", F.col("node").alias(c), F.col("opened").alias(f"opened_{c}"), F.col("label").alias(f"label_{c}"))
+    both = side("a", "opened").join(side("b", "true"), "bucket").filter("a != b and (a < b or not opened_b) and not coalesce(label_a = label_b, false)")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def candidates(member: DataFrame, most: int) -> DataFrame:
     """(a, b) pairs to compare: all that have an open line in buckets of at most so many lines, and each line with the first in larger ones."""
-    small = member.filter(f"n <= {most}")
-    side = lambda c: small.select("bucket", F.col("node").alias(c), F.col("opened").alias(f"opened_{c}"), F.col("label").alias(f"label_{c}"))
-    apart_or_new = "a < b and (opened_a or opened_b) and not (label_a <=> label_b and label_a is not null)"
-    close = side("a").join(side("b"), "bucket").filter(apart_or_new).select("a", "b")
     star = member.filter(f"n > {most} and node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    return close.union(star)
+    return open_pairs(member.filter(f"n <= {most}")).union(star)
 
 
 def templates(own: DataFrame) -> DataFrame:
@@ -134,29 +140,33 @@ def templates(own: DataFrame) -> DataFrame:
     each, often = tokens_of(own)
     first = ranked(each, often).filter("rank <= most")
     rows = first.select(F.col("item").alias("bucket"), "node", F.col("rank").alias("last"), F.lit(True).alias("opened"), F.lit(None).cast("long").alias("label"))
-    member, depth, most = sized(staged(rows, "rarest")), 1, SMALL
-    links = staged(alike(candidates(member, most), own), "alike")
+    member, depth = sized(staged(rows, "rarest")), 1
+    links = staged(alike(candidates(member, SMALL), own), "alike")
     found = components(links)
-    while True:
-        large = member.filter(f"n > {most}")
-        rows = staged(apart(large.select("bucket", "node"), found), "apart")
+    large = member.filter(f"n > {SMALL}").select("bucket", "node", "last")
+    while large is not None:
+        rows = staged(apart(large.drop("last"), found).join(large, ["bucket", "node"]), "apart")
         if not rows.limit(1).count():
-            return found.select(F.col("node").alias("variant"), F.xxhash64(F.lit("template"), "label").alias("template"))
-        depth, most = depth + 1, PARTED
-        rows = rows.join(large.select("bucket", "node", "last"), ["bucket", "node"])
-        more = ranked(each.join(staged(rows.select("node").distinct(), "nodes"), "node", "left_semi"), often).filter(f"rank <= most + {depth - 1}")
-        rows = rows.join(more, "node").filter("rank > last")
-        rows = rows.select(F.xxhash64("bucket", "item").alias("bucket"), "node", F.col("rank").alias("last"), "opened", "label")
-        member = sized(staged(rows, "parted"))
-        fresh = staged(alike(candidates(member, most), own), "more")
+            break
+        counts = staged(rows.groupBy("bucket").agg(F.sum(F.col("opened").cast("int")).alias("open")), "open")
+        few, many = (rows.join(counts.filter(c), "bucket", "left_semi") for c in (f"open <= {FEW}", f"open > {FEW}"))
+        pairs, large = open_pairs(few), None
+        if counts.filter(f"open > {FEW}").limit(1).count():
+            depth, many = depth + 1, staged(many, "many")
+            more = ranked(each.join(staged(many.select("node").distinct(), "nodes"), "node", "left_semi"), often).filter(f"rank <= most + {depth - 1}")
+            many = many.join(more, "node").filter("rank > last")
+            member = sized(staged(many.select(F.xxhash64("bucket", "item").alias("bucket"), "node", F.col("rank").alias("last"), "opened", "label"), "parted"))
+            pairs, large = pairs.union(candidates(member, PARTED)), member.filter(f"n > {PARTED}").select("bucket", "node", "last")
+        fresh = staged(alike(pairs, own), "more")
         if fresh.limit(1).count():
             links = links.union(fresh)
             found = components(links)
+    return found.select(F.col("node").alias("variant"), F.xxhash64(F.lit("template"), "label").alias("template"))
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, dropped): numbers of the lines that go, for documents (by id and hash of the text) that lose any."""
-    docs = known_columns(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = known_columns(numbered(df, id_col), doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slim = staged(lines_of(docs), "lines")
     template = staged(templates(distinct_lines(docs, slim)), "templates")
     places = slim.join(template, "variant", "left").select("doc_id", "digest", "line", F.coalesce("template", "variant").alias("template"))

@@ -19,7 +19,7 @@ join them, so that a bucket that holds many rows can be dealt to several tasks.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing, not even each other;
 repeated rows share a node and a component; a null id takes part but is never a component's id unless all are null; an
-empty table gives an empty table; columns other than id and text play no part.
+empty table gives an empty table; columns other than id and text play no part; ids that aren't whole numbers raise.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from riskframe.llm._shared import known_columns, staged
+from riskframe.llm._shared import known_columns, numbered, staged
 from riskframe.llm.components import apart, components
 from riskframe.llm.shingles import mix, shingle_set, utf8
 
@@ -150,7 +150,7 @@ def _family_links(pdf):
 
 def near_duplicates(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of df."""
-    docs = known_columns(df, doc_id=id_col, text=text_col)
+    docs = known_columns(numbered(df, id_col), doc_id=id_col, text=text_col)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     sketches = staged(docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, node long, bands array<long>"), "sketches")
 
