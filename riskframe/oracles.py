@@ -383,6 +383,14 @@ SQL: dict[str, str] = {
     "z4_length_metrics": f"""with {NLI_QA}, c as (select least(4, n_words // 10) as bucket, count(*) as n, sum((pred = label)::int)::double as ok from risk group by 1), a as (select *, ok / n as accuracy, 1.959963984540054::double as z from c)
       select bucket, n, accuracy, round((accuracy + z * z / (2 * n) - z * sqrt(accuracy * (1 - accuracy) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) as low,
         round((accuracy + z * z / (2 * n) + z * sqrt(accuracy * (1 - accuracy) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) as high from a""",
+    "z4_bootstrap_intervals": f"""with {NLI_QA}, cells as (select least(4, n_words // 10) as bucket, (pred = label)::int as ok, count(*) as n from risk group by all),
+      hashed as (select bucket, ok, rep, n, i, md5(concat_ws(':', 777, bucket, ok, rep) || ':' || i) as h from cells, (select unnest(range(1, 1001)) as rep), (select unnest(range(1, {TRIES + 1})) as i)),
+      units as (select *, {UNIT(h='h', at=1)} as u, {UNIT(h='h', at=14)} as v from hashed),
+      drawn as (select bucket, ok, rep, sum({poisson_one_sql('u')}) as w from units where n < {LARGE} and i <= n group by all
+        union all select bucket, ok, rep, coalesce(arg_min(k, i), any_value(n)) from (select *, {poisson_trial_sql('n::double', 'u', 'v')} as k from units where n >= {LARGE}) group by bucket, ok, rep),
+      each as (select bucket, rep, sum(w * ok) / sum(w) as value from drawn group by bucket, rep having sum(w) > 0),
+      ends as (select bucket, round(quantile_cont(value, 0.025), 9) as low, round(quantile_cont(value, 0.975), 9) as high from each group by bucket),
+      shares as (select bucket, round(sum(n * ok) / sum(n), 9) as share from cells group by bucket) select bucket, share, low, high from shares join ends using (bucket)""",
     "z7_dedup": f"with {RAW} select min(sample_id) as sample_id, count(*) as copies from qa group by lower(regexp_replace(answer, '[{SP}]+', ' ', 'g'))",
 }
 SQL["entry"] = f"with {FEATURES}, r as (select label, {LABELS(p=CLAMP(p='1 - overlap_answer_context'))} as risk, overlap_answer_context as o from features) select label, risk, count(*) as n, round(avg(1 - o), 6) as mean_risk from r group by all"

@@ -614,6 +614,13 @@ def z4_length_metrics(spark, d):
     return rounded(out.select("*", *metrics.wilson_interval(F.col("accuracy"), F.col("n"))), 9, "low", "high")
 
 
+@query
+def z4_bootstrap_intervals(spark, d):
+    """Accuracy by length of the answer, with bootstrap intervals."""
+    df = risky(spark, d).select(F.least(F.lit(4), F.expr("n_words div 10")).alias("bucket"), "pred", "label")
+    return rounded(stats.bootstrap_share(df, "bucket", F.col("pred") == F.col("label")), 9, "share")
+
+
 @query
 def z7_dedup(spark, d):
     key = F.lower(F.regexp_replace("answer", f"[{t.SPACE_CLASS}]+", " "))
