@@ -2,7 +2,6 @@ import re
 import string
 
 import numpy as np
-import pytest
 import xxhash
 from oracle import DATA, needs_data
 
@@ -69,12 +68,11 @@ def test_against_all_pairs(spark, docs, texts):
     assert len(empty) == 1
 
 
-@pytest.mark.parametrize("shard, leaf", [(64, 8), (200, 16)])
-def test_trees_of_several_rounds(spark, monkeypatch, shard, leaf):
+def test_trees_of_several_rounds(spark, monkeypatch):
     """Small shards, samples and trees, so that shards are split anew, and crowded ones compared in blocks."""
-    for name, value in dict(SHARD=shard, LEAF=leaf, SAMPLE=shard, STREAM=100, DEPTH=2, LEAST=4).items():
+    for name, value in dict(SHARD=100, LEAF=8, SAMPLE=100, STREAM=100, DEPTH=3, LEAST=4).items():
         monkeypatch.setattr(simhash, name, value)
-    points = scattered(np.random.default_rng(3), 3000)
+    points = scattered(np.random.default_rng(3), 1200)
     df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
     from riskframe.llm.components import components
 
