@@ -111,14 +111,14 @@ def concurrently(tasks: list[Callable[[], DataFrame]], at_once: int | None = Non
     """What the tasks return, in their order. A bounded pool submits their jobs; under the fair scheduler each has a pool of its own."""
     from pyspark.sql import SparkSession
 
-    context = SparkSession.active().sparkContext
+    session = SparkSession.active()
 
     def run(numbered: tuple[int, Callable[[], DataFrame]]) -> DataFrame:
-        context.setLocalProperty("spark.scheduler.pool", f"fit-{numbered[0] % (at_once or AT_ONCE)}")
+        session.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{numbered[0] % (at_once or AT_ONCE)}")
         return numbered[1]()
 
     with ThreadPool(at_once or AT_ONCE) as pool:
-        return pool.map(inheritable_thread_target(run), enumerate(tasks), chunksize=1)
+        return pool.map(inheritable_thread_target(session)(run), enumerate(tasks), chunksize=1)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
