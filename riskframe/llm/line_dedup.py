@@ -87,21 +87,24 @@ def distinct_lines(docs: DataFrame, slim: DataFrame) -> DataFrame:
 
 
 def tokens_of(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, most, item) for each token, with its leaf and position as one item, of lines that can be alike to others; and (item, having)
-    of the items that several lines have. Both stored."""
+    """(node, most, plain, item) for each token, with its leaf and position as one item, of lines that can be alike to others, plain being
+    the number of the line's items; and (item, having) of the items that several lines have. Both stored."""
     plain, least = F.size(F.filter("tokens", lambda x: x != WILD)), F.expr(f"({SIMILAR} * size(tokens) + 9) div 10")
-    able = own.select("leaf", "node", "tokens", (plain - least + 1).alias("most")).filter("most > 0")
-    each = able.select("leaf", "node", "most", F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != WILD)
-    each = staged(each.select("node", "most", F.xxhash64("leaf", "at", "token").alias("item")), "tokens")
+    able = own.select("leaf", "node", "tokens", plain.alias("plain"), (plain - least + 1).alias("most")).filter("most > 0")
+    each = able.select("leaf", "node", "most", "plain", F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != WILD)
+    each = staged(each.select("node", "most", "plain", F.xxhash64("leaf", "at", "token").alias("item")), "tokens")
     return each, staged(each.groupBy("item").agg(F.count("*").alias("having")).filter("having > 1"), "often")
 
 
 def ranked(each: DataFrame, often: DataFrame) -> DataFrame:
-    """(node, most, item, rank) of the items that several lines have: rank 1 is a line's rarest."""
-    order = W.partitionBy("node").orderBy(F.coalesce("having", F.lit(1)), "item")
-    # Items that only one line has link nothing, but count among the rarest.
-    rows = each.join(often, "item", "left").withColumn("rank", F.row_number().over(order))
-    return rows.filter("having is not null").select("node", "most", "item", "rank")
+    """(node, most, item, rank) of the items that several lines have, of the lines that have enough of them: rank 1 is a line's rarest.
+
+    Items that only one line has link nothing and come first in rank; a line with fewer others than alike lines need in common is alike to none.
+    """
+    own = W.partitionBy("node")
+    rows = each.join(often, "item").withColumn("shared", F.count("*").over(own)).filter("shared > plain - most")
+    rank = F.col("plain") - F.col("shared") + F.row_number().over(own.orderBy("having", "item"))
+    return rows.withColumn("rank", rank).select("node", "most", "item", "rank")
 
 
 def buckets_of(own: DataFrame) -> DataFrame:
