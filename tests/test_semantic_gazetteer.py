@@ -84,3 +84,17 @@ def test_sets_replace_the_pattern(spark):
 
     made = text_features(gazetteer.entity_sets(df.withColumn("question", df.answer), spark.createDataFrame([("Rome",)], "name string")), ("entity",))
     assert {r.sample_id: r.n_entities_answer for r in made.collect()} == {"1": 1, "2": 0}
+
+
+def test_rare_terms_give_the_same_cosines(spark, monkeypatch):
+    """However few terms go to the tasks, the rest are joined."""
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("the of the of stone river cloud x_y".split() + [f"w{rng.randrange(40)}"]) for _ in range(rng.choice([0, 1, 30])))
+    df = spark.createDataFrame([(str(i), text(), text(), text()) for i in range(60)], KIND)
+    weights = semantic.fit_tfidf(df.filter("cast(sample_id as int) < 30"))
+    found = []
+    for most in (0, 5, 262_144):
+        monkeypatch.setattr(semantic, "FREQUENT", most)
+        assert semantic.frequent_terms(weights).num_rows <= most
+        found.append({r.sample_id: (r.cosine_ctx_ans, r.cosine_q_ans) for r in semantic.tfidf_cosines(weights, df).collect()})
+    assert found[0] == found[1] == found[2] and len({x for x, _ in found[0].values()}) > 10
