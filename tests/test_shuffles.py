@@ -1,4 +1,6 @@
+import random
 import re
+from pathlib import Path
 
 from oracle import DATA, needs_data
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from riskframe import queries_models as qm
 from riskframe.operators import splits
 from riskframe.plans import models
 from riskframe.queries import clean
+from riskframe.sources import records
 
 
 @needs_data
@@ -30,3 +33,17 @@ def test_fits_read_few_partitions(spark):
     rows = spark.range(0, 20_000, 1, 40).filter(F.col("id") >= 0)
     assert models.packed(rows).rdd.getNumPartitions() == 4 and models.packed(rows.limit(10)).rdd.getNumPartitions() == 1
     assert models.packed(rows).count() == 20_000 and models.packed(rows.limit(0)).count() == 0
+
+
+def bytes_of(folder):
+    return sum(f.stat().st_size for f in Path(re.sub("^file:/*", "/", folder)).glob("*") if f.name.startswith("part-"))
+
+
+def test_stored_texts_that_repeat_take_little(spark):
+    """Samples of one document share its context: stored twice, it counts about once, also where it is longer than 64 KB."""
+    draw = random.Random(1)
+    texts = ["".join(draw.choices("abcdefghijklmnop", k=100_000)) for _ in range(30)]
+    once = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    twice = spark.createDataFrame([(t + x,) for t in texts for x in "xy"], "text string").coalesce(1)
+    sizes = [bytes_of(records.stored(df, "texts").inputFiles()[0].rpartition("/")[0]) for df in (once, twice)]
+    assert sizes[1] < 1.2 * sizes[0]
