@@ -47,3 +47,14 @@ def test_stored_texts_that_repeat_take_little(spark):
     twice = spark.createDataFrame([(t + x,) for t in texts for x in "xy"], "text string").coalesce(1)
     sizes = [bytes_of(records.stored(df, "texts").inputFiles()[0].rpartition("/")[0]) for df in (once, twice)]
     assert sizes[1] < 1.2 * sizes[0]
+
+
+@needs_data
+def test_stream_requests_are_packed(spark):
+    """The over-long requests of each conversation, 45,000 characters, take far fewer bytes; files are as many as cores and come in two batches."""
+    out = qm.streamed(spark, str(DATA), qm.overlap_risk)
+    folder = out.replace("/out", "/in")
+    n = spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id").distinct().count()
+    turns = spark.read.json(folder).agg(F.sum(F.length("question") + F.length("context") + F.length("answer")).alias("n")).first().n
+    assert bytes_of(folder) < 10_000 * n < turns
+    assert len(spark.read.json(folder).inputFiles()) == 4 and spark.read.parquet(f"{out}/ledger").count() == 2
