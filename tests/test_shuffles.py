@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from pathlib import Path
 
 from oracle import DATA, needs_data
@@ -58,3 +59,15 @@ def test_stream_requests_are_packed(spark):
     turns = spark.read.json(folder).agg(F.sum(F.length("question") + F.length("context") + F.length("answer")).alias("n")).first().n
     assert bytes_of(folder) < 10_000 * n < turns
     assert len(spark.read.json(folder).inputFiles()) == 4 and spark.read.parquet(f"{out}/ledger").count() == 2
+
+
+def test_a_long_sentence_costs_no_square(spark):
+    """The last sentence goes as it did by the plain pattern; a sentence of 200,000 characters before it took minutes."""
+    texts = ["", "a", "a. b", "a.b.", "A b c! D e? ", "no end", "x...y!!", "? !", "a. ", " . a\nb. c\n d", "...", "a.b .c", "é ü. ñ", "1.5 of 2. So"]
+    plain = spark.createDataFrame([(t,) for t in texts], "answer string")
+    both = plain.select(qm.perturbed("drop_sentence").alias("own"), F.regexp_replace("answer", r"[^.!?]*[.!?]*\s*$", "").alias("plain")).collect()
+    assert [r.own for r in both] == [r.plain for r in both]
+    long = plain.limit(1).select(F.concat(F.repeat(F.lit("a"), 200_000), F.lit(". b")).alias("answer"))
+    began = time.monotonic()
+    assert long.select(F.length(qm.perturbed("drop_sentence"))).first()[0] == 200_001
+    assert time.monotonic() - began < 20
