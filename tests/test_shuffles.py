@@ -62,7 +62,7 @@ def test_stream_requests_are_packed(spark):
 
 
 def test_a_long_sentence_costs_no_square(spark):
-    """The last sentence goes as it did by the plain pattern; a sentence of 200,000 characters before it took minutes."""
+    """The last sentence goes as it did by the plain pattern; a sentence of 200,000 characters before it was not done in 100 seconds."""
     texts = ["", "a", "a. b", "a.b.", "A b c! D e? ", "no end", "x...y!!", "? !", "a. ", " . a\nb. c\n d", "...", "a.b .c", "é ü. ñ", "1.5 of 2. So"]
     plain = spark.createDataFrame([(t,) for t in texts], "answer string")
     both = plain.select(qm.perturbed("drop_sentence").alias("own"), F.regexp_replace("answer", r"[^.!?]*[.!?]*\s*$", "").alias("plain")).collect()
