@@ -71,3 +71,14 @@ def test_a_long_sentence_costs_no_square(spark):
     began = time.monotonic()
     assert long.select(F.length(qm.perturbed("drop_sentence"))).first()[0] == 200_001
     assert time.monotonic() - began < 20
+
+
+def test_forests_keep_the_nodes_of_rows(spark, monkeypatch):
+    """Node numbers are kept while they are few enough, and the forest is the one of walks from the root."""
+    rows = spark.range(0, 400, 1, 2).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("y"), F.expr("cast(id % 3 = 0 as int)").alias("label"), F.lit("train").alias("split"))
+    kept = models.fit_forest(rows, ["x", "y"], 1, trees=4).stages[-1]
+    monkeypatch.setattr(models, "NODE_IDS", 400 * 4 - 1)
+    walked = models.fit_forest(rows, ["x", "y"], 1, trees=4).stages[-1]
+    assert (kept.getCacheNodeIds(), walked.getCacheNodeIds()) == (True, False)
+    trees = [m.toDebugString.split("\n", 1)[1] for m in (kept, walked)]
+    assert trees[0] == trees[1] and kept.totalNumNodes > 4
