@@ -98,3 +98,31 @@ def test_rare_terms_give_the_same_cosines(spark, monkeypatch):
         assert semantic.frequent_terms(weights).num_rows <= most
         found.append({r.sample_id: (r.cosine_ctx_ans, r.cosine_q_ans) for r in semantic.tfidf_cosines(weights, df).collect()})
     assert found[0] == found[1] == found[2] and len({x for x, _ in found[0].values()}) > 10
+
+
+def test_a_batch_of_long_texts_is_counted_in_parts(monkeypatch):
+    """3 million terms take the memory of a million; parts give what the whole batch gives."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from riskframe.plans import semantic
+
+    words = [f"w{i}" for i in range(5_000)]
+    draw = np.random.default_rng(3).integers(0, len(words), (300, 10_000))
+    texts = pa.ListArray.from_arrays(pa.array(np.arange(0, draw.size + 1, draw.shape[1]), pa.int32()), pa.array(words).take(pa.array(draw.ravel())))
+    few = pa.array([words[:3]] * len(draw), pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"s{i}" for i in range(len(draw))]), pa.array([False] * len(draw)), few, texts, few], ["sample_id", "blank", *semantic.SIDES])
+    count = semantic.counter(pa.table({"term": words[::2], "weight": np.arange(2_500.0)}))
+    tracemalloc.start()
+    made = list(count(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    made = pa.Table.from_batches(made).to_pylist()
+    monkeypatch.setattr(semantic, "AT_A_TIME", draw.size * 2)
+    whole = pa.Table.from_batches(count(iter([batch]))).to_pylist()
+    by_term = lambda r: sorted(tuple(t.values()) for t in r["rare"])
+    assert [by_term(r) for r in made] == [by_term(r) for r in whole]
+    assert all(np.allclose([a[c] for c in semantic.SUMS], [b[c] for c in semantic.SUMS], rtol=1e-12) for a, b in zip(made, whole)) and len(made) == len(whole) == 300
+    assert peak < 150_000_000
